@@ -1,0 +1,293 @@
+"""The training-data operators against brute force, round trips and SQL, and on nulls, empties, ties, repeats and extra columns."""
+
+import collections
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers as P
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from loomgrid.llm import embeddings, html_text, licences, line_dedup, mixing, packing, quality, simhash, surrogates, token_counts
+from loomgrid.llm.components import connected_components
+from loomgrid.llm.registry import ORACLE_SQL, QUERIES
+
+BLANK = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [(1, "Some text  with\n\ntwo blanks <|endoftext|> x"), (2, None), (3, ""), (4, "same"), (4, "same"), (None, "no id"), (5, "\n \t\n"), (6, "word " * 9000)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeats, nulls, blanks, a long text, and columns whose names clash with those of the operators."""
+    return spark.createDataFrame([(i, t, 9, "s", -1, "x") for i, t in ODD], "doc_id long, text string, n_tokens int, source string, n int, id string")
+
+
+@pytest.fixture(scope="module")
+def texts(folder):
+    return dict(duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall())
+
+
+def lower(t):
+    return t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def union(ids, links):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, folder, name):
+    d = duckdb.connect()
+    d.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    rel = d.sql(ORACLE_SQL[name])
+    got = QUERIES[name](spark, folder).select(*rel.columns)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, rel.fetchall()))
+
+
+def test_token_counts(spark, odd, folder, texts):
+    lib = Tokenizer.from_file(P.path(token_counts.VOCABULARY))
+    n = lambda t: len(lib.encode(t or "", add_special_tokens=False).ids)
+    got = {r["doc_id"]: r for r in QUERIES["op2_token_counts"](spark, folder).collect()}
+    assert {i: r["n_tokens"] for i, r in got.items()} == {i: n(t) for i, t in texts.items()}
+    rows = token_counts.count_tokens(odd, P.path(token_counts.VOCABULARY)).collect()
+    assert sorted((r["text"] or "", r["n_tokens"]) for r in rows) == sorted((t or "", n(t)) for _, t in ODD)
+    assert token_counts.count_tokens(odd.limit(0), P.path(token_counts.VOCABULARY)).count() == 0
+
+
+def test_runs_equal_library():
+    import random
+
+    lib = Tokenizer.from_file(P.path(token_counts.VOCABULARY))
+    counter = token_counts.Counter(P.path(token_counts.VOCABULARY), token_counts.proven_whole_tokens(P.path(token_counts.VOCABULARY)))
+    words = packing.WordIds(P.path(packing.VOCABULARY))
+    other = Tokenizer.from_file(P.path(packing.VOCABULARY))
+    rng = random.Random(5)
+    parts = [" ", "  ", "\n", "\t", "\x1c", "\x85", "a", "The", "'s", "12", "é", "é", "́", "***", "<|endoftext|>", "\n\n", "中文", "😀", "　", "ΣΑΣ"]
+    for _ in range(3000):
+        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        assert counter.count(s) == len(lib.encode(s, add_special_tokens=False).ids), s
+        assert np.frombuffer(words.ids(s), "<u4").tolist() == other.encode(s, add_special_tokens=False).ids, s
+
+
+def check_packing(rows, ids):
+    seqs = collections.defaultdict(list)
+    seen = collections.defaultdict(int)
+    for r in rows:
+        piece = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+        assert zlib.crc32(piece.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        seen[r["doc_id"]] += r["length"]
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in seqs.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= 4096
+    return seen, len(seqs)
+
+
+def test_packing(spark, folder, texts, odd):
+    lib = Tokenizer.from_file(P.path(packing.VOCABULARY))
+    ids = {i: [*lib.encode(t or "", add_special_tokens=False).ids, 2] for i, t in texts.items()}
+    seen, n = check_packing(QUERIES["op1_packing"](spark, folder).collect(), ids)
+    total = sum(map(len, ids.values()))
+    assert seen == {i: len(x) for i, x in ids.items()} and n * 4096 < 1.15 * total + 4096
+    pieces, places = packing.pack_documents(odd, P.path(packing.VOCABULARY))
+    assert places.groupBy("sequence_id", "offset").count().where("count > 1").isEmpty()
+    assert places.agg(F.sum("length")).first()[0] == sum(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ODD)
+    one = odd.where("doc_id = 6")
+    pieces, places = packing.pack_documents(one, P.path(packing.VOCABULARY))
+    joined = packing.sequences(pieces, places).orderBy(F.desc("n_tokens")).collect()
+    assert sum(len(r["ids"]) // 4 for r in joined) == 9001 and all(len(r["ids"]) == 4 * r["n_tokens"] for r in joined)
+    assert packing.pack_documents(odd.limit(0), P.path(packing.VOCABULARY))[1].count() == 0
+
+
+def test_patterns_hold_all_lengths():
+    hist = {4096: 3, 3000: 10, 1000: 7, 96: 100, 1: 5}
+    patterns = packing.packing_patterns(hist, 4096)
+    used = collections.Counter()
+    for count, lengths in patterns:
+        assert sum(lengths) <= 4096
+        for n in lengths:
+            used[n] += count
+    assert used == hist
+
+
+def test_line_dedup_odd_cases(spark, odd):
+    line = "A line that is long enough to be counted here."
+    rows = [(i, f"{line}\n{i}\n  {line.upper()}\t", None) for i in range(1, 7)] + [(6, line, None), (None, line, None), (8, None, None), (9, "", None)]
+    out = {(r["doc_id"], r["text"]): (r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines string")).collect()}
+    assert out[1, "1"] == (3, 2) and out[6, f"{line}\n6\n  {line.upper()}\t"] == (3, 0) and out[6, line] == (1, 0) and out[None, line] == (1, 0)
+    assert out[9, ""] == (1, 0) and len(out) == 10
+    assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
+
+
+def brute_fingerprint(t):
+    w = BLANK.findall(lower(t))
+    g = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in g]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(g))
+
+
+def test_simhash(spark, folder, texts, odd):
+    fp = {i: brute_fingerprint(t) for i, t in texts.items()}
+    root = union(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2])
+    got = {(r[0], r[1], r[2]) for r in QUERIES["op6_simhash"](spark, folder).collect()}
+    assert got == {(i, f"{fp[i]:016x}", root[i]) for i in fp}
+    rows = simhash.simhash_components(odd).collect()
+    assert len(rows) == len(ODD) and {r["component_id"] for r in rows if r["id"] in (2, 3, 5)} == {2} and [r["component_id"] for r in rows if r["id"] is None] == [None]
+
+
+@pytest.mark.parametrize("limit", [1, 4, 10_000])
+def test_links_at_every_bucket_limit(spark, limit):
+    rng = np.random.default_rng(3)
+    base = [int(x) for x in rng.integers(-(2**62), 2**62, 6)]
+    fps = sorted({b ^ int(sum(1 << int(k) for k in rng.choice(60, rng.integers(0, 4), replace=False))) for b in base for _ in range(40)})
+    links = simhash.link_fingerprints(spark.createDataFrame([(x,) for x in fps], "fp long"), limit).collect()
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in links) or limit < 10_000
+    want = union(fps, [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2])
+    assert union(fps, [tuple(x) for x in links]) == want
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5), (None, 4)] + [(100 + i, 101 + i) for i in range(60)]
+    got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {**dict.fromkeys([1, 2, 3, 7, 8, 9], 1), 20: 20, 21: 20, **dict.fromkeys(range(100, 161), 100)}
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_mixing_odd_cases(spark, odd):
+    df = odd.withColumn("domain", F.lit(None).cast("string")).withColumn("lang", F.lit("en"))
+    out = mixing.mix_sources(df, total_share=0.5, max_epochs=2).collect()
+    assert all(r["copies"] >= 1 for r in out)
+    total = sum(len(BLANK.findall(t or "")) for _, t in ODD)
+    assert sum(r["copies"] * r["n_tokens"] for r in out) <= total * 0.5
+    assert mixing.mix_sources(df.limit(0)).count() == 0
+
+
+def test_shortage_goes_to_siblings_first(spark):
+    leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 1000), ("b", "x", "3", 1000)], "domain string, lang string, source string, tokens long")
+    got = {r["source"]: r["budget"] for r in mixing.leaf_budgets(leaves, mixing.LEVELS, 200, 1, {("a",): 1, ("b",): 1, ("a", "x", "1"): 1, ("a", "x", "2"): 1}).collect()}
+    assert got == {"1": 10, "2": 90, "3": 100}
+    got = {r["source"]: r["budget"] for r in mixing.leaf_budgets(leaves.where("source <> '2'"), mixing.LEVELS, 200, 1, {("a",): 1, ("b",): 1}).collect()}
+    assert got == {"1": 10, "3": 190}
+
+
+def test_embeddings(spark, folder):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 16))
+    x[100:200] = x[0] + rng.normal(size=(100, 16)) * rng.choice([0.02, 0.1, 0.3], 100)[:, None]
+    x[200:230] = x[5]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [None] + [1.0] * 15), (None, [1.0] * 16), (905, [1.0, 2.0])]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    root = union(range(300), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+    for block in (40, 5000):
+        got = {r["id"]: (r["n_links"], r["component_id"]) for r in embeddings.cosine_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=block).collect()}
+        assert {i: got[i] for i in range(300)} == {i: (int(near[i].sum()) - 1, root[i]) for i in range(300)}
+        assert all(got[i] == (0, i) for i in (900, 901, 902, 903, 904, 905)) and got[None] == (0, None)
+    assert embeddings.cosine_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_licenses(spark, folder, texts):
+    words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    got = {r["doc_id"]: r for r in QUERIES["op9_licenses"](spark, folder).collect()}
+    for i, t in texts.items():
+        w = words.findall(lower(t))
+        at, labels = [], set()
+        for phrase, label in licences.PHRASES.items():
+            q = phrase.split()
+            for k in range(len(w) - len(q) + 1):
+                if w[k : k + len(q)] == q:
+                    at.append(k)
+                    labels.add(label)
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)))
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    df = spark.createDataFrame([(1, f"a b {notice} c {notice}", 0), (2, notice.replace("General", "good General"), 0), (3, None, 0), (4, "general public", 0), (None, notice, 0)], "doc_id long, text string, pos int")
+    assert {r["doc_id"]: r["labels"] for r in licences.license_labels(df).collect()} == {1: "gpl-3", 2: "gpl-3", 3: "", 4: "", None: ""}
+    assert [(r["first_word"], r["last_word"]) for r in licences.license_spans(df.where("doc_id = 1")).orderBy("first_word").collect()] == [(2, 13), (15, 26)]
+
+
+def test_quality(spark, folder, texts, odd):
+    got = {r["doc_id"]: r for r in QUERIES["op10_quality_rules"](spark, folder).collect()}
+    for i, t in texts.items():
+        w = BLANK.findall(t)
+        windows = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        again = {p for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)}
+        lines = [x for x in t.split("\n") if BLANK.search(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again), len(w) < 20 or 100 * len(again) > 30 * len(w))
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == want
+        assert not (r["kept"] and r["base_failed"])
+    good = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{folder}/labels.parquet'").fetchall())
+    assert all(r["kept"] for i, r in got.items() if good.get(i) == 1 and not r["base_failed"])
+    assert sum(r["kept"] for i, r in got.items() if good.get(i) == 0) <= 0.05 * len(got)
+    labels = spark.createDataFrame([(1, 1), (None, 1), (1, 1)], "doc_id long, quality int")
+    assert quality.quality_rules(odd, labels).where("kept IS NULL").count() == 0
+    assert quality.quality_rules(odd, labels.limit(0)).count() == len(ODD) and quality.quality_rules(odd.limit(0), labels).count() == 0
+
+
+def test_html(spark, folder):
+    from html import unescape
+
+    got = {r["page_id"]: r["text"] for r in QUERIES["op3_html_text"](spark, folder).collect()}
+    for i, h in duckdb.sql(f"SELECT page_id, html FROM '{folder}/pages.parquet'").fetchall():
+        inside = re.search(r"<article>(.*?)</article>", h, re.S)[1]
+        blocks = (re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1|br)>", inside))
+        assert got[i] == "\n".join(b for b in blocks if b)
+    page = "<body><div class='menu'>Menu</div><div id=main class=post-1><p>First &amp; long enough text of the page<p>second   line<script>x</p></script><div class='comments'>me too</div></div><form>f</form>"
+    rows = [(1, "http://a/1", page, "x"), (2, None, None, "x"), (3, "http://a/2", "", "x"), (4, "bad", "plain text", "x"), (1, "http://a/1", page, "x")]
+    out = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in out) == [(1, "First & long enough text of the page\nsecond line")] * 2 + [(2, ""), (3, ""), (4, "plain text")]
+
+
+def test_surrogates(spark, folder):
+    text = "Mr. John Smith wrote to Mrs. Anna Smith, mail j.smith@corp.com or +1 (555) 555-0100 from 10.1.2.3, card 4111 1111 1111 1111, г-н Иван Петров"
+    rows = [(1, text, 5), (2, "j.smith@corp.com and J.SMITH@CORP.COM", 5), (3, None, 5), (4, "", 5), (None, "10.1.2.3", 5), (5, "a clean text of 12 words", 5), (2, "Mr. John Smith", 5)]
+    out = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string, n_entities int"), "k").collect()
+    by = {(r["doc_id"], r["n_entities"]): r["text"] for r in out}
+    first = by[1, 7]
+    assert not any(x in first for x in ("John", "Smith", "Anna", "j.smith", "555-0100", "10.1.2.3", "4111 1111", "Иван", "Петров"))
+    family = re.match(r"Mr\. (\S+) (\S+) wrote to Mrs\. (\S+) (\S+),", first)
+    assert family[2] == family[4] and family[1] in surrogates.GIVEN["m", "latin"] and family[3].split("-")[0] in surrogates.GIVEN["f", "latin"]
+    card = re.search(r"card (\d{4} \d{4} \d{4} \d{4}),", first)[1].replace(" ", "")
+    assert sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(card))) % 10 == 0
+    assert by[2, 2].split(" and ")[0] in first and by[2, 1] == f"Mr. {family[1]} {family[2]}" and by[3, 0] is None and by[4, 0] == "" and by[5, 0] == "a clean text of 12 words"
+    many = spark.range(3000).select(F.lit("name_m").alias("kind"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("value"))
+    table = surrogates.surrogate_table(many, "k")
+    assert table.count() == 3000 == table.select("surrogate").distinct().count()
+
+
+def test_pipeline(spark, folder):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names, before = docs.columns, docs.count()
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+        assert docs.columns == names and docs.count() <= before
+        before = docs.count()
+        kept[name] = before
+    assert kept["mixing"] > 0 and kept["simhash near-dedup"] < kept["line dedup"]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    lib = Tokenizer.from_file(P.path(packing.VOCABULARY))
+    ids = {i: [*lib.encode(t, add_special_tokens=False).ids, 2] for i, t in texts.items()}
+    seen, _ = check_packing(corpus_pipeline.run(spark, folder).collect(), ids)
+    assert seen == {i: len(x) for i, x in ids.items()}
