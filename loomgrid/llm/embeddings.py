@@ -67,9 +67,11 @@ def _spread(starts_a, ends_a, starts_b, ends_b) -> tuple[np.ndarray, np.ndarray]
     return starts_a[k] + within // nb[k], starts_b[k] + within % nb[k]
 
 
-def dual_links(x, tree_x, y, tree_y, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dual_links(x, tree_x, wx, y, tree_y, wy, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(links of each row of x, of y, link edges) between two trees, or within one; rows are in tree order.
 
+    A row stands for as many equal vectors as its weight (wx, wy) says, and counts as so many links of its partners.
+
     Node pairs further apart than their covering radii and the distance of the threshold are pruned. Pairs that are near
     enough for all their rows to link are counted as a whole, with a star of edges. The rest go down to their children,
     and at last to rows, whose cosines decide in double precision. Edges number rows of x from 0 and of y after them.
@@ -82,11 +84,11 @@ def dual_links(x, tree_x, y, tree_y, same: bool, cosine: float) -> tuple[np.ndar
     def whole(a0, a1, b0, b1, itself):
         for p0, p1, q0, q1, s in zip(a0, a1, b0, b1, itself, strict=True):
             if s:
-                count_x[p0:p1] += p1 - p0 - 1
+                count_x[p0:p1] += wx[p0:p1].sum() - wx[p0:p1]
                 edges.append(np.stack([np.full(p1 - p0 - 1, p0), np.arange(p0 + 1, p1)], axis=1))
                 continue
-            count_x[p0:p1] += q1 - q0
-            (count_x if same else count_y)[q0:q1] += p1 - p0
+            count_x[p0:p1] += wy[q0:q1].sum()
+            (count_x if same else count_y)[q0:q1] += wx[p0:p1].sum()
             edges.append(np.stack([np.arange(p0, p1), np.full(p1 - p0, base + q0)], axis=1))
             edges.append(np.stack([np.full(q1 - q0, p0), base + np.arange(q0, q1)], axis=1))
 
@@ -95,8 +97,8 @@ def dual_links(x, tree_x, y, tree_y, same: bool, cosine: float) -> tuple[np.ndar
             u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
             near = np.einsum("ij,ij->i", x[u], y[v]) >= cosine
             u, v = u[near], v[near]
-            np.add.at(count_x, u, 1)
-            np.add.at(count_x if same else count_y, v, 1)
+            np.add.at(count_x, u, wy[v])
+            np.add.at(count_x if same else count_y, v, wx[u])
             edges.append(np.stack([u, base + v], axis=1))
 
     def visit(a, b, level):
@@ -171,7 +173,7 @@ def _block(x: pd.DataFrame) -> pd.DataFrame:
     first = x.iloc[0]
     return pd.DataFrame({
         "dim": [int(first["dim"])], "cell": [int(first["cell"])], "chunk": [int(first["chunk"])],
-        "keys": [x["key"].to_numpy(np.int64)[order].tobytes()], "ids": [x["id"].to_numpy(np.int64)[order].tobytes()], "vecs": [np.ascontiguousarray(raw[order], np.float64).tobytes()],
+        "keys": [x["key"].to_numpy(np.int64)[order].tobytes()], "ids": [x["id"].to_numpy(np.int64)[order].tobytes()], "weights": [x["weight"].to_numpy(np.int64)[order].tobytes()], "vecs": [np.ascontiguousarray(raw[order], np.float64).tobytes()],
         "starts": [[s.tobytes() for s, _ in levels]], "covers": [[c.tobytes() for _, c in levels]],
     })
 
@@ -185,10 +187,10 @@ def _pairs(cosine: float):
                     ids = np.frombuffer(r[f"ids_{s}"], np.int64)
                     x = units(np.frombuffer(r[f"vecs_{s}"], np.float64).reshape(len(ids), r["dim"]))
                     tree = [(np.frombuffer(p, np.int64), np.frombuffer(q)) for p, q in zip(r[f"starts_{s}"], r[f"covers_{s}"], strict=True)]
-                    sides.append((np.frombuffer(r[f"keys_{s}"], np.int64), ids, x, tree))
-                (ka, ia, x, tx), (kb, ib, y, ty) = sides
+                    sides.append((np.frombuffer(r[f"keys_{s}"], np.int64), ids, np.frombuffer(r[f"weights_{s}"], np.int64), x, tree))
+                (ka, ia, wa, x, tx), (kb, ib, wb, y, ty) = sides
                 same = r["same"]
-                na, nb, edges = dual_links(x, tx, y, ty, same, cosine)
+                na, nb, edges = dual_links(x, tx, wa, y, ty, wb, same, cosine)
                 keys, ids, n = (ka, ia, na) if same else (np.concatenate([ka, kb]), np.concatenate([ia, ib]), np.concatenate([na, nb]))
                 # number by id, so that each local component is named after its least id
                 rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
@@ -207,7 +209,8 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.95, block_rows: int = 819
     empty, zero or hold a null or a part that isn't finite link with nothing, as do rows with a null id (whose component is
     null) and vectors of different lengths. Rows that repeat an id are vectors of their own in one component.
 
-    The top level of the tree are cells around at most most_cells vectors, those with the least hashes of their ids; each
+    Equal vectors are one weighted row from the start, told by 128 bits of hashes, so a vector with a third of all rows is
+    paired once. The top level of the tree are cells around at most most_cells vectors, those with the least hashes of their ids; each
     vector goes to the nearest. Cells are cut into blocks of about block_rows by hash, which spreads a crowded cell. Each
     block is a cover tree with halving radii. Pairs of cells are pruned by their covering radii, and the pairs of blocks
     that stay are traversed together in tasks of their own, that hold two blocks. Only counts and a spanning star of each
@@ -216,8 +219,11 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.95, block_rows: int = 819
     spark = vectors.sparkSession
     vec = F.col(vec_col).cast("array<double>")
     sound = F.coalesce(F.col(id_col).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(vec, lambda v: v != 0), F.lit(False))
-    each = materialize(vectors.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.when(sound, vec).alias("vec")))
-    good = each.where("vec IS NOT NULL").withColumn("dim", F.size("vec"))
+    hashes = [F.when(sound, F.xxhash64(*seed, vec)).alias(c) for c, seed in (("a", ()), ("b", (F.lit("other"),)))]
+    each = materialize(vectors.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.when(sound, vec).alias("vec"), *hashes))
+    equal = materialize(each.where("vec IS NOT NULL").groupBy("a", "b").agg(F.min("key").alias("key"), F.min("id").alias("first"), F.count("*").alias("weight")))
+    good = equal.select("key", F.col("first").alias("id"), "weight").join(each.select("key", "vec"), "key").withColumn("dim", F.size("vec"))
+    good = materialize(good)
     counts = {r["dim"]: r["count"] for r in good.groupBy("dim").count().orderBy(F.desc("count")).limit(64).collect()}
     centres: dict[int, np.ndarray] = {}
     for dim, n in counts.items():
@@ -234,9 +240,9 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.95, block_rows: int = 819
                     best = c.argmax(axis=1)
                     x.loc[part.index, "cell"] = best
                     x.loc[part.index, "far"] = np.sqrt(np.maximum(2 - 2 * c[np.arange(len(part)), best], 0)) + 1e-7
-            yield x[["key", "id", "vec", "dim", "cell", "far"]]
+            yield x[["key", "id", "weight", "vec", "dim", "cell", "far"]]
 
-    placed = materialize(good.mapInPandas(place, "key long, id long, vec array<double>, dim int, cell int, far double"))
+    placed = materialize(good.mapInPandas(place, "key long, id long, weight long, vec array<double>, dim int, cell int, far double"))
     cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).withColumn("chunks", F.ceil(F.col("n") / block_rows).cast("int"))
     met = []
     for dim, rows in _by_dim(cells.where(F.col("dim").isin(list(counts))).collect() if counts else []).items():
@@ -248,18 +254,25 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.95, block_rows: int = 819
     for r in cells.where(~F.col("dim").isin(list(counts))).select("dim", "cell", "chunks").collect() if len(counts) == 64 else []:
         met.append((r["dim"], r["cell"], r["cell"], r["chunks"], r["chunks"]))
     sized = placed.join(cells.select("dim", "cell", "chunks"), ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    kind = "dim int, cell int, chunk int, keys binary, ids binary, vecs binary, starts array<binary>, covers array<binary>"
-    blocks = materialize(sized.select("key", "id", "vec", "dim", "cell", "chunk").groupBy("dim", "cell", "chunk").applyInPandas(_block, kind))
+    kind = "dim int, cell int, chunk int, keys binary, ids binary, weights binary, vecs binary, starts array<binary>, covers array<binary>"
+    blocks = materialize(sized.select("key", "id", "weight", "vec", "dim", "cell", "chunk").groupBy("dim", "cell", "chunk").applyInPandas(_block, kind))
     pairs = spark.createDataFrame(met, "dim int, cell_a int, cell_b int, chunks_a int, chunks_b int")
     pairs = pairs.withColumn("chunk_a", F.explode(F.expr("sequence(0, chunks_a - 1)"))).withColumn("chunk_b", F.explode(F.expr("sequence(0, chunks_b - 1)")))
     pairs = pairs.where("cell_a <> cell_b OR chunk_a <= chunk_b").select("dim", "cell_a", "chunk_a", "cell_b", "chunk_b", F.expr("cell_a = cell_b AND chunk_a = chunk_b").alias("same"))
-    side = lambda s: blocks.select("dim", F.col("cell").alias(f"cell_{s}"), F.col("chunk").alias(f"chunk_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("keys", "ids", "vecs", "starts", "covers")))
+    side = lambda s: blocks.select("dim", F.col("cell").alias(f"cell_{s}"), F.col("chunk").alias(f"chunk_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("keys", "ids", "weights", "vecs", "starts", "covers")))
     both = pairs.join(side("a"), ["dim", "cell_a", "chunk_a"]).join(side("b"), ["dim", "cell_b", "chunk_b"])
     links = materialize(both.repartition("dim", "cell_a", "chunk_a", "cell_b", "chunk_b").mapInPandas(_pairs(cosine), "key long, id long, n long, root long"))
-    comp = connected_components(links.select(F.col("id").alias("src"), F.col("root").alias("dst")))
+    # rows that repeat an id with another vector, or without a sound one, tie its vectors together
+    mark = lambda c: F.coalesce(c, F.lit(0))
+    states = each.where("id IS NOT NULL").groupBy("id").agg(*(f(mark(F.col(c))).alias(f"{c}_{n}") for c in "ab" for n, f in (("low", F.min), ("high", F.max))))
+    twice = each.where("a IS NOT NULL").join(states.where("a_low <> a_high OR b_low <> b_high").select("id"), "id").join(equal.select("a", "b", "first"), ["a", "b"]).select(F.col("id").alias("src"), F.col("first").alias("dst"))
+    comp = materialize(connected_components(links.select(F.col("id").alias("src"), F.col("root").alias("dst")).unionByName(twice)))
     total = links.groupBy("key").agg(F.sum("n").alias("n"))
-    out = each.select("key", "id").join(total, "key", "left").join(comp, F.col("id") == F.col("node"), "left")
-    return out.select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    label = equal.join(total, "key", "left").join(comp, F.col("first") == F.col("node"), "left")
+    label = materialize(label.select("a", "b", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id")))
+    linked = each.where("a IS NOT NULL").select("id", "a", "b").join(label, ["a", "b"]).select("id", "n_links", "component_id")
+    alone = each.where("a IS NULL").select("id").join(comp, F.col("id") == F.col("node"), "left").select("id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    return linked.unionByName(alone)
 
 
 def _by_dim(rows) -> dict[int, list]:

@@ -71,10 +71,14 @@ def license_spans(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
     than the template by more than half. Rows with a null id or text find nothing; rows that repeat an id count as one.
     """
     grams = template_grams(docs.sparkSession, templates, k)
-    grams = F.broadcast(grams) if grams.count() <= BROADCAST_GRAMS else grams
+    few = grams.count() <= BROADCAST_GRAMS
     words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
     each = words.select("id", "words", F.posexplode(rolling_grams(F.col("words"), k)).alias("pos", "hash"))
-    hits = each.join(grams, F.col("hash") == F.col("h")).where(F.slice("words", F.col("pos") + 1, k) == F.col("gram"))
+    here = F.slice("words", F.col("pos") + 1, k)
+    if few:
+        hits = each.join(F.broadcast(grams), F.col("hash") == F.col("h")).where(here == F.col("gram"))
+    else:  # only a gram's own words go through the shuffle, not its text's
+        hits = each.select("id", "pos", "hash", here.alias("here")).join(grams, F.col("hash") == F.col("h")).where("here = gram")
     diagonals = hits.groupBy("id", "template", "label", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_set("at").alias("ats"))
     order = Window.partitionBy("id", "template").orderBy("diagonal")
     joined = (F.col("diagonal") - F.lag("diagonal").over(order) <= gap) & (F.col("low") - F.lag("high").over(order) <= k + gap)

@@ -203,6 +203,13 @@ def test_embeddings(spark, folder):
     assert embeddings.cosine_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_copies_and_repeated_ids(spark):
+    rows = [(7, [1.0, 0.0], 1)] * 3 + [(3, [1.0, 0.0], 1), (5, [2.0, 0.1], 2), (5, [0.0, 1.0], 2), (4, [0.0, 3.0], 2), (4, None, 2), (9, [-1.0, 0.0], 2)]
+    got = embeddings.cosine_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, weight int")).collect()
+    want = [(7, 4, 3)] * 3 + [(3, 4, 3), (5, 4, 3), (5, 1, 3), (4, 1, 3), (4, 0, 3), (9, 0, 9)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_licenses(spark, folder, texts):
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = {r["doc_id"]: r for r in QUERIES["op9_licenses"](spark, folder).collect()}
