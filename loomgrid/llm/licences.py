@@ -73,7 +73,8 @@ def license_spans(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
     grams = template_grams(docs.sparkSession, templates, k)
     few = grams.count() <= BROADCAST_GRAMS
     words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    each = words.select("id", "words", F.posexplode(rolling_grams(F.col("words"), k)).alias("pos", "hash"))
+    # outer: a text without grams gives a null that joins nothing; else Spark would build all grams once more to test for empty arrays
+    each = words.select("id", "words", F.posexplode_outer(rolling_grams(F.col("words"), k)).alias("pos", "hash"))
     here = F.slice("words", F.col("pos") + 1, k)
     if few:
         hits = each.join(F.broadcast(grams), F.col("hash") == F.col("h")).where(here == F.col("gram"))
