@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,25 +15,50 @@ from .common import materialize
 from .token_counts import load_tokenizer
 
 VOCABULARY, END_ID, LIMIT = "word_bpe_49k.json", 2, 4096
-CACHED_CHARS, CACHED_WORDS = 48, 300_000
+CACHED_CHARS, CACHED_WORDS = 48, 800_000
+#: Words of ASCII and Latin-1 letters with punctuation after them: two pre-tokens, whatever the library's Unicode version.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%*&)\]]*)")
 
 
 class WordIds(dict):
-    """Ids of words as little-endian unsigned 32-bit numbers. The vocabulary drops white space and no pre-token reaches over a blank or line feed, so a text's ids are those of its words in turn."""
+    """Ids of words as little-endian unsigned 32-bit numbers. The vocabulary drops white space and no pre-token reaches over a blank or line feed, so a text's ids are those of its words in turn.
+
+    Memory is bounded: long words are not kept, and a full table takes the place of the one before it, where words are
+    still found, so frequent words stay.
+    """
 
     def __init__(self, path: str):
-        self.tok = load_tokenizer(path)
+        self.tok, self.old = load_tokenizer(path), {}
 
     def __missing__(self, word: str) -> bytes:
         return self.learn([word])[word]
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        import numpy as np
-
-        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True)}
-        if len(self) + len(new) > CACHED_WORDS:
+    def keep(self, found: dict[str, bytes]) -> None:
+        if len(self) + len(found) > CACHED_WORDS // 2:
+            self.old = dict(self)
             self.clear()
-        self.update((w, x) for w, x in new.items() if len(w) <= CACHED_CHARS)
+        self.update(found if max(map(len, found), default=0) <= CACHED_CHARS else {w: x for w, x in found.items() if len(w) <= CACHED_CHARS})
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words. A plain word is lower-cased and cut from its punctuation, as the library does, so that its forms are merged once."""
+        new, parts, got, old = {}, {}, {}, self.old
+        for w in words:
+            if w in old:
+                new[w] = old[w]
+                continue
+            m = PLAIN.fullmatch(w)
+            parts[w] = ps = (m[1].lower(), m[2]) if m else (w,)
+            for p in ps:
+                if p not in got:
+                    got[p] = self.get(p, old.get(p))
+        todo = [p for p, x in got.items() if x is None]
+        for p, e in zip(todo, self.tok.encode_batch_fast(todo, add_special_tokens=False), strict=True):
+            ids = e.ids
+            got[p] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, ps in parts.items():
+            new[w] = got[ps[0]] + got[ps[1]] if len(ps) == 2 else got[w]
+        self.keep(got)
+        self.keep(new)
         return new
 
     def ids(self, text: str) -> bytes:
