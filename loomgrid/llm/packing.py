@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,11 +17,13 @@ from .token_counts import load_tokenizer
 
 VOCABULARY, END_ID, LIMIT = "word_bpe_49k.json", 2, 4096
 CACHED_CHARS, CACHED_WORDS = 48, 800_000
-#: Words of ASCII and Latin-1 letters with punctuation after them: two pre-tokens, whatever the library's Unicode version.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%*&)\]]*)")
+#: Characters of text whose words are looked up together, and words merged in one call.
+SPAN_CHARS, CALL_WORDS = 1 << 19, 4096
+#: Lines that are words of ASCII and Latin-1 letters with punctuation after them: two pre-tokens, whatever the library's Unicode version.
+PLAIN = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%*&)\]]*)$", re.M)
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of words as little-endian unsigned 32-bit numbers. The vocabulary drops white space and no pre-token reaches over a blank or line feed, so a text's ids are those of its words in turn.
 
     Memory is bounded: long words are not kept, and a full table takes the place of the one before it, where words are
@@ -28,46 +31,102 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        self.tok, self.old = load_tokenizer(path), {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.learn([word])[word]
-
-    def keep(self, found: dict[str, bytes]) -> None:
-        if len(self) + len(found) > CACHED_WORDS // 2:
-            self.old = dict(self)
-            self.clear()
-        self.update(found if max(map(len, found), default=0) <= CACHED_CHARS else {w: x for w, x in found.items() if len(w) <= CACHED_CHARS})
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words. A plain word is lower-cased and cut from its punctuation, as the library does, so that its forms are merged once."""
-        new, parts, got, old = {}, {}, {}, self.old
-        for w in words:
-            if w in old:
-                new[w] = old[w]
-                continue
-            m = PLAIN.fullmatch(w)
-            parts[w] = ps = (m[1].lower(), m[2]) if m else (w,)
-            for p in ps:
-                if p not in got:
-                    got[p] = self.get(p, old.get(p))
-        todo = [p for p, x in got.items() if x is None]
-        for p, e in zip(todo, self.tok.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            ids = e.ids
-            got[p] = struct.pack(f"<{len(ids)}I", *ids)
-        for w, ps in parts.items():
-            new[w] = got[ps[0]] + got[ps[1]] if len(ps) == 2 else got[w]
-        self.keep(got)
-        self.keep(new)
-        return new
+        import numpy as np
+
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        self.tok = load_tokenizer(path)
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        blanks = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
+        form |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [blanks, as_bytes]}}
+        self.merger = type(self.tok).from_str(json.dumps(form))
+        vocab, suffix = self.tok.get_vocab(with_added_tokens=False), form["model"].get("end_of_word_suffix") or ""
+        self.last = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
+        if suffix:
+            self.last[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+
+    def merge(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of lower-case pre-tokens, merged many at a time: the token that ends one is marked in the vocabulary."""
+        import numpy as np
+
+        out = {}
+        for k in range(0, len(parts), CALL_WORDS):
+            some = parts[k : k + CALL_WORDS]
+            ids = np.array(self.merger.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) * 4 + 4).tolist()
+            if len(ends) == len(some):
+                data = ids.tobytes()
+                out.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends))
+            else:  # a vocabulary that marks no ends
+                out |= self.whole(some)
+        return out
+
+    def whole(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of any words, by the library's full way."""
+        return {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+
+    def learn(self, words: set[str]) -> None:
+        """Put words into the table. A plain word is lower-cased and cut from its punctuation, as the library does, so that its forms are merged once."""
+        if len(self.parts) > CACHED_WORDS // 2:
+            self.parts = {"": b""}
+        plain = [(s + p, s.lower(), p) for s, p in PLAIN.findall("\n".join(words))]
+        new = {s for _, s, _ in plain}.union(p for _, _, p in plain).difference(self.parts)
+        parts = self.parts
+        parts.update(self.merge(list(new)))
+        self.known.update([(w, parts[s] + parts[p]) for w, s, p in plain])
+        for s in [s for s in new if len(s) > CACHED_CHARS]:
+            del parts[s]
+        if odd := list(words.difference(self.known)):
+            self.known.update(self.whole(odd))
+
+    def span(self, texts: list[str]) -> list[bytes]:
+        """The ids of some short texts, whose words are looked up together."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        words = set().union(*split)
+        unknown = words.difference(self.known)
+        if len(self.known) + len(unknown) > CACHED_WORDS // 2:
+            self.old, self.known, unknown = self.known, {}, words
+        if self.old:
+            again = self.old.keys() & unknown
+            self.known.update([(w, self.old[w]) for w in again])
+            unknown = unknown - again
+        if unknown:
+            self.learn(unknown)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, ws)) for ws in split]
+        for w in [w for w in unknown if len(w) > CACHED_CHARS]:
+            del self.known[w]
+        return out
 
     def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        unknown = [w for w in set(words) if w not in self]
-        if not unknown:
-            return b"".join(map(self.__getitem__, words))
-        new = self.learn(unknown)
-        return b"".join([new[w] if w in new else self[w] for w in words])
+        """The ids of a text of any length, looked up in spans that end at blanks."""
+        at, out = 0, []
+        while len(text) - at > SPAN_CHARS:
+            cut = max(text.rfind(" ", at, at + SPAN_CHARS), text.rfind("\n", at, at + SPAN_CHARS))
+            if cut <= at:
+                ends = [k for k in (text.find(" ", at + SPAN_CHARS), text.find("\n", at + SPAN_CHARS)) if k >= 0]
+                cut = min(ends, default=len(text))
+            out += self.span([text[at:cut]])
+            at = cut + 1
+        return b"".join(out + self.span([text[at:]]))
+
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of texts in turn."""
+        held: list[str] = []
+        size = 0
+        for t in texts:
+            if size + len(t) > SPAN_CHARS:
+                yield from self.span(held)
+                held, size = [], 0
+            if len(t) > SPAN_CHARS:
+                yield self.ids(t)
+            else:
+                held.append(t)
+                size += len(t)
+        yield from self.span(held)
 
 
 _words: dict[str, WordIds] = {}
@@ -85,8 +144,8 @@ def token_pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int | N
         words, end = _words[path], b"" if end_id is None else end_id.to_bytes(4, "little")
         for x in batches:
             rows = []
-            for i, text in zip(x["id"], x["text"], strict=True):
-                ids = words.ids(text or "") + end
+            for i, found in zip(x["id"], words.many(t or "" for t in x["text"]), strict=True):
+                ids = found + end
                 n = len(ids) // 4
                 rows += [(i, s, min(limit, n - s), ids[4 * s : 4 * (s + limit)], n) for s in range(0, n, limit)]
             yield pd.DataFrame(rows, columns=["id", "start", "length", "ids", "doc_tokens"]).astype({"id": "Int64"})
