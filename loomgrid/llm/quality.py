@@ -93,6 +93,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, b
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
+def keep_passing(judged: DataFrame, columns: list[str]) -> DataFrame:
+    """columns of the rows of judged, from quality_rules(), that are kept.
+
+    A filter on kept would be pushed below the steps that lead to it, with every step written out again wherever the next
+    one names it: the words of a text would be split dozens of times. An exploded array of one or no elements stays above
+    them, so each step is worked out once a row.
+    """
+    one = F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("__one")
+    return judged.select(*(F.col(f"`{c}`") for c in columns), one).drop("__one")
+
+
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -247,6 +247,9 @@ def test_quality(spark, folder, texts, odd):
     assert sum(r["kept"] for i, r in got.items() if good.get(i) == 0) <= 0.05 * len(got)
     labels = spark.createDataFrame([(1, 1), (None, 1), (1, 1)], "doc_id long, quality int")
     assert quality.quality_rules(odd, labels).where("kept IS NULL").count() == 0
+    judged = quality.quality_rules(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    passing = quality.keep_passing(judged, ["doc_id", "text"])
+    assert passing.columns == ["doc_id", "text"] and {r[0] for r in passing.select("doc_id").collect()} == {i for i, r in got.items() if r["kept"]}
     assert quality.quality_rules(odd, labels.limit(0)).count() == len(ODD) and quality.quality_rules(odd.limit(0), labels).count() == 0
 
 
