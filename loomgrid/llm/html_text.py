@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -26,7 +27,6 @@ NOISE = frozenset("ad ads adv advert advertisement banner breadcrumb breadcrumbs
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-SPACE = re.compile(r"\s+")
 
 
 def page_host(url):
@@ -34,6 +34,7 @@ def page_host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+@lru_cache(maxsize=1 << 14)
 def _marks(attributes: str) -> tuple[str, bool]:
     """(generalised classes, skipped?) of an element's attributes."""
     classes, skipped = [], False
@@ -66,7 +67,7 @@ def blocks_of(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str
     def flush():
         nonlocal linked
         if parts:
-            text = SPACE.sub(" ", unescape("".join(parts))).strip()
+            text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             n, linked = linked, 0
             if text:
@@ -108,7 +109,7 @@ def blocks_of(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str
             at = after.end() if after else end
             continue
         serial += 1
-        classes, marked = _marks(m[3])
+        classes, marked = _marks(m[3]) if len(m[3]) < 512 else _marks.__wrapped__(m[3])
         skip = marked or name in SKIPPED
         above = next((s[1] for s in reversed(stack) if s[1]), "")
         stack.append((name, f"{above}>{name}{classes}" if name in CONTAINERS else "", serial, skip))
