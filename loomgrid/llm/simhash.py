@@ -29,14 +29,14 @@ def references(n: int) -> list[int]:
     return [xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 2025) for i in range(n)]
 
 
-def fingerprint(data: bytes, width: int = 3) -> int:
-    """The SimHash of a UTF-8 text, as a signed 64-bit number."""
+def shingle_hashes(data: bytes, width: int):
+    """The XXH64 hashes of the width-word shingles of a UTF-8 text, in arrays of CHUNK at most; a shorter text is one shingle."""
     import numpy as np
     import xxhash
 
     words = data.lower().split()
     if not words:
-        return 0
+        return
     text = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     end = np.cumsum(size) - 1
@@ -45,13 +45,26 @@ def fingerprint(data: bytes, width: int = 3) -> int:
         start, end = start[:1], end[-1:]
     else:
         start, end = start[: len(words) - width + 1], end[width - 1 :]
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for i in range(0, len(start), CHUNK):
         spans = zip(start[i : i + CHUNK].tolist(), end[i : i + CHUNK].tolist())
-        h = np.array([digest(text[a:b], SEED) for a, b in spans], np.uint64)
+        yield np.array([digest(text[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def majority_bits(hashes, n: int) -> int:
+    """The bits that more than half of n hashes, given in arrays, have set; as a signed 64-bit number."""
+    import numpy as np
+
+    total = np.zeros(64, np.int64)
+    for h in hashes:
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(total * 2 > len(start), bitorder="little")
-    return int(bits.view(np.int64)[0])
+    return int(np.packbits(total * 2 > n, bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(data: bytes, width: int = 3) -> int:
+    """The SimHash of a UTF-8 text, as a signed 64-bit number."""
+    hashes = list(shingle_hashes(data, width))
+    return majority_bits(hashes, sum(map(len, hashes)))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
