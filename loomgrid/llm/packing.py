@@ -156,6 +156,8 @@ def token_pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int | N
 def packing_patterns(histogram: dict[int, int], limit: int) -> list[tuple[int, tuple[int, ...]]]:
     """(count, lengths) of the packs: lengths are placed longest first, each into the open packs with the most room left.
 
+    If none has room, new packs are opened in bulk, each filled with as many pieces of the length as it holds: that is where
+    the pieces would go one by one, as the pack just opened is then the only one with room.
     Packs with the same room and contents are one entry with a count, so the work depends on limit and on the number of
     different lengths, not on the number of documents.
     """
@@ -177,7 +179,10 @@ def packing_patterns(histogram: dict[int, int], limit: int) -> list[tuple[int, t
                 heapq.heappop(heap)
             room = -heap[0] if heap else 0
             if room < length:
-                put(left, (length,), limit - length)
+                each = limit // length
+                for count, n in ((left // each, each), (1, left % each)):
+                    if count and n:
+                        put(count, (length,) * n, limit - n * length)
                 break
             pack = open_packs[room][-1]
             take = min(left, pack[0])
