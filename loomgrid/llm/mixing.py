@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANK_CLASS, materialize
+from .common import BLANK_CLASS, materialize, scoped
 
 LEVELS = ("domain", "lang", "source")
 SEED, BUCKET_HEX = 7, 3
@@ -67,6 +67,7 @@ def order_key(doc_id: Column, epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+@scoped
 def mix_sources(docs: DataFrame, total_share: float = 1.0, max_epochs: int = 4, weights: Mapping[tuple, int] | None = None, levels: Sequence[str] = LEVELS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the mixture takes, with n_tokens and copies (long, 1 or more): how many epochs hold the row.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scoped
 from .components import connected_components
 
 #: The fingerprint's 64 bits in four blocks of 16.
@@ -117,6 +117,7 @@ def link_fingerprints(fp: DataFrame, bucket_limit: int = 48, n_references: int =
     return pairs.unionByName(stars).distinct()
 
 
+@scoped
 def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = 48) -> DataFrame:
     """(id long, fp long, component_id long): one row per row of docs; fingerprints link at two or fewer differing bits.
 

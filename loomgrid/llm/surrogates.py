@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, materialize
+from .common import LOWER, materialize, scoped
 
 # Forms of entities (Java patterns), titles by gender, names by gender and script.
 EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+'-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
@@ -141,6 +141,7 @@ def units_of(entity: Column) -> Column:
     return F.when(kind == "name", names).otherwise(F.array(unit(kind, entity)))
 
 
+@scoped
 def surrogate_table(units: DataFrame, key: str, max_attempts: int = 12) -> DataFrame:
     """(kind, value, attempt, surrogate): one row per distinct unit; no two units of a kind share a surrogate, and none is a unit itself.
 
@@ -161,6 +162,7 @@ def surrogate_table(units: DataFrame, key: str, max_attempts: int = 12) -> DataF
     raise RuntimeError(f"surrogates still meet after {max_attempts} attempts")
 
 
+@scoped
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the entities of text_col replaced, and n_entities (long) beside it; other columns pass through.
 

@@ -196,16 +196,62 @@ def test_embeddings(spark, folder):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     near = u @ u.T >= 0.95
     root = union(range(300), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
-    for block in (40, 5000):
-        got = {r["id"]: (r["n_links"], r["component_id"]) for r in embeddings.cosine_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=block).collect()}
+    for block in (1 << 25, 256 * 16):
+        got = {r["id"]: (r["n_links"], r["component_id"]) for r in embeddings.cosine_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_bytes=block).collect()}
         assert {i: got[i] for i in range(300)} == {i: (int(near[i].sum()) - 1, root[i]) for i in range(300)}
         assert all(got[i] == (0, i) for i in (900, 901, 902, 903, 904, 905)) and got[None] == (0, None)
     assert embeddings.cosine_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def planted_vectors(n=1500, d=48):
+    """Random vectors, each tenth with neighbours just above and just below the threshold, a chain and a crowd."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, n - 3, 10):
+        for k, cos in ((1, 0.9501), (2, 0.9499)):
+            side = x[i + k] - (x[i + k] @ x[i]) * x[i]
+            x[i + k] = cos * x[i] + np.sqrt(1 - cos * cos) * side / np.linalg.norm(side)
+    crowd = rng.choice(n, 200, replace=False)
+    x[crowd] = x[crowd[0]] + 0.02 * rng.normal(size=(200, d))
+    return x.astype(np.float32)
+
+
+def test_embedding_query_against_brute_force(spark, tmp_path):
+    x = planted_vectors()
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    root = union(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in QUERIES["op8_embedding_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, root[i], root[i] == i) for i in range(len(x))}
+    assert near.sum() - len(x) > 200 * 199
+
+
+@pytest.mark.parametrize(("spread", "centres"), [(1.0, 0), (0.3, 40), (0.1, 40), (0.6, 1)])
+def test_dual_traversal_against_products(spread, centres):
+    rng = np.random.default_rng(3)
+    sides = []
+    base = rng.normal(size=(max(centres, 1), 24))
+    for n in (900, 500):
+        raw = spread * rng.normal(size=(n, 24)) + (base[rng.integers(0, centres, n)] if centres else 0)
+        order, levels = embeddings.cover_tree(embeddings.units(raw).astype(np.float32))
+        sides.append(embeddings.Side(raw[order], rng.integers(1, 4, n), levels))
+    for a, b in ((sides[0], sides[1]), (sides[0], sides[0])):
+        found = embeddings.Traversal(a, b, 0.95)
+        found.run()
+        near = embeddings.units(a.raw) @ embeddings.units(b.raw).T >= 0.95
+        if a is b:
+            np.fill_diagonal(near, False)
+        assert (found.count_a == near @ b.weight).all() and (found.count_b == near.T @ a.weight).all()
+
+
 def test_embeddings_copies_and_repeated_ids(spark):
     rows = [(7, [1.0, 0.0], 1)] * 3 + [(3, [1.0, 0.0], 1), (5, [2.0, 0.1], 2), (5, [0.0, 1.0], 2), (4, [0.0, 3.0], 2), (4, None, 2), (9, [-1.0, 0.0], 2)]
-    got = embeddings.cosine_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, weight int")).collect()
+    names = "vec_id long, embedding array<double>, weight int, key int, cell int, dim int, node int, component int, first int, n int"
+    got = embeddings.cosine_links(spark.createDataFrame([(*r, *[1] * 7) for r in rows], names)).collect()
     want = [(7, 4, 3)] * 3 + [(3, 4, 3), (5, 4, 3), (5, 1, 3), (4, 1, 3), (4, 0, 3), (9, 0, 9)]
     assert sorted(map(tuple, got)) == sorted(want)
 
