@@ -5,92 +5,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS
+from .common import BLANK_CLASS, BLANKS
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
+RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+BASE = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
+#: Buckets of the hashed n-grams, the smoothing of their counts, the least mean log-likelihood ratio of a text that is kept.
+BUCKETS, ALPHA, THRESHOLD = 1 << 15, 10.0, -0.1
+#: So many trusted ids at most (16 MB) are broadcast; more are joined by shuffle.
+TRUSTED_BROADCAST = 2_000_000
 
 
-def text_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed (boolean).
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    Words are [^\\x20\\x09-\\x0D]+. A null or blank text has no words and fails. Repeated windows are found inside the row:
-    the 64-bit hashes of its 8-word windows are compared as a set, and only where that is smaller than their number are
-    they sorted to see which positions repeat. Columns of docs with these names are replaced, others pass through.
-    """
-    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+def running(hashes: Column, step: int = 1) -> Column:
+    """The hashes of each element with the one step further on; two words running, of word hashes."""
+    return F.zip_with(hashes, F.slice(hashes, step + 1, F.greatest(F.size(hashes) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+
+
+def _steps(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with the columns of text_rules() but base_failed, and with __g: the hashes of all words and word pairs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn("__w", F.filter(F.split(text, f"{BLANK_CLASS}+"), lambda w: w != ""))
-    out = out.withColumn("__l", F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    out = out.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
-    for step in (1, 2, 4):
-        out = out.withColumn("__h", F.zip_with("__h", F.slice("__h", step + 1, F.greatest(F.size("__h") - step, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+    out = out.withColumn("__l", F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    out = out.withColumn("__h", word_hashes(F.col("__w")))
+    out = out.withColumn("__2", running(F.col("__h")))  # its last element is the last word with nothing after it
+    out = out.withColumn("__g", F.concat("__h", F.slice("__2", 1, F.greatest(F.size("__2") - 1, F.lit(0)))))
+    out = out.withColumn("__h", running(F.col("__2"), 2))
+    out = out.withColumn("__h", running(F.col("__h"), 4))
     out = out.withColumn("__h", F.slice("__h", 1, F.greatest(F.size("__w") - (WINDOW - 1), F.lit(0))))
     twice = F.size(F.array_distinct("__h")) < F.size("__h")
     out = out.withColumn("__s", F.when(twice, F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     near = F.zip_with(F.col("__s"), F.slice("__s", 2, F.greatest(F.size("__s") - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
     out = out.withColumn("__p", F.array_sort(F.array_distinct(F.flatten(F.filter(near, lambda x: x.isNotNull())))))
     gaps = F.zip_with("__p", F.slice("__p", 2, F.greatest(F.size("__p") - 1, F.lit(0))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
-    out = out.withColumns({
+    return out.withColumns({
         "n_words": F.size("__w").cast("long"),
         "word_chars": F.char_length(F.array_join("__w", "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
         "n_repeat_words": F.coalesce(F.aggregate(gaps, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long"),
-    })
-    return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).drop("__w", "__l", "__h", "__s", "__p")
+    }).drop("__w", "__l", "__h", "__2", "__s", "__p")
 
 
-def gram_buckets(text: Column, buckets: int) -> Column:
-    """The bucket of every n-gram (two words running, with a mark at both ends) of a text's word shapes.
+def text_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed (boolean).
 
-    A shape keeps the punctuation of a word and turns each run of lower-case letters into a, of capitals into A and of
-    digits into 0, so the multinomials see how text is written and not which of millions of rare words it holds.
+    Words are [^\\x20\\x09-\\x0D]+. A null or blank text has no words and fails. Repeated windows are found inside the row:
+    the 64-bit hashes of its 8-word windows are compared as a set, and only where that is smaller than their number are
+    they sorted to see which positions repeat. Columns of docs with these names are replaced, others pass through. Each row
+    is judged by itself, whatever its id, so repeats, ties and null ids need no care; a very long text is a longer array in
+    its row. An empty table gives an empty one.
     """
-    shape = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\p{Ll}\\p{Lo}\\p{Lm}\\p{M}]+", "a")
-    shape = F.regexp_replace(F.regexp_replace(shape, "[\\p{Lu}\\p{Lt}]+", "A"), "\\p{N}+", "0")
-    words = F.filter(F.split(shape, f"{BLANK_CLASS}+"), lambda w: w != "")
-    first = F.concat(F.array(F.lit("^")), words)
-    return F.zip_with(first, words, lambda a, b: F.pmod(F.xxhash64(a, F.coalesce(b, F.lit("$"))), F.lit(buckets)).cast("int"))
+    return _steps(docs.drop(*RULES), text_col).withColumn("base_failed", F.expr(BASE)).drop("__g")
 
 
-def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = 8192, alpha: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
-    """log(p_trusted / p_raw) per bucket, as counted over all of docs and over those whose id is in trusted.
+def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = TRUSTED_BROADCAST) -> list[float]:
+    """log(p_trusted / p_raw) per bucket of word and word-pair hashes, as counted over all of docs and over those whose id is in trusted.
 
-    trusted: one column id_col; repeats and nulls do no harm. Counts are summed per bucket in the tasks before the
-    shuffle; the driver gets one row per bucket, buckets of them at most. Both multinomials are smoothed with alpha.
+    trusted: one column id_col; repeats and nulls do no harm. Their number is counted first: up to most_broadcast ids are
+    sent to the tasks, more are joined by shuffle, with the same counts. Counts are summed per bucket in the tasks before
+    the shuffle; the driver gets one row per bucket, buckets of them at most. Both multinomials are smoothed: alpha is
+    added to a bucket's count in the target and to its raw count as scaled to the target's size, so a bucket that is
+    hardly ever seen says nothing in either direction.
     """
-    marked = docs.select(F.col(id_col).alias("__id"), gram_buckets(F.col(text_col), buckets).alias("g")).join(trusted.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().withColumn("t", F.lit(1)), "__id", "left")
-    counts = marked.select("t", F.explode("g").alias("g")).groupBy("g").agg(F.count("*").alias("raw"), F.count("t").alias("target")).collect()
-    raw, target = [alpha] * buckets, [alpha] * buckets
-    for r in counts:
-        raw[r["g"]] += r["raw"]
-        target[r["g"]] += r["target"]
     import math
 
-    all_raw, all_target = sum(raw), sum(target)
-    return [math.log(t / all_target) - math.log(r / all_raw) for t, r in zip(target, raw, strict=True)]
-
-
-def gram_score(text: Column, ratio: list[float]) -> Column:
-    """The mean log-likelihood ratio of a text's n-grams; every text has at least one, the one between its two marks."""
+    ids = trusted.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().withColumn("t", F.lit(1))
+    ids = F.broadcast(ids) if ids.count() <= most_broadcast else ids
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = docs.select(F.col(id_col).alias("__id"), word_hashes(F.filter(F.split(text, f"{BLANK_CLASS}+"), lambda w: w != "")).alias("h"))
+    pairs = words.withColumn("p", running(F.col("h"))).select("__id", F.concat("h", F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0)))).alias("g"))
+    # outer: a text without words gives a null that is left out after; else Spark would hash all words once more to test for empty arrays
+    grams = pairs.join(ids, "__id", "left").select("t", F.explode_outer("g").alias("g")).where("g IS NOT NULL")
+    counts = grams.groupBy(F.pmod("g", F.lit(buckets)).alias("g")).agg(F.count("*").alias("raw"), F.count("t").alias("target")).collect()
+    all_raw, all_target = sum(r["raw"] for r in counts), sum(r["target"] for r in counts)
+    ratio = [0.0] * buckets
+    if all_target:
+        for r in counts:
+            ratio[r["g"]] = math.log((r["target"] + alpha) / (r["raw"] * all_target / all_raw + alpha))
+    return ratio
+
+
+def gram_score(grams: Column, ratio: list[float]) -> Column:
+    """The mean log-likelihood ratio of an array of word and word-pair hashes; 0 if there is none."""
     table = F.split(F.lit(",".join(repr(x) for x in ratio)), ",").cast("array<double>")
-    grams = gram_buckets(text, len(ratio))
-    total = F.aggregate(grams, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, g: F.struct((a["s"] + F.get(table, g)).alias("s"), (a["n"] + 1).alias("n")))
-    return F.transform(F.array(total), lambda a: F.try_divide(a["s"], a["n"]))[0]
+    total = F.aggregate(grams, F.lit(0.0), lambda a, g: a + F.get(table, F.pmod(g, F.lit(len(ratio))).cast("int")))
+    return F.coalesce(F.try_divide(total, F.size(grams)), F.lit(0.0))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the columns of text_rules(), score (double, mean log-likelihood ratio) and kept (boolean).
 
-    The trusted target are the rows of docs whose id labels marks with quality 1; the raw corpus are all rows. kept is
-    false if base_failed, else score >= threshold: the same for every row, nothing is drawn at random. Without any
-    trusted row the target multinomial is flat, which judges nothing, so score is then 0. Nulls: see text_rules().
+    The trusted target are the rows of docs whose id labels marks with quality 1; the raw corpus are all rows, those with a
+    null id too. kept is false if base_failed, else score >= threshold: the same for every row, nothing is drawn at random.
+    Without any trusted row nothing is known of the target, so score is then 0. Nulls, ties and odd texts: see text_rules().
     """
-    trusted = labels.where("quality = 1").select(F.col("doc_id").alias(id_col))
-    ratio = fit_ratio(docs, trusted, buckets, id_col=id_col, text_col=text_col) if not trusted.isEmpty() else [0.0] * buckets
-    out = text_rules(docs.drop("score", "kept"), text_col).withColumn("score", gram_score(F.col(text_col), ratio))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    ratio = fit_ratio(docs, labels.where("quality = 1").select(F.col("doc_id").alias(id_col)), buckets, id_col=id_col, text_col=text_col)
+    out = _steps(docs.drop(*RULES, "score", "kept"), text_col).withColumn("score", gram_score(F.col("__g"), ratio)).drop("__g")
+    return out.withColumn("base_failed", F.expr(BASE)).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
 def keep_passing(judged: DataFrame, columns: list[str]) -> DataFrame:

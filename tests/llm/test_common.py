@@ -29,11 +29,12 @@ def test_tables_are_dropped_when_the_result_does_not_read_them(spark):
     assert len(common._written) == len(before) + 1
 
 
-def test_a_session_without_a_checkpoint_folder():
+def test_a_session_without_a_checkpoint_folder(tmp_path):
     code = """
         from pyspark.sql import SparkSession
-        spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "").getOrCreate()
+        spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
         from loomgrid.llm import common
+        assert not spark.conf.get("spark.checkpoint.dir", None)
         for _ in range(2):
             assert common.materialize(spark.range(3)).count() == 3
         class Far:
@@ -45,6 +46,6 @@ def test_a_session_without_a_checkpoint_folder():
         except RuntimeError as e:
             print("raised", e)
     """
-    said = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    said = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=ROOT, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True, timeout=120)
     assert said.returncode == 0, said.stderr[-2000:]
     assert "raised set spark.checkpoint.dir" in said.stdout
