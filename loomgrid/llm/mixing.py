@@ -12,6 +12,9 @@ from .common import BLANK_CLASS, materialize, scoped
 
 LEVELS = ("domain", "lang", "source")
 SEED, BUCKET_HEX = 7, 3
+#: Shares are stated in parts of this; the query's and the pipeline's stated shares of the sample tables' domains.
+WHOLE = 1000
+TARGET = {("domain0",): 300, ("domain1",): 100}
 
 
 def word_count(text: Column) -> Column:
@@ -23,16 +26,24 @@ def domain_of(source: Column) -> Column:
     return F.concat(F.lit("domain"), F.coalesce(F.floor(F.right(source, F.lit(1)).try_cast("int") / 2).cast("string"), F.lit("-")))
 
 
-def node_weight(path: Sequence[str], weights: Mapping[tuple, int], tokens: Column) -> Column:
-    """A node's whole-number weight among its siblings: the one given for its path, else the square root of its tokens."""
-    out = F.greatest(F.floor(F.sqrt(tokens.cast("double"))).cast("long"), F.lit(1))
-    for key, w in weights.items():
+def with_weights(nodes: DataFrame, path: Sequence[str], parent: Sequence[str], weights: Mapping[tuple, int]) -> DataFrame:
+    """nodes (path..., tokens) with weight, a whole number: what a node counts among its siblings.
+
+    weights gives nodes by path their share in thousandths of what the parent gives; the siblings that it doesn't name
+    have the rest among them by the square roots of their tokens. So a stated share is the same at every size of the table.
+    """
+    w = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
+    share = F.lit(None).cast("long")
+    for key, thousandths in weights.items():
         if len(key) == len(path):
             same = F.lit(True)
             for c, v in zip(path, key, strict=True):
                 same = same & (F.col(c) == v)
-            out = F.when(same, F.lit(int(w)).cast("long")).otherwise(out)
-    return out
+            share = F.when(same, F.lit(int(thousandths)).cast("long")).otherwise(share)
+    out = nodes.withColumns({"share": share, "root": F.greatest(F.floor(F.sqrt(F.col("tokens").cast("double"))).cast("long"), F.lit(1))})
+    roots = F.coalesce(F.sum(F.when(F.col("share").isNull(), F.col("root"))).over(w), F.lit(1))
+    rest = F.greatest(F.lit(WHOLE) - F.coalesce(F.sum("share").over(w), F.lit(0)), F.lit(1))
+    return out.withColumn("weight", F.when(F.col("share").isNotNull(), F.col("share") * roots).otherwise(rest * F.col("root"))).drop("share", "root")
 
 
 def share_out(children: DataFrame, parent: Sequence[str]) -> DataFrame:
@@ -57,7 +68,7 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], total: int, max_epoch
     for depth in range(1, len(levels) + 1):
         path, parent = list(levels[:depth]), list(levels[: depth - 1])
         nodes = leaves.groupBy(*path).agg(F.sum("tokens").alias("tokens"))
-        nodes = nodes.withColumns({"cap": F.col("tokens") * max_epochs, "weight": node_weight(path, weights or {}, F.col("tokens")), "node": F.col(path[-1])})
+        nodes = with_weights(nodes.withColumns({"cap": F.col("tokens") * max_epochs, "node": F.col(path[-1])}), path, parent, weights or {})
         nodes = nodes.withColumn("parent_budget", F.lit(int(total)).cast("long")) if budget is None else nodes.join(budget.withColumnRenamed("budget", "parent_budget"), parent)
         budget = share_out(nodes, parent).select(*path, "budget")
     return leaves.join(budget, list(levels))
@@ -71,10 +82,11 @@ def order_key(doc_id: Column, epoch: Column, seed: int) -> Column:
 def mix_sources(docs: DataFrame, total_share: float = 1.0, max_epochs: int = 4, weights: Mapping[tuple, int] | None = None, levels: Sequence[str] = LEVELS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the mixture takes, with n_tokens and copies (long, 1 or more): how many epochs hold the row.
 
-    The total is total_share of all tokens (words); a leaf can give max_epochs times its own. It gives whole epochs and,
+    weights: the stated shares, see with_weights(). The total is total_share of all tokens (words); a leaf can give max_epochs times its own. It gives whole epochs and,
     of the next one, the longest prefix of that epoch's seeded order whose tokens fit. Nulls in the level columns count as
     an empty name, a null text has no tokens, rows with an equal or null id stand at one place of the order and go
-    together. Columns of docs named n_tokens or copies are replaced. An empty table gives an empty one.
+    together. Columns of docs named n_tokens or copies are replaced. A very long text is one row with many tokens, taken
+    if it still fits. An empty table gives an empty one.
 
     The text is read to count words; what is shuffled is ids, leaf names and counts. The prefix's end is found from the
     token sums of 4096 slices of a leaf's order, then inside one slice, so no task holds a leaf. Each leaf's end is one
@@ -104,20 +116,21 @@ def mix_sources(docs: DataFrame, total_share: float = 1.0, max_epochs: int = 4,
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("domain", domain_of(F.col("source")))
-    return mix_sources(docs, weights={("domain0",): 3000, ("domain1",): 1000}).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+    return mix_sources(docs, weights=TARGET).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
 
 def _level_sql(depth: int) -> str:
     path, parent = LEVELS[:depth], LEVELS[: depth - 1]
-    weight = "greatest(CAST(floor(sqrt(CAST(sum(tokens) AS DOUBLE))) AS BIGINT), 1)"
-    if depth == 1:
-        weight = f"CASE domain WHEN 'domain0' THEN 3000 WHEN 'domain1' THEN 1000 ELSE {weight} END"
+    root = "greatest(CAST(floor(sqrt(CAST(sum(tokens) AS DOUBLE))) AS HUGEINT), 1)"
+    share = f"CASE domain {' '.join(f"WHEN '{d}' THEN {n}" for (d,), n in TARGET.items())} END" if depth == 1 else "CAST(NULL AS INTEGER)"
     over = f"PARTITION BY {', '.join(parent)}" if parent else "PARTITION BY 0"
     source = "(SELECT CAST(sum(tokens) AS BIGINT) AS budget FROM leaves)" if depth == 1 else f"b{depth - 1}"
     join = f"CROSS JOIN {source} p" if depth == 1 else f"JOIN {source} p USING ({', '.join(parent)})"
     return f"""
-    n{depth} AS (SELECT {', '.join(path)}, CAST(sum(tokens) AS HUGEINT) * 4 AS cap, CAST({weight} AS HUGEINT) AS weight FROM leaves GROUP BY {', '.join(path)}),
-    o{depth} AS (SELECT n.*, CAST(p.budget AS HUGEINT) AS pb,
+    m{depth} AS (SELECT {', '.join(path)}, CAST(sum(tokens) AS HUGEINT) * 4 AS cap, {root} AS root, {share} AS share FROM leaves GROUP BY {', '.join(path)}),
+    n{depth} AS (SELECT *, CASE WHEN share IS NOT NULL THEN share * coalesce(sum(root) FILTER (share IS NULL) OVER w, 1)
+      ELSE root * greatest({WHOLE} - coalesce(sum(share) OVER w, 0), 1) END AS weight FROM m{depth} WINDOW w AS ({over})),
+    o{depth} AS (SELECT n.* EXCLUDE (root, share), CAST(p.budget AS HUGEINT) AS pb,
       sum(cap) OVER (w ORDER BY CAST(cap AS DOUBLE) / weight, {path[-1]} ROWS UNBOUNDED PRECEDING) - cap AS caps_before,
       sum(weight) OVER (w) - sum(weight) OVER (w ORDER BY CAST(cap AS DOUBLE) / weight, {path[-1]} ROWS UNBOUNDED PRECEDING) + weight AS weights_from
       FROM n{depth} n {join} WINDOW w AS ({over})),

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,29 +19,29 @@ from .common import materialize
 from .token_counts import load_tokenizer
 
 VOCABULARY, END_ID, LIMIT = "word_bpe_49k.json", 2, 4096
-CACHED_CHARS, CACHED_WORDS = 48, 800_000
-#: Characters of text whose words are looked up together, and words merged in one call.
-SPAN_CHARS, CALL_WORDS = 1 << 19, 4096
+#: Words and ids in the table after which it starts anew.
+CACHED_WORDS, CACHED_IDS = 1_000_000, 1 << 24
+#: Bytes of text whose words are looked up together, and words merged in one call.
+SPAN_BYTES, CALL_WORDS = 1 << 22, 4096
+#: The name in the table that stands for the end of a text; no word, as words hold no blanks.
+ENDING = " "
 #: Lines that are words of ASCII and Latin-1 letters with punctuation after them: two pre-tokens, whatever the library's Unicode version.
 PLAIN = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%*&)\]]*)$", re.M)
 
 
 class WordIds:
-    """Ids of words as little-endian unsigned 32-bit numbers. The vocabulary drops white space and no pre-token reaches over a blank or line feed, so a text's ids are those of its words in turn.
+    """Ids of words, in one array of numbers that grows. The vocabulary drops white space and no pre-token reaches over a blank or line feed, so a text's ids are those of its words in turn.
 
-    Memory is bounded: long words are not kept, and a full table takes the place of the one before it, where words are
-    still found, so frequent words stay.
+    A word has a code, and a code a run of the array. Words of many texts are split, told apart and looked up together, so
+    that the Python side sees each different word once. Memory is bounded: when the table has too many words or ids, it
+    starts anew with the words of the texts at hand, so frequent words stay.
     """
 
     def __init__(self, path: str):
-        import numpy as np
-
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
         self.tok = load_tokenizer(path)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.reset()
         blanks = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
         as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
         form |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [blanks, as_bytes]}}
@@ -48,85 +51,118 @@ class WordIds:
         if suffix:
             self.last[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
 
-    def merge(self, parts: list[str]) -> dict[str, bytes]:
-        """The ids of lower-case pre-tokens, merged many at a time: the token that ends one is marked in the vocabulary."""
-        import numpy as np
-
-        out = {}
+    def reset(self) -> None:
+        self.codes: dict[str, int] = {"": 0}
+        self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
+        self.start, self.size, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New words with their ids in turn, so many each."""
+        self.put(words, self.used + np.cumsum(sizes) - sizes, sizes)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def put(self, words: list[str], start: np.ndarray, size: np.ndarray) -> None:
+        """New words whose ids the array already has."""
+        while self.n + len(words) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.start[self.n : self.n + len(words)] = start
+        self.size[self.n : self.n + len(words)] = size
+        self.codes.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.n += len(words)
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the codes in turn, how many each code has)."""
+        start, size = self.start[codes], self.size[codes]
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.pool[np.repeat(start - upto + size, size) + np.arange(total)], size
+
+    def merge(self, parts: list[str]) -> None:
+        """Learn lower-case pre-tokens, merged many at a time: the token that ends one is marked in the vocabulary."""
         for k in range(0, len(parts), CALL_WORDS):
             some = parts[k : k + CALL_WORDS]
             ids = np.array(self.merger.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) * 4 + 4).tolist()
+            ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some):
-                data = ids.tobytes()
-                out.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends))
+                self.add(some, ids, np.diff(ends, prepend=0))
             else:  # a vocabulary that marks no ends
-                out |= self.whole(some)
-        return out
-
-    def whole(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of any words, by the library's full way."""
-        return {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True)}
-
-    def learn(self, words: set[str]) -> None:
-        """Put words into the table. A plain word is lower-cased and cut from its punctuation, as the library does, so that its forms are merged once."""
-        if len(self.parts) > CACHED_WORDS // 2:
-            self.parts = {"": b""}
-        plain = [(s + p, s.lower(), p) for s, p in PLAIN.findall("\n".join(words))]
-        new = {s for _, s, _ in plain}.union(p for _, _, p in plain).difference(self.parts)
-        parts = self.parts
-        parts.update(self.merge(list(new)))
-        self.known.update([(w, parts[s] + parts[p]) for w, s, p in plain])
-        for s in [s for s in new if len(s) > CACHED_CHARS]:
-            del parts[s]
-        if odd := list(words.difference(self.known)):
-            self.known.update(self.whole(odd))
-
-    def span(self, texts: list[str]) -> list[bytes]:
-        """The ids of some short texts, whose words are looked up together."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        unknown = words.difference(self.known)
-        if len(self.known) + len(unknown) > CACHED_WORDS // 2:
-            self.old, self.known, unknown = self.known, {}, words
-        if self.old:
-            again = self.old.keys() & unknown
-            self.known.update([(w, self.old[w]) for w in again])
-            unknown = unknown - again
-        if unknown:
-            self.learn(unknown)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
-        for w in [w for w in unknown if len(w) > CACHED_CHARS]:
-            del self.known[w]
-        return out
+                self.whole(some)
+
+    def whole(self, words: list[str]) -> None:
+        """Learn any words, by the library's full way."""
+        for k in range(0, len(words), CALL_WORDS):
+            some = words[k : k + CALL_WORDS]
+            found = [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
+            self.add(some, np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def learn(self, words: list[str]) -> None:
+        """Put new words into the table. A plain word is lower-cased and cut from its punctuation, as the library does, so that its forms are merged once."""
+        codes = self.codes
+        plain = PLAIN.findall("\n".join(words))
+        stems, tails = [s.lower() for s, _ in plain], [p for _, p in plain]
+        self.merge([w for w in dict.fromkeys(chain(stems, tails)) if w not in codes])
+        forms = [s + p for s, p in plain]
+        at = [k for k, w in enumerate(forms) if w not in codes]
+        ends = np.array([[codes[stems[k]], codes[tails[k]]] for k in at], np.int64).reshape(-1, 2)
+        bare = ends[:, 1] == 0
+        first = ends[bare, 0]
+        self.put([forms[k] for k, b in zip(at, bare, strict=True) if b], self.start[first], self.size[first])
+        ids, sizes = self.gather(ends[~bare].ravel())
+        self.add([forms[k] for k, b in zip(at, bare, strict=True) if not b], ids, sizes.reshape(-1, 2).sum(axis=1))
+        self.whole([w for w in words if w not in codes])
+
+    def some(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts in turn, each followed by end_id if there is one; their numbers). At least one text."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        each = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), "\n")[0].as_py().split("\n")
+        if self.n + len(each) > CACHED_WORDS or self.used > CACHED_IDS:
+            self.reset()
+        if new := [w for w in each if w not in self.codes]:
+            self.learn(new)
+        number = np.fromiter(map(self.codes.__getitem__, each), np.int64, len(each))
+        index = number[words.indices.to_numpy()]
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        if end_id is not None:
+            if ENDING not in self.codes:
+                self.add([ENDING], np.array([end_id], "<u4"), np.array([1]))
+            index = np.insert(index, bounds[1:], self.codes[ENDING])
+            bounds = bounds + np.arange(len(bounds))
+        ids, size = self.gather(index)
+        upto = np.r_[0, np.cumsum(size)]
+        return ids, np.diff(upto[bounds])
 
     def ids(self, text: str) -> bytes:
-        """The ids of a text of any length, looked up in spans that end at blanks."""
-        at, out = 0, []
-        while len(text) - at > SPAN_CHARS:
-            cut = max(text.rfind(" ", at, at + SPAN_CHARS), text.rfind("\n", at, at + SPAN_CHARS))
+        """The ids of one text, as little-endian unsigned 32-bit numbers."""
+        return b"".join(ids.tobytes() for ids, _ in self.spans(pa.array([text])))
+
+    def spans(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """some() of so many texts at a time that the arrays stay small; a text that is longer by itself is read in spans that end at blanks and comes alone."""
+        size = np.maximum(pc.binary_length(texts).to_numpy(zero_copy_only=False), 1)
+        upto, at = np.cumsum(size), 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SPAN_BYTES, "right")))
+            if size[at] <= SPAN_BYTES:
+                yield self.some(texts[at:to], end_id)
+            else:
+                to = at + 1
+                found = [self.some(pa.array([part]))[0] for part in self.cut(texts[at].as_py())] + ([] if end_id is None else [np.array([end_id], "<u4")])
+                yield np.concatenate(found), np.array([sum(map(len, found))])
+            at = to
+
+    def cut(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > SPAN_BYTES:
+            cut = max(text.rfind(" ", at, at + SPAN_BYTES), text.rfind("\n", at, at + SPAN_BYTES))
             if cut <= at:
-                ends = [k for k in (text.find(" ", at + SPAN_CHARS), text.find("\n", at + SPAN_CHARS)) if k >= 0]
+                ends = [k for k in (text.find(" ", at + SPAN_BYTES), text.find("\n", at + SPAN_BYTES)) if k >= 0]
                 cut = min(ends, default=len(text))
-            out += self.span([text[at:cut]])
+            yield text[at:cut]
             at = cut + 1
-        return b"".join(out + self.span([text[at:]]))
-
-    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """The ids of texts in turn."""
-        held: list[str] = []
-        size = 0
-        for t in texts:
-            if size + len(t) > SPAN_CHARS:
-                yield from self.span(held)
-                held, size = [], 0
-            if len(t) > SPAN_CHARS:
-                yield self.ids(t)
-            else:
-                held.append(t)
-                size += len(t)
-        yield from self.span(held)
+        yield text[at:]
 
 
 _words: dict[str, WordIds] = {}
@@ -135,22 +171,28 @@ _words: dict[str, WordIds] = {}
 def token_pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, ids binary, doc_tokens): the ids of every text and end_id, cut into pieces of limit ids and a rest.
 
-    A null or empty text has end_id alone. Each row of docs is cut by itself, rows with an equal or null id too.
+    A null or empty text has end_id alone. Each row of docs is cut by itself, rows with an equal or null id too. Texts are
+    read in spans of SPAN_BYTES, so a very long one takes its ids' room and a span's, and an empty table gives an empty one.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _words:
             _words[path] = WordIds(path)
-        words, end = _words[path], b"" if end_id is None else end_id.to_bytes(4, "little")
         for x in batches:
-            rows = []
-            for i, found in zip(x["id"], words.many(t or "" for t in x["text"]), strict=True):
-                ids = found + end
-                n = len(ids) // 4
-                rows += [(i, s, min(limit, n - s), ids[4 * s : 4 * (s + limit)], n) for s in range(0, n, limit)]
-            yield pd.DataFrame(rows, columns=["id", "start", "length", "ids", "doc_tokens"]).astype({"id": "Int64"})
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, start long, length long, ids binary, doc_tokens long")
+            done = 0
+            for ids, n in _words[path].spans(x.column("text"), end_id):
+                pieces = -(-n // limit)
+                row = np.repeat(np.arange(len(n)), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * limit
+                length = np.minimum(limit, n[row] - start)
+                ends = pa.py_buffer(np.r_[0, np.cumsum(length) * 4].astype(np.int32))
+                data = pa.Array.from_buffers(pa.binary(), len(row), [None, ends, pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+                own = x.column("id").slice(done, len(n)).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([own, pa.array(start), pa.array(length), data, pa.array(n[row])], ["id", "start", "length", "ids", "doc_tokens"])
+                done += len(n)
+
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return read.mapInArrow(run, "id long, start long, length long, ids binary, doc_tokens long")
 
 
 def packing_patterns(histogram: dict[int, int], limit: int) -> list[tuple[int, tuple[int, ...]]]:
