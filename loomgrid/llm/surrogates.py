@@ -9,32 +9,42 @@ from pyspark.sql.window import Window
 from .common import LOWER, materialize, scoped
 
 # Forms of entities (Java patterns), titles by gender, names by gender and script.
-EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+'-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+EMAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+'-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|(?:ghp|gho|sk|pk)_[0-9A-Za-z]{20,})(?![\p{L}\p{N}])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])"
 IPV4 = r"(?<![\p{N}.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\p{N})"
+IPV6 = r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f]{1,4}:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])"
 CARD = r"(?<![\p{L}\p{N}-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\p{L}\p{N}-])"
 SSN = r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])"
-PHONE = r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\p{N})|(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\p{N})|(?<![\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{N}.-])"
-TITLES = {"m": "Mr|Herrn?|Monsieur|Señor|Sr|Signor|г-н|господин", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Signora|г-жа|госпожа"}
+CALLED, DIALLED = r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\p{N})|(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\p{N})", r"(?<![\p{N}.-])(?<!\p{N} )\d{3}(?:[.-]\d{3}[.-]| \d{3} )\d{4}(?![\p{N}.-])(?! \p{N})"
+PHONE = f"{CALLED}|{DIALLED}"
+TITLES = {"m": "Mr|Herrn?|Monsieur|Señor|Sr|Signor|г-н|господин", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Signora|г-жа|госпожа", "n": "Dr|Prof"}
+BLANK = "[  ]{1,3}"
 NAME_PART = r"\p{Lu}\p{Ll}[\p{L}'’-]*"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES['m']}|{TITLES['f']})\.?[  ]{NAME_PART}(?: {NAME_PART})?"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(TITLES.values())})\.?{BLANK}{NAME_PART}(?: {NAME_PART})?"
 GIVEN = {
     ("m", "latin"): "Adam Arthur Bruno Daniel David Emil Felix Henry Hugo Jakob Jonas Julian Leon Louis Lucas Martin Oscar Paul Simon Thomas".split(),
     ("f", "latin"): "Alice Anna Clara Elena Emma Eva Hannah Helena Irene Julia Laura Lena Louise Maria Marta Nina Nora Olivia Rosa Sofia".split(),
     ("m", "cyrillic"): "Андрей Антон Борис Виктор Дмитрий Егор Иван Кирилл Максим Михаил Николай Олег Павел Роман Сергей Тимур".split(),
     ("f", "cyrillic"): "Алина Анна Вера Дарья Елена Ирина Ксения Лидия Мария Наталья Нина Ольга Полина Светлана Тамара Юлия".split(),
 }
+GIVEN |= {("n", script): GIVEN["m", script] + GIVEN["f", script] for script in ("latin", "cyrillic")}
 SYLLABLES = {"latin": "ba ber da del fa fen ga ger ha hol ka ker la len ma mer na nor pa ren sa sel ta ten va vin wa wel ya zan".split(), "cyrillic": "ба бер да дел фа фен га гор ка кир ла лен ма мор на нов па рен са сел та тен ва вин за зар".split()}
 #: Letters that a letter of an e-mail name or secret may become; a letter outside keeps its place as it is.
 ACCENTED, CYRILLIC, GREEK = "àáâäçèéêëíîïñóôöùúûüß", "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
-KINDS = [("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ip", IPV4), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("name", NAME)]
-PATTERN = "|".join(p for _, p in KINDS)
+KINDS = [("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ip", IPV4), ("ip6", IPV6), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("name", NAME)]
+#: All kinds in one pattern, in that order; what can begin an entity is looked at first, as most places of a text begin none.
+PATTERN = rf"(?<![\p{{L}}\p{{N}}])(?:{EMAIL}|{SECRET}|{IBAN})|(?=\d)(?:{IPV4})|{IPV6}|(?=\d)(?:{SSN})|(?=[\d+(])(?:{CARD}|{CALLED}|{DIALLED})|(?=[{''.join(sorted({t[0] for x in TITLES.values() for t in x.split('|')}))}]){NAME}"
 #: What a phone number or bank account keeps: its country code.
 KEPT = r"^(?:\+\d{1,3}(?=\D)|[A-Z]{2}(?=\d{2}[ 0-9A-Z]{11,}$))"
-#: A cheap test that holds for every text with an entity.
-HINT = r"\d{2}|@|\p{L}\.?[  ]\p{Lu}\p{Ll}"
+#: Where a name found with its title stands again without it.
+BARE = (r"(?<![\p{L}\p{N}])(?:", r")(?![\p{L}\p{N}])")
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def kind_of(entity: Column) -> Column:
@@ -107,42 +117,96 @@ def _pick(words: list[str], i: Column) -> Column:
 
 
 def name_part(part: Column, role: Column, hexes: Column, attempt: Column) -> Column:
-    """A given name of the same gender and script (role m or f), or a family name of syllables (role s); hyphened on if tried again."""
+    """A given name of the same gender and script (role m, f, or n after a title of either), or a family name of syllables (role s); longer if tried again."""
     cyrillic = part.rlike("\\p{IsCyrillic}")
 
     def made(script: str) -> Column:
-        family = F.initcap(F.concat(*(_pick(SYLLABLES[script], _nth(hexes, F.lit(k), len(SYLLABLES[script]))) for k in (1, 2, 3))))
+        n = len(SYLLABLES[script])
+        some = lambda *places: F.concat(*(_pick(SYLLABLES[script], _nth(hexes, F.lit(k), n)) for k in places))
+        # two more, three more and so on, so that there are forms enough for any number of names
+        more = lambda least, *places: F.when(attempt >= least, some(*places)).otherwise(F.lit(""))
+        family = F.initcap(F.concat(some(1, 2, 3), more(1, 6, 7), more(2, 8, 9, 10), more(4, 11, 12, 13, 14)))
         given = lambda g, k: _pick(GIVEN[g, script], _nth(hexes, F.lit(k), len(GIVEN[g, script])))
         other = lambda g: _pick(GIVEN[g, script], F.pmod(_nth(hexes, F.lit(4), len(GIVEN[g, script])) + 1 + _nth(hexes, F.lit(5), len(GIVEN[g, script]) - 1), F.lit(len(GIVEN[g, script]))))
-        double = lambda g: F.when(attempt > 0, F.concat(given(g, 4), F.lit("-"), other(g), F.when(attempt > 2, F.concat(F.lit("-"), family)).otherwise(F.lit("")))).otherwise(given(g, 4))
-        return F.when(role == "m", double("m")).when(role == "f", double("f")).otherwise(family)
+
+        def named(family: Column) -> Column:
+            out = family
+            for g in TITLES:
+                longer = F.when(attempt > 0, F.concat(F.lit("-"), other(g), F.when(attempt > 1, F.concat(F.lit("-"), family)).otherwise(F.lit("")))).otherwise(F.lit(""))
+                out = F.when(role == g, F.concat(given(g, 4), longer)).otherwise(out)
+            return out
+
+        return let(family, named)
 
     return F.when(cyrillic, made("cyrillic")).otherwise(made("latin"))
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of one unit: an entity, or a part of a name (kinds name_m, name_f, name_s)."""
-    hexes = stream(key, kind, value, attempt)
-    return (
-        F.when(kind == "email", _email(value, hexes)).when(kind == "ip", _ip(value, hexes)).when(kind == "card", _card(value, hexes))
-        .when(kind.startswith("name_"), name_part(value, F.right(kind, F.lit(1)), hexes, attempt))
-        .otherwise(F.concat(F.regexp_extract(value, KEPT, 0), same_format(F.regexp_replace(value, KEPT, ""), hexes, value.rlike("^[0-9a-fA-F]{32,}$"))))
-    )
+    """The surrogate of one unit: an entity, or a part of a name (kinds name_m, name_f, name_n, name_s)."""
+
+    def made(hexes: Column) -> Column:
+        return (
+            F.when(kind == "email", _email(value, hexes)).when(kind == "ip", _ip(value, hexes)).when(kind == "card", _card(value, hexes))
+            .when(kind.startswith("name_"), name_part(value, F.right(kind, F.lit(1)), hexes, attempt))
+            .otherwise(F.concat(F.regexp_extract(value, KEPT, 0), same_format(F.regexp_replace(value, KEPT, ""), hexes, (kind == "ip6") | value.rlike("^[0-9a-fA-F]{32,}$"))))
+        )
+
+    return let(stream(key, kind, value, attempt), made)
+
+
+def canonical(kind: Column, entity: Column) -> Column:
+    """What an entity is known by: the same for an address in any case, and for a number however its digits are grouped."""
+    digits = F.regexp_replace(entity, "[^0-9A-Za-z]", "")
+    code = F.regexp_extract(entity, r"^\+\d{1,3}(?=\D)", 0)
+    number = F.when(code != "", F.concat(code, F.lit(" "), F.regexp_replace(F.regexp_replace(entity, r"^\+\d{1,3}", ""), "[^0-9]", ""))).otherwise(F.concat(F.regexp_extract(entity, r"^\+", 0), digits))
+    return F.when(kind.isin("email", "ip6"), F.lower(entity)).when(kind.isin("card", "iban"), digits).when(kind == "phone", number).otherwise(entity)
+
+
+def as_written(kind: Column, entity: Column, made: Column) -> Column:
+    """A surrogate of the canonical form, in the grouping or case that this mention has."""
+    letters = "[^0-9A-Za-z]"
+    bare = F.regexp_replace(made, letters, "")
+    rank = lambda i: F.char_length(F.regexp_replace(F.left(entity, i + 1), letters, ""))
+    grouped = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(bare, rank(i), 1)).otherwise(c)), "")
+    case = lambda a, b: F.when((b != F.lower(b)) & (b == F.upper(b)), F.upper(a)).otherwise(a)
+    part, host = F.substring_index(made, "@", 1), F.substring_index(made, "@", -1)
+    local = F.array_join(F.zip_with(F.split(part, ""), F.split(F.substring_index(entity, "@", 1), ""), case), "")
+    mail = F.concat(local, F.lit("@"), F.when(F.substring_index(entity, "@", -1).rlike("[a-z]"), host).otherwise(F.upper(host)))
+    address = F.array_join(F.zip_with(F.split(made, ""), F.split(entity, ""), case), "")
+    return F.when(kind.isin("card", "iban", "phone"), grouped).when(kind == "email", F.when(entity == F.lower(entity), made).otherwise(mail)).when(kind == "ip6", address).otherwise(made)
+
+
+def _title(titles: str) -> str:
+    return rf"^(?:{titles})\.?{BLANK}"
+
+
+ANY_TITLE = _title("|".join(TITLES.values()))
 
 
 def units_of(entity: Column) -> Column:
-    """The units of an entity: itself, or the given and family part of a name with their roles."""
-    kind = kind_of(entity)
-    bare = F.regexp_replace(entity, rf"^(?:{TITLES['m']}|{TITLES['f']})\.?[  ]", "")
-    role = F.when(entity.rlike(rf"^(?:{TITLES['m']})\.?[  ]"), F.lit("name_m")).otherwise(F.lit("name_f"))
-    parts = F.split(bare, " ")
+    """The units of an entity: itself in canonical form, or the given and family part of a name with their roles."""
     unit = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
-    names = F.when(F.size(parts) > 1, F.array(unit(role, parts[0]), unit(F.lit("name_s"), F.get(parts, 1)))).otherwise(F.array(unit(F.lit("name_s"), parts[0])))
-    return F.when(kind == "name", names).otherwise(F.array(unit(kind, entity)))
+
+    def names() -> Column:
+        role = F.lit("name_n")
+        for g in "fm":
+            role = F.when(entity.rlike(_title(TITLES[g])), F.lit(f"name_{g}")).otherwise(role)
+        parts = F.split(F.regexp_replace(entity, ANY_TITLE, ""), " ")
+        return let(parts, lambda p: F.when(F.size(p) > 1, F.array(unit(role, p[0]), unit(F.lit("name_s"), F.get(p, F.lit(1))))).otherwise(F.array(unit(F.lit("name_s"), p[0]))))
+
+    return let(kind_of(entity), lambda kind: F.when(kind == "name", names()).otherwise(F.array(unit(kind, canonical(kind, entity)))))
+
+
+def titled_names(found: Column) -> Column:
+    """From the entities of a text: (name, units) of every name that has a title, as a whole and its family part alone; longest first."""
+    names = F.filter(found, lambda e: e.rlike(ANY_TITLE))
+    whole = F.transform(names, lambda e: F.struct(F.regexp_replace(e, ANY_TITLE, "").alias("name"), units_of(e).alias("units")))
+    family = F.transform(whole, lambda w: F.struct(F.element_at(w["units"], -1)["value"].alias("name"), F.slice(w["units"], -1, 1).alias("units")))
+    return F.reverse(F.array_sort(F.transform(F.array_distinct(F.concat(whole, family)), lambda x: F.struct(F.char_length(x["name"]).alias("n"), x["name"].alias("name"), x["units"].alias("units")))))
 
 
 @scoped
-def surrogate_table(units: DataFrame, key: str, max_attempts: int = 12) -> DataFrame:
+def surrogate_table(units: DataFrame, key: str, max_attempts: int = 40) -> DataFrame:
     """(kind, value, attempt, surrogate): one row per distinct unit; no two units of a kind share a surrogate, and none is a unit itself.
 
     All units start at attempt 0. Of those that share a surrogate the least value keeps it, the others try again, as do
@@ -167,27 +231,38 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     """docs with the entities of text_col replaced, and n_entities (long) beside it; other columns pass through.
 
     The same entity becomes the same surrogate in every document, different ones different surrogates: collisions are
-    looked for among all distinct entities of docs. A surrogate follows from the key, so rows need a lookup only for units
+    looked for among all distinct entities of docs. An address in another case and a number in another grouping are the same
+    entity, written as the mention is. A name found with its title is also replaced where it, or its family part, stands
+    without one in that text. A surrogate follows from the key, so rows need a lookup only for units
     that had to try again; those travel to their documents by id. A null text stays null, an empty one empty. Rows that
     repeat an id are handled by themselves. A row with a null id can't be looked up and so takes its units' first
-    surrogates. A column of docs named n_entities is replaced; an empty table gives an empty one.
+    surrogates. A very long text is read as
+    a whole. A column of docs named n_entities is replaced; an empty table gives an empty one.
     """
     docs = docs.drop("n_entities")
     text = F.col(text_col)
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     units = docs.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(F.flatten(F.transform(found, units_of)))).alias("u")).select("__id", "u.kind", "u.value").where("kind IS NOT NULL")
     units = materialize(units)
     table = surrogate_table(units.select("kind", "value"), key)
     moved = materialize(table.where("attempt > 0").select("kind", "value", "attempt"))
     tried = units.where("__id IS NOT NULL").join(moved, ["kind", "value"]).distinct().groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("__tried"))
     joined = docs.join(materialize(tried), docs[id_col] == F.col("__id"), "left").withColumn("__found", found)
-
-    def spoken(entity: Column) -> Column:
-        made = F.transform(units_of(entity), lambda u: surrogate(u["kind"], u["value"], F.coalesce(F.try_element_at(F.col("__tried"), F.concat_ws("|", u["kind"], u["value"])), F.lit(0)), key))
-        title = F.when(kind_of(entity) == "name", F.regexp_extract(entity, rf"^(?:{TITLES['m']}|{TITLES['f']})\.?[  ]", 0)).otherwise(F.lit(""))
-        return F.concat(title, F.array_join(made, " "))
-
-    new = F.array_join(F.flatten(F.zip_with(F.split(text, PATTERN, -1), F.concat(F.transform("__found", spoken), F.array(F.lit(""))), lambda gap, e: F.array(gap, e))), "")
+    # of texts with a titled name, all mentions: the pattern then has the names themselves as well
+    some_name = F.exists(F.col("__found"), lambda e: e.rlike(ANY_TITLE))
+    joined = joined.withColumn("__names", F.when(some_name, titled_names(F.col("__found"))))
+    pattern = F.concat(F.lit(f"{PATTERN}|{BARE[0]}"), F.array_join(F.transform("__names", lambda x: x["name"]), "|"), F.lit(BARE[1]))
+    joined = joined.withColumn("__pattern", F.when(F.col("__names").isNotNull(), pattern).otherwise(F.lit(PATTERN)))
+    joined = joined.withColumn("__found", F.when(F.col("__names").isNotNull(), F.regexp_extract_all(text, F.col("__pattern"), F.lit(0))).otherwise(F.col("__found")))
+
+    def spoken(entity: Column, kind: Column) -> Column:
+        own = F.coalesce(F.when(kind.isNull(), F.get(F.filter("__names", lambda x: x["name"] == entity), F.lit(0))["units"]), units_of(entity))
+        tried = lambda u: F.coalesce(F.try_element_at(F.col("__tried"), F.concat_ws("|", u["kind"], u["value"])), F.lit(0))
+        made = F.transform(own, lambda u: let(tried(u), lambda n: surrogate(u["kind"], u["value"], n, key)))
+        title = F.when(kind == "name", F.regexp_extract(entity, ANY_TITLE, 0)).otherwise(F.lit(""))
+        return F.concat(title, let(F.array_join(made, " "), lambda m: as_written(F.coalesce(kind, F.lit("name")), entity, m)))
+
+    new = F.array_join(F.flatten(F.zip_with(F.split(text, F.col("__pattern"), -1), F.concat(F.transform("__found", lambda e: let(kind_of(e), lambda kind: spoken(e, kind))), F.array(F.lit(""))), lambda gap, e: F.array(gap, e))), "")
     some = F.coalesce(F.size("__found"), F.lit(0)) > 0
     out = [F.when(some, new).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return joined.select(*out, F.when(some, F.size("__found")).otherwise(0).cast("long").alias("n_entities"))
