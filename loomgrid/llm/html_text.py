@@ -5,28 +5,37 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, scoped
 
 # Element names of HTML by how they take part in the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math".split())
+FOREIGN = frozenset("svg math".split())
 SKIPPED = frozenset("script style noscript template textarea title iframe svg math head nav header footer aside form button select dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body div main section td".split())
 #: An open element that ends when one of these begins.
 ENDED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Words in a class or id that mark what isn't the article.
+#: Words that mark what isn't the article: as a whole class or id, or as the first or last part of one.
 NOISE = frozenset("ad ads adv advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies reply share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
+#: Elements that hold the page or the article, whatever they are called, and roles of what isn't the article.
+NEVER_NOISE = frozenset("html body main article".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
+#: A container is a page's best if it is the innermost with this share of its text; it may be read by a path of its host that has this other share.
+BEST_SHARE, LEAST_SHARE = 0.9, 0.75
+#: What must be left outside an element that looks like noise, as a share of the element's own text; text in links doesn't count.
+LEFT_SHARE = 0.1
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 def page_host(url):
@@ -35,31 +44,39 @@ def page_host(url):
 
 
 @lru_cache(maxsize=1 << 14)
-def _marks(attributes: str) -> tuple[str, bool]:
-    """(generalised classes, skipped?) of an element's attributes."""
-    classes, skipped = [], False
-    if attributes and ("=" in attributes or "hidden" in attributes):
-        for name, a, b, c in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), (a or b or c).lower()
-            words = re.split(r"[^a-z0-9]+", value)
-            if name in ("class", "id"):
-                skipped |= not NOISE.isdisjoint(words)
-                if name == "class":
-                    classes += [re.sub(r"\d+", "#", w) for w in value.split()]
-            elif name == "role":
-                skipped |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
-            else:
-                skipped |= name == "hidden" or value == "true"
-    return "".join(f".{c}" for c in sorted(set(classes))), skipped
-
-
-def blocks_of(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, int]]:
-    """(paths, numbers, text, characters in links) of every text block outside skipped elements.
-
-    paths are the generalised tag-class paths of the containers around the block, outermost first, numbers say which
-    element of the page each one is. Unclosed and misnested tags end as browsers end them for the elements that matter here.
+def _marks(attributes: str) -> tuple[str, bool, int]:
+    """(generalised classes, hidden?, noise: 1 if a whole name says so, -1 if only a part of one does, else 0) of an element's attributes, read one by one with their quoted values."""
+    classes, hidden, noise = [], False, 0
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), (a or b or c).lower()
+        if name in ("class", "id"):
+            for token in value.split():
+                parts = re.split(r"[^a-z0-9]+", token)
+                noise = 1 if noise == 1 or token in NOISE else -1 if parts[0] in NOISE or parts[-1] in NOISE else noise
+            if name == "class":
+                classes += [re.sub(r"\d+", "#", w) for w in value.split()]
+        elif name == "role":
+            noise = 1 if value in NOISE_ROLES else noise
+        elif name == "hidden" or name == "aria-hidden" and value == "true":
+            hidden = True
+    return "".join(f".{c}" for c in sorted(set(classes))), hidden, noise
+
+
+class Block(NamedTuple):
+    """A text block: the generalised tag-class paths of the containers around it, outermost first, its text, how many of its characters are in links, the numbers of the noise-like elements around it (negative if only a part of a name says so)."""
+
+    paths: tuple[str, ...]
+    text: str
+    linked: int
+    noise: tuple[int, ...]
+
+
+def blocks_of(html: str) -> Iterator[Block]:
+    """Every text block outside elements that are never text of the article.
+
+    Unclosed and misnested tags end as browsers end them for the elements that matter here.
     """
-    stack: list[tuple[str, str, int, bool]] = []  # name, path if it is a container, number, skipped
+    stack: list[tuple[str, str, int, bool]] = []  # name, path if it is a container, number if noise-like else 0, skipped
     parts: list[str] = []
     linked = serial = links = skips = 0
     at, end = 0, len(html)
@@ -71,8 +88,7 @@ def blocks_of(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str
             parts.clear()
             n, linked = linked, 0
             if text:
-                held = [(p, k) for _, p, k, _ in stack if p]
-                return tuple(p for p, _ in held), tuple(k for _, k in held), text, n
+                return Block(tuple(s[1] for s in stack if s[1]), text, n, tuple(s[2] for s in stack if s[2]))
         return None
 
     def close(k: int):
@@ -102,17 +118,18 @@ def blocks_of(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str
             continue
         if stack and (ends := ENDED_BY.get(next((s[0] for s in reversed(stack) if s[0] in BLOCKS), ""))) and name in ends:
             close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS))
-        if name in VOID or m[3].endswith("/") and name not in BLOCKS and name not in RAW:
+        closed = m[3].endswith("/")
+        if name in VOID or closed and (name in FOREIGN or name not in BLOCKS and name not in RAW):
             continue
         if name in RAW:
             after = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = after.end() if after else end
             continue
         serial += 1
-        classes, marked = _marks(m[3]) if len(m[3]) < 512 else _marks.__wrapped__(m[3])
-        skip = marked or name in SKIPPED
+        classes, hidden, noise = ("", False, 0) if not m[3] else _marks(m[3]) if len(m[3]) < 512 else _marks.__wrapped__(m[3])
+        skip = name not in NEVER_NOISE and (hidden or name in SKIPPED)
         above = next((s[1] for s in reversed(stack) if s[1]), "")
-        stack.append((name, f"{above}>{name}{classes}" if name in CONTAINERS else "", serial, skip))
+        stack.append((name, f"{above}>{name}{classes}" if name in CONTAINERS else "", 0 if name in NEVER_NOISE else serial * noise, skip))
         skips += skip
         links += name == "a"
     if not skips and at < end:
@@ -121,65 +138,115 @@ def blocks_of(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str
         yield b
 
 
-def container_scores(html: str) -> dict[str, float]:
-    """Score per generalised path: unlinked characters of blocks, in full for the innermost container and less by half for each one further out."""
-    out: dict[str, float] = {}
-    for paths, _, text, linked in blocks_of(html):
-        share = max(0.0, len(text) - 2.0 * linked) * (1.0 if len(text) >= 25 else 0.5)
-        for p in reversed(paths):
-            out[p] = out.get(p, 0.0) + share
-            share /= 2
-    return out
+def article_blocks(html: str) -> list[Block]:
+    """blocks_of(html) without elements that look like noise by their class, id or role.
 
-
-def main_text(html: str, paths: list[str]) -> str:
-    """The blocks inside the first of paths that the page has, else inside its own best container, joined by line feeds."""
+    Such an element stays if hardly any text would be left without it: it then is a wrapper of the article with an odd name.
+    Those that are noise by a whole name are looked at first, and smaller ones before larger.
+    """
     blocks = list(blocks_of(html))
-    for p in paths:
-        if found := [t for held, _, t, _ in blocks if p in held]:
-            return "\n".join(found)
-    own = container_scores(html)
-    best = min(own, key=lambda p: (-own[p], p), default=None)
-    return "\n".join(t for held, _, t, _ in blocks if best is None or best in held)
+    size = lambda some: sum(len(b.text) - min(b.linked, len(b.text)) for b in some)
+    for n in sorted({n for b in blocks for n in b.noise}, key=lambda n: (n < 0, size(b for b in blocks if n in b.noise), n)):
+        rest = [b for b in blocks if n not in b.noise]
+        if (left := size(rest)) and left >= LEFT_SHARE * (size(blocks) - left):
+            blocks = rest
+    return blocks
+
+
+def container_shares(blocks: list[Block]) -> dict[str, float]:
+    """The share of the page's text that each generalised path holds; text in links and short blocks weigh less."""
+    held: dict[str, float] = {}
+    total = 0.0
+    for b in blocks:
+        weight = max(0.0, len(b.text) - 2.0 * b.linked) * (1.0 if len(b.text) >= 25 else 0.5)
+        total += weight
+        for p in set(b.paths):
+            held[p] = held.get(p, 0.0) + weight
+    return {p: w / total for p, w in held.items()} if total else {}
+
+
+def best_path(shares: dict[str, float]) -> str | None:
+    """The innermost path that holds nearly all of the text; of an article or main element the element itself, so that no part of it is lost."""
+    fit = [p for p, x in shares.items() if x >= BEST_SHARE]
+    if not fit:
+        return None
+    best = min(fit, key=lambda p: (-p.count(">"), p))
+    for name in ("article", "main"):
+        above = [p for p in fit if (best + ">").startswith(p + ">") and re.match(rf"{name}(\.|$)", p.rpartition(">")[2])]
+        if above:
+            return min(above, key=len)
+    return best
 
 
-def vote_paths(pages: DataFrame, most_paths: int = 5, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, paths array<string>): the generalised paths that most pages of a host vote for, best first, most_paths of them.
+def path_number(path: str) -> int:
+    """64 bits that stand for a path."""
+    return int.from_bytes(blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    Each page votes for its best container with one vote. Votes are summed per host and path in the tasks before the
-    shuffle, so a host with a third of all pages sends a few rows from each task.
-    """
 
-    @F.pandas_udf("string")
-    def ballot(html: pd.Series) -> pd.Series:
-        def best(h):
-            own = container_scores(h or "")
-            return min(own, key=lambda p: (-own[p], p), default=None)
+def main_text(blocks: list[Block], number: int | None) -> str:
+    """The blocks inside the path with that number, else inside the page's best one, joined by line feeds."""
+    path = None
+    if number is not None:
+        path = next((p for b in blocks for p in b.paths if path_number(p) == number), None)
+    path = path or best_path(container_shares(blocks))
+    return "\n".join(b.text for b in blocks if path is None or path in b.paths)
+
 
-        return html.map(best, na_action=None).astype(object)
+def ballots(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(k1, k2, host, best, fit array<long>) of each page: 128 bits of its row's html, the path it votes for, the paths it could be read by."""
 
-    votes = pages.select(page_host(F.col(url_col)).alias("host"), ballot(F.col(html_col)).alias("path")).where("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("votes"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    top = votes.withColumn("rank", rank).where(F.col("rank") <= most_paths)
-    return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    @F.pandas_udf("best long, fit array<long>")
+    def score(html: pd.Series) -> pd.DataFrame:
+        rows = []
+        for h in html:
+            shares = container_shares(article_blocks(h or ""))
+            best = best_path(shares)
+            rows.append((None if best is None else path_number(best), [path_number(p) for p, x in shares.items() if x >= LEAST_SHARE]))
+        return pd.DataFrame({"best": pd.array([r[0] for r in rows], dtype="Int64"), "fit": [r[1] for r in rows]})
 
+    return pages.select(*_keys(html_col), page_host(F.col(url_col)).alias("host"), score(F.col(html_col)).alias("s")).select("k1", "k2", "host", "s.best", "s.fit")
 
-def extract_main_text(pages: DataFrame, most_paths: int = 5, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages with text (string), the main text of each page by its host's winning paths; other columns pass through.
 
-    A null or empty html gives an empty text. Pages without a host (null or odd URL) vote together. Each row is read by
-    itself, repeated ids too; a column of pages named text is replaced. The winners are a written table, which the planner
-    broadcasts if it is small, and otherwise joins by host with crowded hosts split.
+def _keys(html_col: str) -> list:
+    return [F.xxhash64(html_col).alias("k1"), F.xxhash64(F.lit("page"), html_col).alias("k2")]
+
+
+def host_picks(cast: DataFrame) -> DataFrame:
+    """(k1, k2, host, path long): the pages that another path than their own best one is better for: of those that fit the one with most of the host's votes.
+
+    Votes are summed per host and path in the tasks before the shuffle, so a host with a third of all pages sends a few rows
+    from each. A path with a single vote can't beat a page's own, so only paths with two are looked up; all of them are.
+    """
+    votes = materialize(cast.where("best IS NOT NULL").groupBy("host", F.col("best").alias("path")).agg(F.count("*").alias("votes")).where("votes > 1"))
+    asked = cast.where("best IS NOT NULL").select("k1", "k2", "host", "best", F.explode(F.array_distinct(F.concat("fit", F.array("best")))).alias("path"))
+    heard = asked.join(votes, ["host", "path"])
+    top = heard.groupBy("k1", "k2", "host", "best").agg(F.max(F.struct("votes", F.expr("path = best").alias("own"), "path")).alias("top"))
+    return top.where("top.path <> best").select("k1", "k2", "host", F.col("top.path").alias("path"))
+
+
+@scoped
+def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """pages with text (string), the main text of each page; other columns pass through.
+
+    Each page votes for the path of its best container; a page is then read by the path of its host with most votes among
+    those that hold at least LEAST_SHARE of its text, by its own best one if none has more. A null or empty html gives an
+    empty text. Pages without a host (null or odd URL) vote together. Each row is read by itself, repeated ids too; a very
+    long page is parsed in one pass and held as blocks. A column of pages named text is replaced. An empty table gives an
+    empty one. Only pages that leave their own best path are looked up, by the hash of their html.
     """
     pages = pages.drop("text")
-    winners = materialize(vote_paths(pages, most_paths, url_col, html_col).withColumnsRenamed({"host": "__host", "paths": "__paths"}))
+    cast = materialize(ballots(pages, url_col, html_col))
+    picks = materialize(host_picks(cast)).withColumnsRenamed({"k1": "__1", "k2": "__2", "host": "__host", "path": "__path"}).dropDuplicates(["__1", "__2", "__host"])
 
     @F.pandas_udf("string")
-    def read(html: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, list(p) if p is not None else []) if h else "" for h, p in zip(html, paths, strict=True)], dtype=object)
-
-    joined = pages.withColumn("__h", page_host(F.col(url_col))).join(winners, F.col("__h") == F.col("__host"), "left")
-    return joined.select(*pages.columns, read(F.col(html_col), F.col("__paths")).alias("text"))
+    def read(html: pd.Series, path: pd.Series) -> pd.Series:
+        numbers = [None if n is None else int(n) for n in path]
+        return pd.Series([main_text(article_blocks(h), n) if h else "" for h, n in zip(html, numbers, strict=True)], dtype=object)
+
+    k1, k2 = _keys(html_col)
+    on = (k1 == F.col("__1")) & (k2 == F.col("__2")) & (page_host(F.col(url_col)) == F.col("__host"))
+    # the number goes as a string: a column of numbers and nulls would become one of floats
+    return pages.join(picks, on, "left").select(*pages.columns, read(F.col(html_col), F.col("__path").cast("string")).alias("text"))
 
 
 def op3_html_text(spark, sf_dir: str) -> DataFrame:

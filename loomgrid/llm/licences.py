@@ -31,6 +31,15 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
     "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
+    "cc-by-sa": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
+    "cc-by-nd": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",),
+    "cc-by-nc-sa": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",),
+    "cc-by-nc-nd": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",),
+    "gpl-2": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
+    "lgpl-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "lgpl-3": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "agpl-3": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "mpl-2": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
     "gpl-3": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -38,6 +47,23 @@ TEMPLATES = {
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
 }
+#: Words that tell near relatives apart: those that a span of the label must have, and those that it must not have.
+_CC, _GNU = frozenset("noncommercial sharealike noderivatives noderivs nc sa nd".split()), frozenset("lesser library affero".split())
+REQUIRED = {
+    "cc-by": (("attribution",), _CC),
+    "cc-by-sa": (("sharealike",), _CC - {"sharealike", "sa"}),
+    "cc-by-nd": (("noderivatives",), _CC - {"noderivatives", "noderivs", "nd"}),
+    "cc-by-nc": ((), _CC - {"noncommercial", "nc"}),
+    "cc-by-nc-sa": (("noncommercial", "sharealike"), _CC - {"noncommercial", "nc", "sharealike", "sa"}),
+    "cc-by-nc-nd": (("noncommercial", "noderivatives"), _CC - {"noncommercial", "nc", "noderivatives", "noderivs", "nd"}),
+    "gpl-2": (("2",), _GNU),
+    "gpl-3": (("3",), _GNU),
+    "lgpl-2.1": (("lesser", "2", "1"), frozenset({"affero"})),
+    "lgpl-3": (("lesser", "3"), frozenset({"affero"})),
+    "agpl-3": (("affero", "3"), frozenset({"lesser"})),
+    "apache-2": (("apache", "2"), frozenset()),
+    "mpl-2": (("mozilla", "2"), frozenset()),
+}
 
 
 def words_of(text: Column) -> Column:
@@ -61,14 +87,17 @@ def template_grams(spark, templates: Mapping[str, tuple[str, ...]], k: int) -> D
     return table.select("template", "label", "size", "at", F.slice("w", F.col("at") + 1, k).alias("gram"), "h")
 
 
-def license_spans(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, k: int = GRAM, gap: int = 2, least_cover: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_spans(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, k: int = GRAM, gap: int = 2, least_cover: float = 0.8, required: Mapping[str, tuple] = REQUIRED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, template, label, first_word, last_word long, cover double): verified spans of templates in whole texts.
 
     Every k-gram of every text is joined to the template positions with the same hash; the words are then compared, so a
     hash alone proves nothing. Hits are counted per offset (position in the text less position in the template), summed
     in the tasks before the shuffle; offsets at most gap apart that follow one another merge, which bridges words put in
-    or left out. A span stands if its share of the template's k-grams (cover) is at least least_cover and it is no longer
-    than the template by more than half. Rows with a null id or text find nothing; rows that repeat an id count as one.
+    or left out. A span stands if its share of the template's k-grams (cover) is at least least_cover, it is no longer
+    than the template by more than half, and the words in and beside its k-grams have what required says of its label. Of
+    spans that overlap only the one with the best cover stays (of those the longest, then the least label), so a notice
+    has one label. Rows with a null id or text find nothing; rows that repeat an id count as one; a very long text is a
+    longer array in its row; an empty table gives an empty one.
     """
     grams = template_grams(docs.sparkSession, templates, k)
     few = grams.count() <= BROADCAST_GRAMS
@@ -76,17 +105,29 @@ def license_spans(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
     # outer: a text without grams gives a null that joins nothing; else Spark would build all grams once more to test for empty arrays
     each = words.select("id", "words", F.posexplode_outer(rolling_grams(F.col("words"), k)).alias("pos", "hash"))
     here = F.slice("words", F.col("pos") + 1, k)
+    telling = sorted({w for must, without in required.values() for w in (*must, *without)})
+    low = F.greatest(F.col("pos") + 1 - gap, F.lit(1))
+    beside = F.filter(F.slice("words", low, F.col("pos") + 1 + k + gap - low), lambda w: w.isin(telling))
     if few:
-        hits = each.join(F.broadcast(grams), F.col("hash") == F.col("h")).where(here == F.col("gram"))
+        hits = each.join(F.broadcast(grams), F.col("hash") == F.col("h")).where(here == F.col("gram")).withColumn("beside", beside)
     else:  # only a gram's own words go through the shuffle, not its text's
-        hits = each.select("id", "pos", "hash", here.alias("here")).join(grams, F.col("hash") == F.col("h")).where("here = gram")
-    diagonals = hits.groupBy("id", "template", "label", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_set("at").alias("ats"))
+        hits = each.select("id", "pos", "hash", here.alias("here"), beside.alias("beside")).join(grams, F.col("hash") == F.col("h")).where("here = gram")
+    diagonals = hits.groupBy("id", "template", "label", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_set("at").alias("ats"), F.collect_set("beside").alias("beside"))
     order = Window.partitionBy("id", "template").orderBy("diagonal")
     joined = (F.col("diagonal") - F.lag("diagonal").over(order) <= gap) & (F.col("low") - F.lag("high").over(order) <= k + gap)
     runs = diagonals.withColumn("run", F.sum(F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).over(order))
-    spans = runs.groupBy("id", "template", "label", "size", "run").agg(F.min("low").alias("first_word"), (F.max("high") + (k - 1)).alias("last_word"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"))
+    spans = runs.groupBy("id", "template", "label", "size", "run").agg(F.min("low").alias("first_word"), (F.max("high") + (k - 1)).alias("last_word"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"), F.array_distinct(F.flatten(F.flatten(F.collect_list("beside")))).alias("seen"))
     spans = spans.withColumn("cover", F.col("n") / F.col("size")).where((F.col("cover") >= least_cover) & (F.col("last_word") - F.col("first_word") + 1 <= 1.5 * (F.col("size") + k - 1) + 1))
-    return spans.select("id", "template", "label", F.col("first_word").cast("long"), F.col("last_word").cast("long"), "cover")
+    fits = F.lit(True)
+    for label, (must, without) in required.items():
+        own = F.forall(F.array(*map(F.lit, must)).cast("array<string>"), lambda w: F.array_contains("seen", w)) & ~F.arrays_overlap("seen", F.array(*map(F.lit, sorted(without))).cast("array<string>"))
+        fits = F.when(F.col("label") == label, own).otherwise(fits)
+    spans = spans.where(fits)
+    before = Window.partitionBy("id").orderBy("first_word", "last_word", "template").rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("first_word") > F.max("last_word").over(before), F.lit(True))
+    places = spans.withColumn("apart", apart).withColumn("place", F.sum(F.col("apart").cast("int")).over(Window.partitionBy("id").orderBy("first_word", "last_word", "template")))
+    best = F.row_number().over(Window.partitionBy("id", "place").orderBy(F.desc("cover"), F.desc("size"), "template"))
+    return places.withColumn("best", best).where("best = 1").select("id", "template", "label", F.col("first_word").cast("long"), F.col("last_word").cast("long"), "cover")
 
 
 def phrase_columns(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, text_col: str = "text") -> DataFrame:

@@ -336,6 +336,57 @@ def test_html(spark, folder):
     assert sorted((r["page_id"], r["text"]) for r in out) == [(1, "First & long enough text of the page\nsecond line")] * 2 + [(2, ""), (3, ""), (4, "plain text")]
 
 
+LONG = "A sentence of the article that is long enough to count."
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<body class='has-sidebar'><article><p>{0}<p>{0}</article></body>", "{0}\n{0}"),
+    ("<body class='home page-with-header'><div id='share'><p>{0}</div></body>", "{0}"),
+    ("<body><div class='single-post ad-free'><p>{0}<p>{0}</div><div class='ad'>Buy this now and here</div></body>", "{0}\n{0}"),
+    ("<body><div><div class='part one'><p>{0}</div><div class='part two'><p>{0}{0}</div></div></body>", "{0}\n{0}{0}"),
+    ("<body><article class='post has-comments'><div class='lead'>Lead.</div><div class='content'><p>{0}<p>{0}</div>Tail.</article></body>", "Lead.\n{0}\n{0}\nTail."),
+    ("<body><article><p>{0}<div class='comments'><p>{0}<p>{0}<p>{0}</div></article></body>", "{0}"),
+    ("<body><main><p style='overflow: hidden' title='a hidden gem'>{0}<svg/><p hidden>no<p>{0}</main><footer>{0}</footer></body>", "{0}\n{0}"),
+    ("<p>&eacute;&#x41;&nbsp; b\n c", "\u00e9A b c"), ("", ""), ("<div class='ad'>only this</div>", "only this"),
+])
+def test_main_text_of_one_page(html, want):
+    assert html_text.main_text(html_text.article_blocks(html.format(LONG)), None) == want.format(LONG)
+
+
+def test_hosts_vote(spark):
+    """Against a brute-force vote over all paths of a host, and pages of odd sizes."""
+    part = lambda *names: "".join(f"<div class='{n}'><p>{LONG} {n}</div>" for n in names)
+    pages = [f"<body><div class='w'>{part(*'aaaaaaa'[:k], 'b' * (k % 2))}</div>Short end {k}.</body>" for k in (1, 2, 3, 5, 6, 7)] + ["<p>" + "long " * 500_000]
+    rows = [(i, "http://one.host/" + str(i), h) for i, h in enumerate(pages)] + [(7, None, pages[0]), (None, "http://one.host/", None)]
+    held = [html_text.container_shares(html_text.article_blocks(h or "")) for _, _, h in rows]
+    best, hosts = [html_text.best_path(x) for x in held], ["" if u is None else "one.host" for _, u, _ in rows]
+    votes = collections.Counter((h, b) for h, b in zip(hosts, best, strict=True) if b is not None)
+    want = []
+    for (i, _, h), shares, own, host in zip(rows, held, best, hosts, strict=True):
+        fit = [p for p in {*shares, own} if p is not None and (p == own or shares[p] >= html_text.LEAST_SHARE)]
+        pick = max(fit, key=lambda p: (votes[host, p], p == own, html_text.path_number(p)), default=None)
+        want.append((i, html_text.main_text(html_text.article_blocks(h or ""), None if pick is None else html_text.path_number(pick))))
+    got = html_text.extract_main_text(spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, host int, k1 int"))
+    assert sorted(((r["page_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert html_text.extract_main_text(got.drop("text").limit(0)).count() == 0
+
+
+def test_near_miss_notices(spark):
+    notices = {
+        "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "cc-by-nc-nd": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+        "gpl-2": licences.TEMPLATES["gpl-2"][0], "lgpl-3": licences.TEMPLATES["lgpl-3"][0], "agpl-3": licences.TEMPLATES["agpl-3"][0], "gpl-3": "Well: " + licences.TEMPLATES["gpl-3"][1], "mpl-2": licences.TEMPLATES["mpl-2"][0],
+        "": "This work is licensed under a Creative Commons Attribution Sampling 4.0 SA License of ours, and is free software of a kind",
+        "apache-2,mit": licences.TEMPLATES["apache-2"][1] + " " + licences.TEMPLATES["mit"][1],
+    }
+    rows = [(i, t) for i, t in enumerate(notices.values())] + [(0, None), (None, notices["gpl-2"]), (90, "word " * 50_000 + notices["gpl-2"])]
+    got = [(r["doc_id"], r["labels"]) for r in licences.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(i, x) for i, x in enumerate(notices)] + [(0, "cc-by"), (None, ""), (90, "gpl-2")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert licences.license_labels(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_surrogates(spark, folder):
     text = "Mr. John Smith wrote to Mrs. Anna Smith, mail j.smith@corp.com or +1 (555) 555-0100 from 10.1.2.3, card 4111 1111 1111 1111, г-н Иван Петров"
     rows = [(1, text, 5), (2, "j.smith@corp.com and J.SMITH@CORP.COM", 5), (3, None, 5), (4, "", 5), (None, "10.1.2.3", 5), (5, "a clean text of 12 words", 5), (2, "Mr. John Smith", 5)]
