@@ -10,49 +10,105 @@ def _found(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+# Forms of ratings and cables (Java patterns), what breaker and accessory texts begin with, pole marks of two series.
+CURVE_AMPS = r"(?i)(?:/|-|\b)([BCD])\s*([1-9]\d{0,3}(?:\.\d+)?)\s*A?(?=/|\s|\b|$)"
+EXPLICIT_AMPS, UNIT_AMPS, LEADING_AMPS = r"(?i)\bIN\s*[:=]?\s*([1-9]\d{0,3}(?:\.\d+)?)\s*A?\b", r"(?i)(?:/|-|\b)([1-9]\d{0,3}(?:\.\d+)?)\s*A\b", r"^([1-9]\d{0,3}(?:\.\d+)?)(?:/|\s|$)"
+POLES = r"(?:/|\s|^|-)([1-4]P(?:\+?N)?|3PH)(?:/|\s|$)"
+SERIES = r"\b([A-Z0-9]+(?:-(?![BCD]\d)[A-Z0-9]+)?)(?=-[BCD]\d|-/|/|\s|$)"
+SERIES_POLES = (("3300|3308", "3P"), ("4300|4308", "4P"))
+BREAKERS, ACCESSORIES = ("MCB", "RCB", "MCCB", "ATSE", "IS-", "DS-"), ("VM", "OF", "SD", "MX", "MN", "VIGI", "30MA", "MV")
+CABLE_FAMILY = r"\b((?:WDZ[A-Z]*|ZR[A-Z]*|NH[A-Z]*|FS)?-?(?:BYJ[A-Z]*|(?:YJV|YJY|VV)(?:22|23|32)?|BVR|BV|RVVP?))(?=[-_\s\d*(X]|$)"
+LAYING = r"(?:-|/|\s|^)((?:SC|PC|KBG|JDG|CT|MR|PR|CP|RC|PVC)\d{0,3}(?:[/-](?:CC|WC|FC|WS|CE|ACC|SR|MR|CT|WE))*)\b"
+SECTION = r"([1-9]\d{0,2}(?:\.\d+)?)"
+PIPE = r"^DN\d+$"
+
+
+def rated_amps(spec: Column) -> Column:
+    """The rated current: said with In, else after a trip curve, else before the unit A, else a number that the text begins with."""
+    s = F.trim(F.coalesce(spec, F.lit("")))
+    return F.coalesce(_found(s, EXPLICIT_AMPS), _found(s, CURVE_AMPS, 2), _found(s, UNIT_AMPS), _found(s, LEADING_AMPS)).try_cast("double")
+
+
 def breaker(spec: Column) -> Column:
-    """struct(series, curve, amps, poles, leakage_ma): parameters of a breaker text, null where the text doesn't say."""
-    s = F.upper(F.translate(F.coalesce(spec, F.lit("")), "（）／", "()/"))
-    amps = F.coalesce(_found(s, "(?:^|[^A-Z])IN\\s*=?\\s*(\\d+(?:\\.\\d+)?)"), _found(s, "(?:^|[/\\s-])[BCDK](\\d+)A?(?=$|[/\\s-])"), _found(s, "(\\d+(?:\\.\\d+)?)A(?=$|[^A-Z0-9])"))
+    """struct(series, curve, amps, poles, pole_text, leakage_ma, breaking_ka): parameters of a breaker text, null where the text doesn't say."""
+    s = F.upper(F.trim(F.translate(F.coalesce(spec, F.lit("")), "（）／", "()/")))
+    poles = F.regexp_replace(F.regexp_extract(s, POLES, 1), r"^(\d)PN$", "$1P+N")
+    for pattern, mark in reversed(SERIES_POLES):
+        poles = F.when(poles != "", poles).when(s.rlike(pattern), mark).otherwise("")
+    said = lambda letter, word: s.contains(word) | s.rlike(rf"\b{letter}(?:\s*型|\s*曲线)?\b")
+    curve = F.coalesce(F.upper(_found(s, CURVE_AMPS)), F.when(said("D", "动力型"), "D").when(said("C", "照明型"), "C").when(s.rlike(r"\bB(?:\s*型|\s*曲线)?\b"), "B"))
+    series = _found(s, SERIES)
     return F.struct(
-        _found(s, "^([A-Z]+[A-Z0-9]*-?\\d*)").alias("series"), _found(s, "(?:^|[/\\s-])([BCDK])\\d+A?(?=$|[/\\s-])").alias("curve"),
-        amps.try_cast("double").alias("amps"), _found(s, "(?:^|[^0-9])([1-4])P").try_cast("int").alias("poles"), _found(s, "(\\d+)MA").try_cast("int").alias("leakage_ma"),
+        F.when((F.char_length(series) >= 3) & ~series.rlike(r"^(?:\d+|[BCD]\d+A?)$"), series).alias("series"), curve.alias("curve"), rated_amps(s).alias("amps"),
+        F.left(poles, F.lit(1)).try_cast("int").alias("poles"), F.nullif(poles, F.lit("")).alias("pole_text"), _found(s, r"(\d{2,4})\s*MA").try_cast("int").alias("leakage_ma"), _found(s, r"(\d{1,2}(?:\.\d+)?)\s*KA").try_cast("double").alias("breaking_ka"),
     )
 
 
 def cable(spec: Column) -> Column:
-    """struct(family, cores, section, earth_cores, earth_section) of 4x25+1x16 and the like; a plain section has one core set."""
-    s = F.upper(F.translate(F.coalesce(spec, F.lit("")), "×＊*（）", "XXX()"))
-    number = "(\\d+(?:\\.\\d+)?)"
+    """struct(family, cores, section, earth_cores, earth_section, laying) of 4x25+1x16, 3x2.5+E2.5, 5x6 or BV-2.5; a single section is one core."""
+    s = F.upper(F.trim(F.translate(F.coalesce(spec, F.lit("")), "×＊*（）", "XXX()")))
+    two = rf"(\d+)\s*X\s*{SECTION}\s*\+\s*(?:E|(\d+)\s*X)?\s*{SECTION}"
+    one, bare = rf"(\d+)\s*X\s*{SECTION}", rf"(?:-|\b){SECTION}\s*(?:MM[²2]|平方)?\b"
+    both = s.rlike(two)
+    section = F.coalesce(_found(s, two, 2), _found(s, one, 2), _found(s, bare)).try_cast("double")
     return F.struct(
-        _found(s, "^([A-Z]+(?:-[A-Z]+)*)").alias("family"), _found(s, f"(\\d+)X{number}").try_cast("int").alias("cores"), _found(s, f"(\\d+)X{number}", 2).try_cast("double").alias("section"),
-        _found(s, f"\\d+X[\\d.]+\\+(\\d+)X{number}").try_cast("int").alias("earth_cores"), _found(s, f"\\d+X[\\d.]+\\+(\\d+)X{number}", 2).try_cast("double").alias("earth_section"),
+        _found(s, CABLE_FAMILY).alias("family"), F.coalesce(_found(s, two).try_cast("int"), _found(s, one).try_cast("int"), F.when(section.isNotNull(), 1)).alias("cores"), section.alias("section"),
+        F.when(both, F.coalesce(_found(s, two, 3).try_cast("int"), F.lit(1))).alias("earth_cores"), _found(s, two, 4).try_cast("double").alias("earth_section"), _found(s, LAYING).alias("laying"),
     )
 
 
-def devices(text: Column) -> Column:
-    """array(struct(spec, count)) of a device list: pieces by +, each with a count before (3×spec) or after (spec×3). Null if a piece is empty or has counts at both ends."""
-    pieces = F.transform(F.split(F.translate(text, "＊*", "××"), "\\+"), lambda p: F.trim(p))
-    before, after = "^(\\d+)\\s*×\\s*(.+)$", "^(.+?)\\s*×\\s*(\\d+)$"
+def devices(text: Column, begins: tuple[str, ...] = BREAKERS, accessories: tuple[str, ...] = ACCESSORIES, combos: bool = False) -> Column:
+    """array(struct(spec, count)) of a device text, each with a count before (3×spec) or after (spec×3), 1 if there is none.
+
+    An empty text is an empty array. Pieces joined by + are one device if the first is a breaker and the others its
+    accessories; with combos, they are devices of their own if each begins like one. All else that is ambiguous is null: a
+    piece without a name, a count of zero, other joined pieces, a null text.
+    """
+    whole = F.trim(text)
+    pieces = F.transform(F.split(whole, "[+＋]"), lambda p: F.trim(p))
+    starts = lambda p, names: F.upper(p).rlike("^(?:" + "|".join(names) + ")")
+    before, after = r"^(\d+)\s*[×xX*＊]\s*(.+)$", r"^(.+?)\s*[×xX*＊]\s*(\d+)$"
+    device = lambda spec, count: F.struct(F.trim(spec).alias("spec"), count.cast("long").alias("count"))
 
     def one(p: Column) -> Column:
-        return F.when(p.rlike(before) & p.rlike(after) | (p == ""), F.lit(None)).when(p.rlike(before), F.struct(F.regexp_extract(p, before, 2).alias("spec"), F.regexp_extract(p, before, 1).cast("long").alias("count"))).when(
-            p.rlike(after), F.struct(F.regexp_extract(p, after, 1).alias("spec"), F.regexp_extract(p, after, 2).cast("long").alias("count"))
-        ).otherwise(F.struct(p.alias("spec"), F.lit(1).cast("long").alias("count")))
+        counted = F.when(p.rlike(before), device(F.regexp_extract(p, before, 2), F.regexp_extract(p, before, 1))).when(p.rlike(after), device(F.regexp_extract(p, after, 1), F.regexp_extract(p, after, 2)))
+        return counted.otherwise(device(p, F.lit(1)))
 
     parsed = F.transform(pieces, one)
-    return F.when(F.exists(parsed, lambda x: x.isNull()), F.lit(None)).otherwise(parsed)
+    odd = F.exists(parsed, lambda x: (x["count"] <= 0) | (x["spec"] == ""))
+    fitted = starts(pieces[0], begins) & F.forall(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: starts(p, accessories))
+    apart = F.forall(pieces, lambda p: starts(F.regexp_replace(p, r"^\d+\s*[×xX*＊]\s*", ""), begins)) if combos else F.lit(False)
+    many = F.when(fitted, F.array(device(whole, F.lit(1)))).when(apart & ~odd, parsed)
+    return F.when(whole == "", F.slice(parsed, 1, 0)).when(F.size(pieces) > 1, many).when(~odd, parsed)
 
 
 def panel_range(text: Column, longest: int = 150) -> Column:
-    """array of codes of a range such as JX1~JX21, 1AL1~5 or AP01-04: the end may repeat the prefix; numbers keep the zeros of a padded start; spans of over longest, or backward ones, give the text itself."""
-    form = "^(.*?)(\\d+)\\s*[~～-]\\s*(?:\\1)?(\\d+)$"
-    s = F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)\\s+", ""))
-    prefix, low, high = (F.regexp_extract(s, form, g) for g in (1, 2, 3))
-    a, b = F.nullif(low, F.lit("")).try_cast("int"), F.nullif(high, F.lit("")).try_cast("int")
-    number = lambda i: F.when(low.startswith("0"), F.lpad(i.cast("string"), F.char_length(low), F.lit("0"))).otherwise(i.cast("string"))
-    good = a.isNotNull() & b.isNotNull() & (b >= a) & (b - a < longest)
-    return F.when(good, F.transform(F.sequence(F.when(good, a).otherwise(1), F.when(good, b).otherwise(1)), lambda i: F.concat(prefix, number(i)))).otherwise(F.array(s))
+    """array of the panel codes of a text, each once, in order: ranges (JX1~JX21, 1AL1至5, AP01–03, 3~10RDAL), lists and side by side codes (AP1/AP2).
+
+    A range ascends by longest at most and keeps the zeros of a padded start; an end may repeat the start's prefix. Ranges
+    that don't hold give the codes they name. A code has a letter and a digit; bare numbers (pages, currents) and pipe sizes
+    are none. A null text has no codes.
+    """
+    s = F.upper(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s*([~～至到–—])\s*|\s*-\s+|\s+-\s*", "~"))
+    tokens = F.filter(F.split(s, r"[\s,，、;；:：()（）]+"), lambda t: t != "")
+    by_end, by_start = r"^(\d+)[~～至到](\d+)([A-Z][A-Z0-9]*)$", r"^((?:[A-Z0-9_-]*[A-Z_-])?)(\d+)[~～至到–—-](?:\1)?(\d+)$"
+    is_code = lambda c: c.rlike(r"^(?=.*[A-Z])(?=.*\d)[A-Z0-9][A-Z0-9_/-]*$") & ~c.rlike(PIPE)
+
+    def numbers(low: Column, high: Column, name) -> Column:
+        a, b = low.try_cast("int"), high.try_cast("int")
+        good = F.coalesce((b > a) & (b - a <= longest) & (a > 0), F.lit(False))
+        padded = lambda i: F.when(low.startswith("0"), F.lpad(i.cast("string"), F.char_length(low), F.lit("0"))).otherwise(i.cast("string"))
+        return F.when(good, F.transform(F.sequence(F.when(good, a).otherwise(1), F.when(good, b).otherwise(1)), lambda i: name(padded(i))))
+
+    def one(t: Column) -> Column:
+        tail, head = F.regexp_extract(t, by_end, 3), F.regexp_extract(t, by_start, 1)
+        suffixed = F.when(tail != "", numbers(F.regexp_extract(t, by_end, 1), F.regexp_extract(t, by_end, 2), lambda n: F.concat(n, tail)))
+        prefixed = F.when(head.rlike("[A-Z]"), numbers(F.regexp_extract(t, by_start, 2), F.regexp_extract(t, by_start, 3), lambda n: F.concat(head, n)))
+        sides = F.split(t, "/")
+        listed = F.when(F.forall(sides, is_code), sides).otherwise(F.split(t, "[~～至到–—]"))
+        return F.filter(F.coalesce(suffixed, prefixed, listed), is_code)
+
+    return F.array_distinct(F.flatten(F.transform(tokens, one)))
 
 
 def box_size(text: Column) -> Column:

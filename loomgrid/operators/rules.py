@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +14,16 @@ def findings(df: DataFrame, rules: Sequence[tuple[str, str, Column]], target: Co
     return df.select(target.alias("target"), F.explode(F.array_compact(found)).alias("f")).select("f.rule_code", "f.severity", "target")
 
 
-def phase_unbalance(df: DataFrame, key: str, phase: Column, load: Column, percent: int = 15, least: int = 1) -> DataFrame:
-    """Keys whose three phase sums are all positive, the largest over least, and (max - min) / max over percent; whole numbers, no rounding."""
-    sums = df.groupBy(key).agg(*(F.sum(F.when(phase == p, load).otherwise(0)).alias(f"phase_{p}") for p in range(3)))
+def phase_unbalance(df: DataFrame, key: str, phase: Column, load: Column, three_phase: Column | None = None, percent: int = 15, least: int = 1) -> DataFrame:
+    """Keys whose three phase sums are all positive, the largest over least, and (max - min) / max over percent; whole numbers, no rounding.
+
+    A three-phase load lies on each phase with a third: sums are in thirds, so that they stay whole.
+    """
+    three = F.lit(False) if three_phase is None else F.coalesce(three_phase, F.lit(False))
+    sums = df.groupBy(key).agg(*(F.sum(F.when(three, load).when(phase == p, 3 * load).otherwise(0)).alias(f"phase_{p}") for p in range(3)))
     cols = [f"phase_{p}" for p in range(3)]
     high, low = F.greatest(*cols), F.least(*cols)
-    return sums.where((low > 0) & (high > least) & ((high - low) * 100 > high * percent))
+    return sums.where((low > 0) & (high > 3 * least) & ((high - low) * 100 > high * percent))
 
 
 def cascade(df: DataFrame, key: str, incomer: Column, amps: Column) -> DataFrame:
@@ -49,26 +52,25 @@ def set_algebra(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "value", "full_outer").select("value", F.when(F.col("a").isNull(), "only_b").when(F.col("b").isNull(), "only_a").otherwise("both").alias("side"))
 
 
-def contained(claims: DataFrame, corpus: DataFrame, claim: str, text: str, claim_id: str, text_id: str, small_bytes: int = 8 << 20) -> DataFrame:
-    """(claim_id, text_id): corpus rows whose text contains the claim.
+def contained(claims: DataFrame, corpus: DataFrame, claim: str, text: str, claim_id: str, text_id: str, anchor: int = 12) -> DataFrame:
+    """(claim_id, text_id): corpus rows whose text contains the claim. An empty or null claim, as a null text, matches nothing.
 
-    Claims up to small_bytes in sum are broadcast and looked for in each text. Beyond that, both sides meet on the claim's
-    first 16 characters (all windows of a text that some claim begins with), so that no nested loop is planned.
+    Both sides meet on the hash of the claim's first anchor characters (of all of a shorter one): what a text sends are the
+    hashes of its windows of the lengths that claims have, with its id, and only texts that meet a claim are read again to
+    be verified. It is the same at every size of either side, and no nested loop.
     """
-    total = claims.agg(F.sum(F.octet_length(claim)), F.max(F.char_length(claim)), F.min(F.char_length(claim))).first()
-    if (total[0] or 0) <= small_bytes:
-        return corpus.join(F.broadcast(claims), F.contains(corpus[text], claims[claim])).select(claim_id, text_id)
-    n = min(16, total[2] or 1)
-    keyed = claims.withColumn("__k", F.left(F.col(claim), F.lit(n)))
-    windows = corpus.select(text_id, text, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n))))).alias("__k"))
-    return windows.join(keyed, "__k").where(F.contains(F.col(text), F.col(claim))).select(claim_id, text_id)
+    named = claims.where(F.char_length(claim) > 0).select(F.col(claim_id).alias("__c"), F.col(claim).alias("__claim"), F.least(F.char_length(claim), F.lit(anchor)).alias("__n"))
+    named = named.withColumn("__k", F.xxhash64(F.expr("left(__claim, __n)")))
+    lengths = sorted(r[0] for r in named.select("__n").distinct().collect())  # anchor different ones at most
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(n))))
+    keys = F.array_distinct(F.concat(*map(of, lengths))) if lengths else F.array().cast("array<long>")
+    windows = corpus.where(F.col(text).isNotNull()).select(F.col(text_id).alias("__t"), F.explode(keys).alias("__k"))
+    met = windows.join(named.select("__c", "__k"), "__k").select("__t", "__c").distinct()
+    both = met.join(corpus.select(F.col(text_id).alias("__t"), F.col(text).alias("__text")), "__t").join(named.select("__c", "__claim"), "__c")
+    return both.where(F.contains("__text", "__claim")).select(F.col("__c").alias(claim_id), F.col("__t").alias(text_id))
 
 
 def recall_precision(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:
     """One row: counts, recall and precision; an empty denominator gives 1."""
     hit, gold, said = (F.count_if(c) for c in (truth & predicted, truth, predicted))
     return df.agg(hit.alias("hits"), gold.alias("gold"), said.alias("predicted")).select("*", F.coalesce(F.try_divide(F.col("hits"), F.col("gold")), F.lit(1.0)).alias("recall"), F.coalesce(F.try_divide(F.col("hits"), F.col("predicted")), F.lit(1.0)).alias("precision"))
-
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(Column.__and__, conditions, F.lit(True))

@@ -63,10 +63,10 @@ def stable_circuit_order(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def dangling_reference_anti(spark, d):
     c = table(spark, d, "customer")
-    return bom.unmatched(c, table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name")
+    return bom.unmatched(c, table(spark, d, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, 'MCB-63' AS series, 'C' AS curve, CAST(l_quantity AS DOUBLE) AS amps, l_linenumber % 4 + 1 AS poles FROM lineitem")
@@ -79,7 +79,7 @@ def parse_breaker_roundtrip(spark, d):
 @query("""SELECT 'DEV-' || l_partkey AS spec, sum(l_linenumber)::BIGINT AS n FROM lineitem GROUP BY 1 UNION ALL SELECT 'SPD', count(*) FROM lineitem""")
 def parse_devices_explode(spark, d):
     text = F.concat(F.col("l_linenumber").cast("string"), F.lit("×DEV-"), F.col("l_partkey").cast("string"), F.lit(" + SPD"))
-    return table(spark, d, "lineitem").select(F.explode(specs.devices(text)).alias("x")).groupBy("x.spec").agg(F.sum("x.count").alias("n"))
+    return table(spark, d, "lineitem").select(F.explode(specs.devices(text, begins=("DEV-", "SPD"), combos=True)).alias("x")).groupBy("x.spec").agg(F.sum("x.count").alias("n"))
 
 
 @query("SELECT p_partkey, 'YJV' AS family, p_partkey % 5 + 1 AS cores, CAST(p_size AS DOUBLE) AS section, 1 AS earth_cores, CAST(p_size + 1 AS DOUBLE) AS earth_section FROM part")
@@ -100,10 +100,11 @@ def rule_qty_unit(spark, d):
     return rules.findings(table(spark, d, "lineitem"), [("QTY_HIGH", "ERROR", F.col("l_quantity") > 45), ("FLAG_SUSPECT", "WARNING", ~F.col("l_returnflag").isin("A", "N"))], F.col("l_orderkey"))
 
 
-@query("""WITH s AS (SELECT l_orderkey, sum(CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_quantity AS BIGINT) ELSE 0 END)::BIGINT AS phase_0, sum(CASE WHEN l_linenumber % 3 = 1 THEN CAST(l_quantity AS BIGINT) ELSE 0 END)::BIGINT AS phase_1, sum(CASE WHEN l_linenumber % 3 = 2 THEN CAST(l_quantity AS BIGINT) ELSE 0 END)::BIGINT AS phase_2 FROM lineitem GROUP BY l_orderkey)
-SELECT * FROM s WHERE least(phase_0, phase_1, phase_2) > 0 AND greatest(phase_0, phase_1, phase_2) > 1 AND (greatest(phase_0, phase_1, phase_2) - least(phase_0, phase_1, phase_2)) * 100 > greatest(phase_0, phase_1, phase_2) * 15""")
+@query("""WITH s AS (SELECT l_orderkey, sum(CASE WHEN l_linenumber % 4 = 3 THEN q WHEN l_linenumber % 4 = 0 THEN 3 * q ELSE 0 END)::BIGINT AS phase_0, sum(CASE WHEN l_linenumber % 4 = 3 THEN q WHEN l_linenumber % 4 = 1 THEN 3 * q ELSE 0 END)::BIGINT AS phase_1, sum(CASE WHEN l_linenumber % 4 = 3 THEN q WHEN l_linenumber % 4 = 2 THEN 3 * q ELSE 0 END)::BIGINT AS phase_2 FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q FROM lineitem) GROUP BY l_orderkey)
+SELECT * FROM s WHERE least(phase_0, phase_1, phase_2) > 0 AND greatest(phase_0, phase_1, phase_2) > 3 AND (greatest(phase_0, phase_1, phase_2) - least(phase_0, phase_1, phase_2)) * 100 > greatest(phase_0, phase_1, phase_2) * 15""")
 def phase_unbalance(spark, d):
-    return rules.phase_unbalance(table(spark, d, "lineitem"), "l_orderkey", F.col("l_linenumber") % 3, qty())
+    phase = F.col("l_linenumber") % 4
+    return rules.phase_unbalance(table(spark, d, "lineitem"), "l_orderkey", phase, qty(), three_phase=phase == 3)
 
 
 @query("""WITH m AS (SELECT l_orderkey, min(CAST(l_quantity AS BIGINT)) AS least_incomer FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
@@ -118,9 +119,9 @@ def count_mismatch(spark, d):
     return rules.count_mismatch(expected, table(spark, d, "lineitem"), ["l_orderkey"])
 
 
-@query("SELECT n_nationkey, 'JX' || unnest(generate_series(n_nationkey, n_nationkey + n_regionkey)) AS code FROM nation")
+@query("SELECT n_nationkey, 'JX' || unnest(generate_series(n_nationkey + 1, n_nationkey + 1 + n_regionkey)) AS code FROM nation")
 def range_expand(spark, d):
-    text = F.concat(F.lit("JX"), F.col("n_nationkey").cast("string"), F.lit(" ~ JX"), (F.col("n_nationkey") + F.col("n_regionkey")).cast("string"))
+    text = F.concat(F.lit("JX"), (F.col("n_nationkey") + 1).cast("string"), F.lit(" ~ JX"), (F.col("n_nationkey") + 1 + F.col("n_regionkey")).cast("string"))
     return table(spark, d, "nation").select("n_nationkey", F.explode(specs.panel_range(text)).alias("code"))
 
 
@@ -215,10 +216,10 @@ def revert_guard(spark, d):
 
 
 @query("""SELECT coalesce(o.o_orderkey, n.k) AS o_orderkey, CASE WHEN n.k IS NOT NULL AND NOT (o.o_orderkey IS NOT NULL AND n.s = '') THEN n.s ELSE o.o_orderstatus END AS o_orderstatus
-FROM orders o FULL JOIN (SELECT o_orderkey + 14000 AS k, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'U' END AS s FROM orders WHERE o_orderkey < 3000) n ON o.o_orderkey = n.k""")
+FROM orders o FULL JOIN (SELECT o_orderkey + 14000 AS k, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'U' END AS s FROM orders) n ON o.o_orderkey = n.k""")
 def upsert_keeps_filled(spark, d):
     old = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    new = old.where("o_orderkey < 3000").select((F.col("o_orderkey") + 14000).alias("o_orderkey"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("U").alias("o_orderstatus"))
+    new = old.select((F.col("o_orderkey") + 14000).alias("o_orderkey"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("U").alias("o_orderstatus"))
     return store.upsert(old, new, "o_orderkey", {"o_orderstatus": F.col("n_o_orderstatus") == ""})
 
 

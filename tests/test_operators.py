@@ -13,17 +13,51 @@ def values(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_devices_and_breakers(spark):
-    df = spark.createDataFrame([("MCB-63/C25A/3P",), ("3×A+B×2",), ("A++B",), (None,), ("2×A×3",)], "t string")
-    got = [r[0] for r in df.select(specs.devices(F.col("t"))).collect()]
-    assert [tuple(x) for x in got[1]] == [("A", 3), ("B", 2)] and got[2] is None and got[3] is None and got[4] is None
-    b = df.select(specs.breaker(F.col("t"))).first()[0]
-    assert (b["series"], b["curve"], b["amps"], b["poles"], b["leakage_ma"]) == ("MCB-63", "C", 25.0, 3, None)
+def parsed(spark, parser, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r[0] for r in df.orderBy("i").select(parser(F.col("t"))).collect()]
+
+
+def test_devices(spark):
+    got = parsed(spark, specs.devices, ["3xMCB", "MCB X3", "MCB-63/C25A/3P", "A＋B", "0×A", "MCB-1+VM", "", None, "3*A", "MCB+MCB"])
+    pairs = [None if x is None else [tuple(y) for y in x] for x in got]
+    assert pairs == [[("MCB", 3)], [("MCB", 3)], [("MCB-63/C25A/3P", 1)], None, None, [("MCB-1+VM", 1)], [], None, [("A", 3)], None]
+    both = parsed(spark, lambda c: specs.devices(c, combos=True), ["3×MCB+RCB×2", "MCB++RCB"])
+    assert [tuple(x) for x in both[0]] == [("MCB", 3), ("RCB", 2)] and both[1] is None
+
+
+def test_breakers(spark):
+    texts = {
+        "MCB-63/C25A/3P": ("MCB-63", "C", 25.0, "3P", None), "NXB-63 C 16/1P+N 30mA": ("NXB-63", "C", 16.0, "1P+N", 30), "In: 100A": ("100A", None, 100.0, None, None), "100/3P": (None, None, 100.0, "3P", None),
+        "D32A/3P": (None, "D", 32.0, "3P", None), "动力型 63A": ("63A", "D", 63.0, None, None), "照明型": (None, "C", None, None, None), "NM1-125S/3300": ("NM1-125S", None, None, "3P", None), "iC65N-C16/2P": ("IC65N", "C", 16.0, "2P", None), "": (None,) * 5,
+    }
+    got = parsed(spark, specs.breaker, texts)
+    assert {t: (b["series"], b["curve"], b["amps"], b["pole_text"], b["leakage_ma"]) for t, b in zip(texts, got, strict=True)} == texts
+    assert parsed(spark, specs.rated_amps, ["C63", "C16A/1P", "63A", "In=63A", "x", None]) == [63.0, 16.0, 63.0, 63.0, None, None]
+
+
+def test_cables(spark):
+    texts = {
+        "3x2.5+E2.5": (None, 3, 2.5, 1, 2.5, None), "BV-2.5": ("BV", 1, 2.5, None, None, None), "YJV-4x35+1x16-SC50/FC": ("YJV", 4, 35.0, 1, 16.0, "SC50/FC"),
+        "WDZ-BYJ-3*16+2*10": ("WDZ-BYJ", 3, 16.0, 2, 10.0, None), "5×6": (None, 5, 6.0, None, None, None), "": (None,) * 6,
+    }
+    assert {t: tuple(c) for t, c in zip(texts, parsed(spark, specs.cable, texts), strict=True)} == texts
 
 
 def test_ranges(spark):
-    df = spark.createDataFrame([("JX1~JX3",), ("1AL1~3",), ("AP08-10",), ("JX5~JX2",), ("plain",)], "t string")
-    assert [r[0] for r in df.select(specs.panel_range(F.col("t"))).collect()] == [["JX1", "JX2", "JX3"], ["1AL1", "1AL2", "1AL3"], ["AP08", "AP09", "AP10"], ["JX5~JX2"], ["PLAIN"]]
+    texts = {
+        "JX1~JX3": ["JX1", "JX2", "JX3"], "1AL1~3": ["1AL1", "1AL2", "1AL3"], "AP08-10": ["AP08", "AP09", "AP10"], "1AL1, 1AL2, 2AP1": ["1AL1", "1AL2", "2AP1"], "3~5RDAL": ["3RDAL", "4RDAL", "5RDAL"],
+        "1AL1至3": ["1AL1", "1AL2", "1AL3"], "AP01–03": ["AP01", "AP02", "AP03"], "JX1~JX2、JX5 ~ JX6": ["JX1", "JX2", "JX5", "JX6"], "12-13": [], "JX5~JX2": ["JX5", "JX2"], "JX2~JX2": ["JX2"], "plain": [], "AP1/AP2/AP3": ["AP1", "AP2", "AP3"], "DN65": [], "": [],
+    }
+    assert dict(zip(texts, parsed(spark, specs.panel_range, texts), strict=True)) == texts
+    assert len(parsed(spark, specs.panel_range, ["P1~P151"])[0]) == 151 and len(parsed(spark, specs.panel_range, ["P1~P152"])[0]) == 2
+
+
+def test_contained_claims_of_any_length(spark):
+    claims = spark.createDataFrame([(1, ""), (2, "b"), (3, "the quick brown fox"), (4, None), (5, "quick brown"), (6, "zz")], "c int, claim string")
+    corpus = spark.createDataFrame([(1, "see the quick brown fox run"), (2, "b"), (3, None), (4, ""), (5, "quick brow")], "t int, text string")
+    want = [(2, 1), (2, 2), (2, 5), (3, 1), (5, 1)]
+    assert values(rules.contained(claims, corpus, "claim", "text", "c", "t")) == want
 
 
 def test_size_issue_and_forms(spark):
@@ -59,7 +93,7 @@ def test_both_ways_of_containment_agree(spark):
     claims = spark.createDataFrame([(1, "needle in the hay"), (2, "another one here")], "i int, c string")
     texts = spark.createDataFrame([(1, "a needle in the haystack"), (2, "nothing"), (3, "x another one here x needle in the hay")], "d int, t string")
     near = values(rules.contained(claims, texts, "c", "t", "i", "d"))
-    assert near == values(rules.contained(claims, texts, "c", "t", "i", "d", small_bytes=0)) == [(1, 1), (1, 3), (2, 3)]
+    assert near == values(rules.contained(claims, texts, "c", "t", "i", "d", anchor=3)) == [(1, 1), (1, 3), (2, 3)]
 
 
 def test_dxf_texts(spark, tmp_path):
