@@ -125,11 +125,11 @@ def range_expand(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.explode(specs.panel_range(text)).alias("code"))
 
 
-@query("""WITH d AS (SELECT p_partkey AS item, 'P' || unnest(generate_series(p_partkey, p_partkey + 3)) AS c FROM part), h AS (SELECT DISTINCT 'P' || l_partkey AS c FROM lineitem WHERE l_returnflag = 'A'),
+@query("""WITH d AS (SELECT p_partkey AS item, 'P' || unnest(generate_series(p_partkey + 1, p_partkey + 4)) AS c FROM part), h AS (SELECT DISTINCT 'P' || l_partkey AS c FROM lineitem WHERE l_returnflag = 'A'),
 x AS (SELECT item, count(*) AS n_declared, count(h.c) AS n_matched, coalesce(string_agg(CASE WHEN h.c IS NULL THEN d.c END, ',' ORDER BY d.c), '') AS missing FROM d LEFT JOIN h ON d.c = h.c GROUP BY item)
 SELECT *, CASE WHEN n_declared = n_matched THEN 'COVERED' WHEN n_matched > 0 THEN 'PARTIAL' ELSE 'MISSING' END AS status FROM x""")
 def reconcile_coverage(spark, d):
-    text = F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.lit("~"), (F.col("p_partkey") + 3).cast("string"))
+    text = F.concat(F.lit("P"), (F.col("p_partkey") + 1).cast("string"), F.lit("~"), (F.col("p_partkey") + 4).cast("string"))
     declared = table(spark, d, "part").select(F.col("p_partkey").alias("item"), specs.panel_range(text).alias("codes"))
     found = table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("code"))
     return rules.coverage(declared, found, "item", "codes", "code")
@@ -310,3 +310,6 @@ def normal_forms(spark, d):
     raw = F.concat(F.lit(" mcb - "), "l_returnflag", F.lit("_"), "l_linestatus")
     cell = F.when(F.col("l_returnflag") == "A", "=A").otherwise(F.col("l_returnflag"))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", C.match_form(raw).alias("form"), C.safe_cell(cell).alias("cell"))
+
+
+from . import project_queries  # noqa: E402, F401  (adds its queries)
