@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, lower_ascii
+from .common import BLANKS, lower_ascii, materialize, scoped
+
+#: So many frequent keys at most (12 MB) are broadcast; more are joined by shuffle, where hot keys are split.
+BROADCAST_KEYS = 500_000
 
 
 def line_keys(lines: Column, min_chars: int) -> Column:
@@ -19,7 +22,8 @@ def line_keys(lines: Column, min_chars: int) -> Column:
     return F.transform(lines, key)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@scoped
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, most_broadcast: int = BROADCAST_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its text_col rewritten and n_lines, n_dropped (long) beside it.
 
     Lines whose key stands in at least min_docs different ids go everywhere but in the largest id that holds the key;
@@ -28,12 +32,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     replaced; other columns pass through. An empty table gives an empty one.
 
     What is shuffled for counting is 32 bytes a line; the texts move once, to meet the keys they lose. The keys over the
-    threshold are joined by hash, as a broadcast only if the planner finds them small, else with hot keys split.
+    threshold are written and counted: up to most_broadcast of them are broadcast, so that no line moves to meet them and a
+    very common line is no task's burden; more are joined by hash, with hot keys split.
     """
     docs = docs.drop("n_lines", "n_dropped")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(F.filter(line_keys(lines, min_chars), lambda k: k.isNotNull()))).alias("k")).select("__id", "k.a", "k.b")
     common = own.groupBy("a", "b").agg(F.count_distinct("__id").alias("n"), F.max("__id").alias("keeper")).where(F.col("n") >= min_docs).select("a", "b", "keeper")
+    common = materialize(common)
+    common = F.broadcast(common) if common.count() <= most_broadcast else common
     lost = own.join(common, ["a", "b"]).where(F.col("__id") != F.col("keeper")).groupBy("__id").agg(F.collect_set(F.struct("a", "b")).alias("__lost"))
     joined = docs.join(lost, docs[id_col] == lost["__id"], "left").drop("__id")
     names = docs.columns

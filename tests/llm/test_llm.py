@@ -134,6 +134,8 @@ def test_line_dedup_odd_cases(spark, odd):
     assert out[1, "1"] == (3, 2) and out[6, f"{line}\n6\n  {line.upper()}\t"] == (3, 0) and out[6, line] == (1, 0) and out[None, line] == (1, 0)
     assert out[9, ""] == (1, 0) and len(out) == 10
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_lines string")
+    assert sorted(map(str, line_dedup.dedup_lines(frame, most_broadcast=0).collect())) == sorted(map(str, line_dedup.dedup_lines(frame).collect()))
 
 
 def brute_fingerprint(t):
