@@ -165,9 +165,10 @@ def test_links_at_every_bucket_limit(spark, limit):
     assert union(fps, [tuple(x) for x in links]) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("broadcast_edges", [1 << 18, 0])
+def test_components(spark, broadcast_edges):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5), (None, 4)] + [(100 + i, 101 + i) for i in range(60)]
-    got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), broadcast_edges=broadcast_edges).collect()}
     assert got == {**dict.fromkeys([1, 2, 3, 7, 8, 9], 1), 20: 20, 21: 20, **dict.fromkeys(range(100, 161), 100)}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
