@@ -54,12 +54,6 @@ def circuit_rank(number: Column, load: Column, incoming: str = "进线") -> Colu
     return F.when((number == incoming) | F.coalesce(load, F.lit("")).startswith(incoming), 0).when(filled, 1).otherwise(2)
 
 
-def spare_state(text: Column) -> Column:
-    """active, installed_spare or reserved, from a circuit's texts without white space."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)\\s+", "")
-    return F.when(t.rlike("预留|未装(?!饰)"), "reserved").when(t.contains("备用"), "installed_spare").otherwise("active")
-
-
 def merge_sightings(df: DataFrame, keys: Sequence[str], low: str, high: str, order: Column) -> DataFrame:
     """Rows of a key that overlap an earlier kept row by half of the smaller height are the same sighting; the first stays.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import projects
+from ..operators import circuits, projects
 from ..sources.tables import table
 from .queries import cents, query
 
@@ -102,3 +102,17 @@ def cost_by_period(spark, d):
 def title_markers(spark, d):
     text = F.concat_ws(" ", "p_brand", "p_name", "p_brand")
     return table(spark, d, "part").select("p_partkey", F.array_join(projects.markers(text, "[A-Z][a-z]*#[0-9]+"), ",").alias("marks"))
+
+
+@query("""SELECT o_custkey, state, count(*) AS n FROM (SELECT o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'reserved' WHEN o_orderstatus NOT IN ('F', 'P') THEN 'active' WHEN o_orderkey % 3 = 0 THEN 'installed_spare' ELSE 'reserved' END AS state FROM orders) GROUP BY ALL""")
+def circuit_states(spark, d):
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey")
+    load = F.when(status == "F", "备用 回路").when(status == "P", "预留").otherwise("备用照明")
+    state = circuits.spare_disposition(load, F.when(key % 5 == 0, "未安装"), F.when(key % 3 == 0, "C65N"), F.lit(None).cast("string"))
+    return table(spark, d, "orders").groupBy("o_custkey", state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'PHASE_INVALID' AS rule_code, 'WARNING' AS severity, p_partkey AS target FROM part WHERE p_size % 6 NOT IN (1, 2, 3)""")
+def phase_invalid(spark, d):
+    phase = F.concat(F.lit("L"), (F.col("p_size") % 6).cast("string"), F.when(F.col("p_partkey") % 2 == 0, "/N/PE").otherwise(""))
+    return table(spark, d, "part").where(~circuits.valid_phase(phase)).select(F.lit("PHASE_INVALID").alias("rule_code"), F.lit("WARNING").alias("severity"), F.col("p_partkey").alias("target"))
