@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Load names of spare and reserved circuits, notes of devices that aren't installed, phase marks (Java patterns).
+# Load names of spare and reserved circuits, notes of devices that aren't installed and one that only looks like them, phase marks.
 SPARE_LOADS, RESERVED_LOADS = ("备用", "备用回路", "备用开关"), ("预留", "预留回路", "备用预留")
-NOT_INSTALLED = "未安装|不安装|仅预留|未装(?!饰)"
+NOT_INSTALLED, UNDECORATED = ("未安装", "不安装", "仅预留", "未装"), "未装饰"
 PHASE_MARKS = ("L1L2L3", "L1L2L3PE", "L1L2L3NPE", "1P", "2P", "3P", "4P", "三相", "单相", "A", "B", "C", "ABC")
-PHASES = r"^(?:L[123]N?(?:PE)?|L1[~-]?L?3N?(?:PE)?|L[1-3]{1,3}N?(?:PE)?)$"
 INCOMING, SPARE, NO_NUMBER = "进线", "备用", "未编号回路"
 
 
@@ -40,7 +39,7 @@ def spare_disposition(load: Column, note: Column, breaker: Column, contactor: Co
     """
     name, said = _compact(load), _compact(note)
     named = F.when(name == "", said).otherwise(name).isin(*SPARE_LOADS, *RESERVED_LOADS)
-    missing = name.rlike(NOT_INSTALLED) | said.rlike(NOT_INSTALLED)
+    missing = F.replace(F.concat_ws(" ", name, said), F.lit(UNDECORATED), F.lit("")).rlike("|".join(NOT_INSTALLED))
     device = (F.trim(_text(breaker)) != "") | (F.trim(_text(contactor)) != "")
     return F.when(missing, "reserved").when(~named, "active").when(device, "installed_spare").otherwise("reserved")
 
@@ -52,9 +51,11 @@ def box_multiplier(quantity: Column, confirmed: Column) -> Column:
 
 
 def valid_phase(phase: Column) -> Column:
-    """An empty phase, or one of the usual marks once separators are out."""
+    """An empty phase, or one of the usual marks once separators are out: L and up to three of the digits 1 to 3, or L1L3 for L1 to L3, then N and PE if stated."""
     bare = F.upper(F.regexp_replace(_text(phase), r"(?U)[\s,./~_、-]+", ""))
-    return (_text(phase) == "") | bare.isin(*PHASE_MARKS) | bare.rlike(PHASES)
+    lines = F.regexp_replace(bare, "N?(?:PE)?$", "")
+    digits = F.substring(lines, 2, 4)
+    return (_text(phase) == "") | bare.isin(*PHASE_MARKS) | (lines == "L1L3") | (lines.startswith("L") & digits.rlike("^[123]{1,3}$"))
 
 
 def thin_text(geometry: Column, texts: Column, least: int = 80, ratio: int = 40) -> Column:

@@ -52,24 +52,36 @@ def set_algebra(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "value", "full_outer").select("value", F.when(F.col("a").isNull(), "only_b").when(F.col("b").isNull(), "only_a").otherwise("both").alias("side"))
 
 
-def contained(claims: DataFrame, corpus: DataFrame, claim: str, text: str, claim_id: str, text_id: str, anchor: int = 12) -> DataFrame:
+def contained(claims: DataFrame, corpus: DataFrame, claim: str, text: str, claim_id: str, text_id: str, anchor: int = 12, stride: int = 16) -> DataFrame:
     """(claim_id, text_id): corpus rows whose text contains the claim. An empty or null claim, as a null text, matches nothing.
 
-    Both sides meet on the hash of the claim's first anchor characters (of all of a shorter one): what a text sends are the
-    hashes of its windows of the lengths that claims have, with its id, and only texts that meet a claim are read again to
-    be verified. It is the same at every size of either side, and no nested loop.
+    A text is cut once into pieces of stride characters. A claim of at least 2 * stride - 1 characters holds one of them whole,
+    wherever it stands, so it meets the text on one of the hashes of its first stride windows. Shorter claims meet on the
+    hash of their first anchor characters (of all of a shorter one): for them a text sends its windows of the lengths that
+    such claims have, taken from short overlapping pieces. Either way the work is linear in the text, and only texts that
+    meet a claim are read again to be verified. It is the same at every size of either side, and no nested loop.
     """
-    named = claims.where(F.char_length(claim) > 0).select(F.col(claim_id).alias("__c"), F.col(claim).alias("__claim"), F.least(F.char_length(claim), F.lit(anchor)).alias("__n"))
-    named = named.withColumn("__k", F.xxhash64(F.expr("left(__claim, __n)")))
-    lengths = sorted(r[0] for r in named.select("__n").distinct().collect())  # anchor different ones at most
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(n))))
-    keys = F.array_distinct(F.concat(*map(of, lengths))) if lengths else F.array().cast("array<long>")
-    windows = corpus.where(F.col(text).isNotNull()).select(F.col(text_id).alias("__t"), F.explode(keys).alias("__k"))
-    met = windows.join(named.select("__c", "__k"), "__k").select("__t", "__c").distinct()
-    both = met.join(corpus.select(F.col(text_id).alias("__t"), F.col(text).alias("__text")), "__t").join(named.select("__c", "__claim"), "__c")
+    named = claims.where(F.char_length(claim) > 0).select(F.col(claim_id).alias("__c"), F.col(claim).alias("__claim"), F.char_length(claim).alias("__len"))
+    texts = corpus.where(F.col(text).isNotNull()).select(F.col(text_id).alias("__t"), F.col(text).alias("__text"))
+    is_long = F.col("__len") >= 2 * stride - 1
+    pieces = F.transform(F.regexp_extract_all("__text", F.lit(f"(?s).{{{stride}}}"), F.lit(0)), lambda p: F.xxhash64(p))
+    windows = F.transform(F.sequence(F.lit(1), F.lit(stride)), lambda i: F.xxhash64(F.substring(F.col("__claim"), i, F.lit(stride))))
+    met = [_met(texts, pieces, named.where(is_long).select("__c", F.explode(F.array_distinct(windows)).alias("__k")))]
+    short = named.where(~is_long).withColumn("__n", F.least("__len", F.lit(anchor)))
+    lengths = sorted(r[0] for r in short.select("__n").distinct().collect())  # anchor different ones at most
+    if lengths:
+        cut = F.regexp_extract_all("__text", F.lit("(?s).{1,64}"), F.lit(0))
+        joined = F.zip_with(cut, F.slice(cut, 2, 1 << 30), lambda p, q: F.struct(F.char_length(p).alias("n"), F.concat(p, F.left(F.coalesce(q, F.lit("")), F.lit(anchor - 1))).alias("p")))
+        of = lambda n: F.flatten(F.transform(F.col("__cut"), lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda i: F.xxhash64(F.substring(x["p"], i, F.lit(n))))))
+        met.append(_met(texts.withColumn("__cut", joined), F.concat(*map(of, lengths)), short.select("__c", F.xxhash64(F.expr("left(__claim, __n)")).alias("__k"))))
+    both = (met[0] if len(met) == 1 else met[0].unionByName(met[1])).join(texts, "__t").join(named.select("__c", "__claim"), "__c")
     return both.where(F.contains("__text", "__claim")).select(F.col("__c").alias(claim_id), F.col("__t").alias(text_id))
 
 
+def _met(texts: DataFrame, keys: Column, named: DataFrame) -> DataFrame:
+    return texts.select("__t", F.explode(F.array_distinct(keys)).alias("__k")).join(named, "__k").select("__t", "__c").distinct()
+
+
 def recall_precision(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:
     """One row: counts, recall and precision; an empty denominator gives 1."""
     hit, gold, said = (F.count_if(c) for c in (truth & predicted, truth, predicted))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..functions import specs
+from ..functions import panels, specs
 from ..operators import bom, hierarchy, pricing, rules, spatial, store
 from ..sources.tables import table
 
@@ -122,16 +122,16 @@ def count_mismatch(spark, d):
 @query("SELECT n_nationkey, 'JX' || unnest(generate_series(n_nationkey + 1, n_nationkey + 1 + n_regionkey)) AS code FROM nation")
 def range_expand(spark, d):
     text = F.concat(F.lit("JX"), (F.col("n_nationkey") + 1).cast("string"), F.lit(" ~ JX"), (F.col("n_nationkey") + 1 + F.col("n_regionkey")).cast("string"))
-    return table(spark, d, "nation").select("n_nationkey", F.explode(specs.panel_range(text)).alias("code"))
+    return table(spark, d, "nation").select("n_nationkey", F.explode(panels.panel_range(text)).alias("code"))
 
 
-@query("""WITH d AS (SELECT p_partkey AS item, 'P' || unnest(generate_series(p_partkey + 1, p_partkey + 4)) AS c FROM part), h AS (SELECT DISTINCT 'P' || l_partkey AS c FROM lineitem WHERE l_returnflag = 'A'),
+@query("""WITH d AS (SELECT p_partkey AS item, (p_partkey // 500) || 'JX' || unnest(generate_series(p_partkey % 500 + 1, p_partkey % 500 + 4)) AS c FROM part), h AS (SELECT DISTINCT (l_partkey // 500) || 'JX' || (l_partkey % 500) AS c FROM lineitem WHERE l_returnflag = 'A'),
 x AS (SELECT item, count(*) AS n_declared, count(h.c) AS n_matched, coalesce(string_agg(CASE WHEN h.c IS NULL THEN d.c END, ',' ORDER BY d.c), '') AS missing FROM d LEFT JOIN h ON d.c = h.c GROUP BY item)
 SELECT *, CASE WHEN n_declared = n_matched THEN 'COVERED' WHEN n_matched > 0 THEN 'PARTIAL' ELSE 'MISSING' END AS status FROM x""")
 def reconcile_coverage(spark, d):
-    text = F.concat(F.lit("P"), (F.col("p_partkey") + 1).cast("string"), F.lit("~"), (F.col("p_partkey") + 4).cast("string"))
-    declared = table(spark, d, "part").select(F.col("p_partkey").alias("item"), specs.panel_range(text).alias("codes"))
-    found = table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("code"))
+    code = lambda key, more: F.concat((F.col(key) / 500).cast("int").cast("string"), F.lit("JX"), (F.col(key) % 500 + more).cast("string"))
+    declared = table(spark, d, "part").select(F.col("p_partkey").alias("item"), panels.panel_range(F.concat(code("p_partkey", 1), F.lit("~"), (F.col("p_partkey") % 500 + 4).cast("string"))).alias("codes"))
+    found = table(spark, d, "lineitem").where("l_returnflag = 'A'").select(code("l_partkey", 0).alias("code"))
     return rules.coverage(declared, found, "item", "codes", "code")
 
 
@@ -312,4 +312,4 @@ def normal_forms(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", C.match_form(raw).alias("form"), C.safe_cell(cell).alias("cell"))
 
 
-from . import project_queries  # noqa: E402, F401  (adds its queries)
+from . import drawing_queries, project_queries  # noqa: E402, F401  (they add their queries)

@@ -1,9 +1,11 @@
 """Operators on small literal tables."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from loomgrid.functions import columns as C
-from loomgrid.functions import specs
+from loomgrid.functions import panels, specs
 from loomgrid.operators import bom, hierarchy, rules, spatial
 from loomgrid.sources import dxf
 from loomgrid.streaming import ledger
@@ -49,8 +51,8 @@ def test_ranges(spark):
         "JX1~JX3": ["JX1", "JX2", "JX3"], "1AL1~3": ["1AL1", "1AL2", "1AL3"], "AP08-10": ["AP08", "AP09", "AP10"], "1AL1, 1AL2, 2AP1": ["1AL1", "1AL2", "2AP1"], "3~5RDAL": ["3RDAL", "4RDAL", "5RDAL"],
         "1AL1至3": ["1AL1", "1AL2", "1AL3"], "AP01–03": ["AP01", "AP02", "AP03"], "JX1~JX2、JX5 ~ JX6": ["JX1", "JX2", "JX5", "JX6"], "12-13": [], "JX5~JX2": ["JX5", "JX2"], "JX2~JX2": ["JX2"], "plain": [], "AP1/AP2/AP3": ["AP1", "AP2", "AP3"], "DN65": [], "": [],
     }
-    assert dict(zip(texts, parsed(spark, specs.panel_range, texts), strict=True)) == texts
-    assert len(parsed(spark, specs.panel_range, ["P1~P151"])[0]) == 151 and len(parsed(spark, specs.panel_range, ["P1~P152"])[0]) == 2
+    assert dict(zip(texts, parsed(spark, panels.panel_range, texts), strict=True)) == texts
+    assert len(parsed(spark, panels.panel_range, ["JXA1~JXA151"])[0]) == 151 and len(parsed(spark, panels.panel_range, ["JXA1~JXA152"])[0]) == 2
 
 
 def test_contained_claims_of_any_length(spark):
@@ -60,6 +62,15 @@ def test_contained_claims_of_any_length(spark):
     assert values(rules.contained(claims, corpus, "claim", "text", "c", "t")) == want
 
 
+def test_claims_in_a_long_text(spark):
+    text = "".join(f"{i:x}, " for i in range(200_000)) + "\u4e2d\u6587 end of it"
+    claims = spark.createDataFrame([(1, text[700_000:700_040]), (2, text[-9:]), (3, text[500_001:500_012]), (4, text[-40:]), (5, "not in this text, whatever one does")], "c int, claim string")
+    corpus = spark.createDataFrame([(1, text)], "t int, text string")
+    began = time.time()
+    assert values(rules.contained(claims, corpus, "claim", "text", "c", "t")) == [(1, 1), (2, 1), (3, 1), (4, 1)]
+    assert len(text) > 1_300_000 and time.time() - began < 30
+
+
 def test_size_issue_and_forms(spark):
     df = spark.createDataFrame([("600x200*800", "箱A：数量不明 [WARNING]", " a－b "), ("600x800", "no head", None)], "s string, i string, c string")
     r = df.select(specs.box_size(F.col("s")).alias("s"), specs.issue(F.col("i")).alias("i"), C.code_of(F.col("c")).alias("c")).collect()
