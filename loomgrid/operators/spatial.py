@@ -1,4 +1,4 @@
-"""Range joins by buckets, gaps and islands, and clusters of close points."""
+"""Range joins by buckets, gaps and islands, nearest rows, clusters of close points, and boxes that touch or contain one another."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staged import drop, staged
+from .graphs import components, first_wins
+
 
 def near_join(left: DataFrame, right: DataFrame, a: str, b: str, reach: float) -> DataFrame:
     """Pairs with abs(left.a - right.b) <= reach: right rows are named in their bucket and the two beside it, so the join is by equal buckets and each pair meets once."""
@@ -16,13 +19,6 @@ def near_join(left: DataFrame, right: DataFrame, a: str, b: str, reach: float) -
     return lb.join(rb, "__cell").where(F.abs(F.col(a) - F.col(b)) <= reach).drop("__cell")
 
 
-def box_join(points: DataFrame, boxes: DataFrame, x: str, y: str, cell: float) -> DataFrame:
-    """Points inside boxes (x0, y0, x1, y1): boxes are named in every grid cell that they touch."""
-    grid = lambda c: F.floor(F.col(c) / cell)
-    named = boxes.withColumn("__cx", F.explode(F.sequence(grid("x0"), grid("x1")))).withColumn("__cy", F.explode(F.sequence(grid("y0"), grid("y1"))))
-    return points.withColumns({"__cx": grid(x), "__cy": grid(y)}).join(named, ["__cx", "__cy"]).where(F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))).drop("__cx", "__cy")
-
-
 def islands(df: DataFrame, keys: Sequence[str], at: str, gap: Column | float, order: Sequence[str] = ()) -> DataFrame:
     """df with island (1, 2, ... per key): a row begins one if it lies over gap beyond the row before it."""
     w = Window.partitionBy(*keys).orderBy(at, *order)
@@ -48,7 +44,142 @@ def anchored_rows(df: DataFrame, keys: Sequence[str], y: str, tolerance: float,
     return folded.select(*keys, F.explode(F.arrays_zip("rows", "at")).alias("z")).select(*keys, F.col("z.rows.o").alias(order), F.col("z.at").alias("row"))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, pairs: Column, distance: Column, tie: Sequence[str]) -> DataFrame:
-    """The nearest right row of each left row among those that pairs admits."""
-    rank = F.row_number().over(Window.partitionBy(left_id).orderBy(distance, *tie))
-    return left.join(right, pairs).withColumn("__r", rank).where("__r = 1").drop("__r")
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, at: Sequence[tuple[str, str]], keys: Sequence[tuple[str, str]] = (), within: float | None = None) -> DataFrame:
+    """(left_id, right_id, distance): for each left row the nearest right row of its key, the smaller right_id on a tie.
+
+    at names a left and a right column for each axis, of one or two dimensions; the distance is the largest difference along
+    an axis. A left row without a right one in its key (or within that distance, if given) gives no row, as do null places.
+
+    Rings that widen: both sides are named by grid cells, a left row meets the right rows of its cell and those around it,
+    and is done if the best lies within a cell's width, beyond which nothing can be nearer. The others go on with cells four
+    times as wide, the first ones holding about one right row each. Right rows at one place are one row from the start.
+    """
+    lk, rk = [f"__k{i}" for i in range(len(keys))], [f"__p{i}" for i in range(len(at))]
+    side = lambda df, i, name, row_id: df.select(*(F.col(k[i]).alias(n) for k, n in zip(keys, lk, strict=True)), *(F.col(c[i]).cast("double").alias(f"{p}{name}") for c, p in zip(at, rk, strict=True)), F.col(row_id).alias(f"__{name}")).dropna()
+    right = staged(side(right, 1, "r", right_id).groupBy(*lk, *(f"{p}r" for p in rk)).agg(F.min("__r").alias("__r")))
+    todo = side(left, 0, "l", left_id)
+    if lk:
+        todo = todo.join(right.select(*lk).distinct(), lk, "left_semi")
+    todo = staged(todo)
+    n, *spans_r = right.agg(F.count("*"), *(F.max(F.abs(p + "r")) for p in rk)).first()
+    spans_l = todo.agg(*(F.max(F.abs(p + "l")) for p in rk)).first()
+    if not n or spans_l[0] is None:
+        return todo.where("false").select(F.col("__l").alias(left_id), F.lit(None).cast(right.schema["__r"].dataType).alias(right_id), F.lit(0.0).alias("distance"))
+    extent = max(1e-12, 2 * max(*spans_r, *spans_l))
+    width = min(extent / max(1.0, n ** (1 / len(at))), within or float("inf"))
+    done = None
+    while True:
+        cell = lambda c: F.floor(F.col(c) / width)
+        cells = [f"__c{i}" for i in range(len(at))]
+        a = todo.withColumns({c: cell(p + "l") for c, p in zip(cells, rk, strict=True)})
+        b = right
+        for c, p in zip(cells, rk, strict=True):
+            b = b.withColumn(c, F.explode(F.array(*(cell(p + "r") + i for i in (-1, 0, 1)))))
+        far = F.greatest(*(F.abs(F.col(p + "l") - F.col(p + "r")) for p in rk)) if len(at) > 1 else F.abs(F.col(rk[0] + "l") - F.col(rk[0] + "r"))
+        best = a.join(b, [*lk, *cells]).select("__l", far.alias("d"), "__r").where(F.col("d") <= width).groupBy("__l").agg(F.min(F.struct("d", "__r")).alias("m"))
+        found = staged(best.select("__l", F.col("m.__r").alias("__r"), F.col("m.d").alias("d")))
+        done = found if done is None else done.unionByName(found)
+        if width >= extent or (within is not None and width >= within):
+            break
+        rest = staged(todo.join(found, "__l", "left_anti"))
+        drop(todo)
+        todo = rest
+        if todo.isEmpty():
+            break
+        width = min(4 * width, within or float("inf"))
+    out = done.select(F.col("__l").alias(left_id), F.col("__r").alias(right_id), F.col("d").alias("distance"))
+    return out if within is None else out.where(F.col("distance") <= within)
+
+
+def clusters(points: DataFrame, keys: Sequence[str], point_id: str, x: str, y: str, gap: float) -> DataFrame:
+    """(keys..., point_id, cluster): single-link clusters of points at most gap apart along each axis; a cluster is named by its least point_id.
+
+    All points of a grid cell as wide as gap are linked, so a cell is one node, however many it holds. Cells side by side or
+    above one another are linked if their bounds are near enough. Diagonal ones need one pair that is near along both axes: with
+    the points of both in the order of x, that is a running least (or largest) y, so no pairs of points are formed. Points
+    with a null place or id have no row.
+    """
+    ks = [f"__k{i}" for i in range(len(keys))]
+    p = points.select(*(F.col(k).alias(n) for k, n in zip(keys, ks, strict=True)), F.col(point_id).alias("__id"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where("__id IS NOT NULL AND __x IS NOT NULL AND __y IS NOT NULL")
+    p = staged(p.withColumns({"__cx": F.floor(F.col("__x") / gap), "__cy": F.floor(F.col("__y") / gap)}))
+    cell = [*ks, "__cx", "__cy"]
+    bounds = staged(p.groupBy(*cell).agg(F.min("__id").alias("node"), *(f(c).alias(f"{n}{c}") for c in ("__x", "__y") for n, f in (("lo", F.min), ("hi", F.max)))))
+    other = bounds.select(*(F.col(c).alias(f"o{c}") for c in bounds.columns))
+    same = F.lit(True)
+    for k in ks:
+        same = same & F.col(k).eqNullSafe(F.col(f"o{k}"))
+    step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (0, 1), (1, 1), (1, -1))))).alias("step")
+    near = bounds.select("*", step).join(other, same & (F.col("o__cx") == F.col("__cx") + F.col("step.i")) & (F.col("o__cy") == F.col("__cy") + F.col("step.j")))
+    close_y = F.when(F.col("step.j") < 0, F.col("lo__y") - F.col("ohi__y")).otherwise(F.col("olo__y") - F.col("hi__y"))
+    close_x = F.col("olo__x") - F.col("hi__x")
+    near = staged(near.where(F.when(F.col("step.i") == 0, close_y <= gap).when(F.col("step.j") == 0, close_x <= gap).otherwise((close_x <= gap) & (close_y <= gap))).select("node", F.col("onode").alias("other"), F.col("step.i").alias("i"), F.col("step.j").alias("j")))
+    straight = near.where("i = 0 OR j = 0").select("node", "other")
+    slant = near.where("i <> 0 AND j <> 0")
+    # events by x: the right cell's points at their x, the left cell's at the farthest x they reach; y mirrored where the right cell lies below
+    named = bounds.select(*(F.col(c).alias(f"b{c}") for c in cell), "node")
+    at = F.lit(True)
+    for c in cell:
+        at = at & F.col(c).eqNullSafe(F.col(f"b{c}"))
+    lines = p.groupBy(*cell, "__x").agg(F.min("__y").alias("low"), F.max("__y").alias("high")).join(named, at).select("node", F.col("__x").alias("px"), "low", "high")
+    mirrored = lambda low, high: F.when(F.col("j") < 0, -F.col(high)).otherwise(F.col(low))
+    right = slant.join(lines.withColumnRenamed("node", "other"), "other").select("node", "other", F.col("px").alias("pos"), F.lit(0).alias("kind"), mirrored("low", "high").alias("v"))
+    left = slant.join(lines, "node").select("node", "other", (F.col("px") + gap).alias("pos"), F.lit(1).alias("kind"), mirrored("high", "low").alias("v"))
+    w = Window.partitionBy("node", "other").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = right.unionByName(left).withColumn("least", F.min(F.when(F.col("kind") == 0, F.col("v"))).over(w)).where((F.col("kind") == 1) & (F.col("least") - F.col("v") <= gap))
+    comp = components(straight.unionByName(met.select("node", "other").distinct()), "node", "other").withColumnRenamed("node", "__n")
+    label = named.join(comp, F.col("node") == F.col("__n"), "left").withColumn("cluster", F.coalesce("component", "node"))
+    out = p.join(label, at)
+    return out.select(*(F.col(n).alias(k) for n, k in zip(ks, keys, strict=True)), F.col("__id").alias(point_id), "cluster")
+
+
+def bridge(points: DataFrame, keys: Sequence[str], point_id: str, x: str, y: str, cluster: str, orphan: Column, anchor: Column, gap: float) -> DataFrame:
+    """(keys..., cluster, joined): clusters that hold an orphan row and no anchor row, each with the cluster of its nearest anchor row at most gap from an orphan one; the least point_id of an anchor on a tie."""
+    flags = points.groupBy(*keys, cluster).agg(F.bool_or(anchor).alias("__a"), F.bool_or(orphan).alias("__o"))
+    lone = points.where(orphan).join(flags.where("__o AND NOT __a").select(*keys, cluster), [*keys, cluster], "left_semi")
+    found = nearest(lone, points.where(anchor).select(*keys, F.col(point_id).alias("__aid"), F.col(x).alias("__ax"), F.col(y).alias("__ay")), point_id, "__aid", [(x, "__ax"), (y, "__ay")], [(k, k) for k in keys], gap)
+    best = lone.select(*keys, cluster, point_id).join(found, point_id).groupBy(*keys, cluster).agg(F.min(F.struct("distance", "__aid")).alias("m"))
+    homes = points.where(anchor).select(F.col(point_id).alias("__home"), F.col(cluster).alias("joined"))
+    return best.join(homes, F.col("m.__aid") == F.col("__home")).select(*keys, cluster, "joined")
+
+
+def box_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, unit: float = 1.0) -> DataFrame:
+    """(left_id, right_id): pairs of boxes (columns x0, y0, x1, y1 on both sides) that touch, each once.
+
+    A box belongs to the level whose cells (unit, twice as wide at each level) are at least as wide as it, where it lies in four
+    cells at most; it is named there and at all wider levels in use. A pair meets at the level of its wider box, and of the
+    cells that both lie in only the one that holds the low corner of what they share reports it. So boxes of any size
+    give a few rows each and pairs aren't formed twice. A box with a null or crossed bound touches nothing.
+    """
+
+    def sized(df: DataFrame, row_id: str, tag: str) -> DataFrame:
+        cols = {c: F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")}
+        side = F.greatest(cols["x1"] - cols["x0"], cols["y1"] - cols["y0"], F.lit(float(unit)))
+        level = F.ceil(F.log2(side / unit)).cast("int")
+        return df.select(F.col(row_id).alias(f"__{tag}"), *(v.alias(f"{tag}{c}") for c, v in cols.items()), level.alias(f"{tag}level")).where(f"{tag}x0 <= {tag}x1 AND {tag}y0 <= {tag}y1")
+
+    a, b = staged(sized(left, left_id, "l")), staged(sized(right, right_id, "r"))
+    top = a.agg(F.max("llevel").alias("m")).unionByName(b.agg(F.max("rlevel").alias("m"))).agg(F.max("m")).first()[0]
+
+    def named(df: DataFrame, tag: str) -> DataFrame:
+        df = df.withColumn("level", F.explode(F.sequence(F.col(f"{tag}level"), F.lit(top or 0))))
+        for c, axis in (("cx", "x"), ("cy", "y")):
+            low, high = (F.floor(F.col(f"{tag}{axis}{i}") / (unit * F.pow(F.lit(2.0), "level"))) for i in (0, 1))
+            df = df.withColumn(c, F.explode(F.sequence(low, high)))
+        return df
+
+    met = named(a, "l").join(named(b, "r"), ["level", "cx", "cy"]).where(F.col("level") == F.greatest("llevel", "rlevel"))
+    touch = (F.col("lx0") <= F.col("rx1")) & (F.col("rx0") <= F.col("lx1")) & (F.col("ly0") <= F.col("ry1")) & (F.col("ry0") <= F.col("ly1"))
+    owner = lambda c, axis: F.col(c) == F.floor(F.greatest(f"l{axis}0", f"r{axis}0") / (unit * F.pow(F.lit(2.0), "level")))
+    return met.where(touch & owner("cx", "x") & owner("cy", "y")).select(F.col("__l").alias(left_id), F.col("__r").alias(right_id))
+
+
+def outer_boxes(boxes: DataFrame, box_id: str, slack: float = 10.0, covered: float = 0.98, unit: float = 1.0) -> DataFrame:
+    """The boxes that stay when, from the largest area down (the smaller id on a tie), each goes that a kept one contains but for slack or covers by the given share of its area."""
+    grown = boxes.select(F.col(box_id).alias("__big"), *((F.col(c) + d).alias(c) for c, d in (("x0", -slack), ("y0", -slack), ("x1", slack), ("y1", slack))))
+    pairs = box_pairs(boxes, grown, box_id, "__big", unit).where(F.col(box_id) != F.col("__big"))
+    one = boxes.select(box_id, "x0", "y0", "x1", "y1", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
+    big = one.select(F.col(box_id).alias("__big"), *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1", "area")))
+    met = pairs.join(one, box_id).join(big, "__big").where((F.col("barea") > F.col("area")) | ((F.col("barea") == F.col("area")) & (F.col("__big") < F.col(box_id))))
+    inside = (F.col("bx0") <= F.col("x0") + slack) & (F.col("by0") <= F.col("y0") + slack) & (F.col("bx1") >= F.col("x1") - slack) & (F.col("by1") >= F.col("y1") - slack)
+    shared = F.greatest(F.least("x1", "bx1") - F.greatest("x0", "bx0"), F.lit(0)) * F.greatest(F.least("y1", "by1") - F.greatest("y0", "by0"), F.lit(0))
+    return first_wins(boxes, box_id, met.where(inside | ((shared >= F.col("area") * covered) & (F.col("area") > 0))), "__big", box_id)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import panels, specs
+from ..operators import graphs, spatial
 from ..sources.tables import table
 from .queries import query
 
@@ -36,3 +37,41 @@ def brands_and_breakers(spark, d):
     at = lambda a, c: F.get(a, c.cast("int"))
     each = table(spark, d, "lineitem").select(specs.brand(at(names, F.col("l_linenumber") % 7)).alias("brand"), specs.breaker_category(at(devices, F.col("l_orderkey") % 6)).alias("category"))
     return each.groupBy("brand", "category").agg(F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_brand, p_partkey AS id, CAST(p_size AS DOUBLE) AS x, floor(p_retailprice / 10) AS y FROM part),
+e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.p_brand = b.p_brand AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+r AS (SELECT id, id AS root FROM p UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a)
+SELECT p_brand, p.id AS p_partkey, min(root) AS cluster FROM p JOIN r USING (id) GROUP BY ALL""")
+def clusters_2d(spark, d):
+    p = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("x"), F.floor(F.col("p_retailprice") / 10).alias("y"))
+    return spatial.clusters(p, ["p_brand"], "p_partkey", "x", "y", 1.0)
+
+
+@query("""SELECT c_custkey, s_suppkey, greatest(abs(c_acctbal - s_acctbal), abs(c_nationkey - s_nationkey) * 100.0) AS distance FROM customer JOIN supplier ON c_custkey % 3 = s_suppkey % 3
+WHERE greatest(abs(c_acctbal - s_acctbal), abs(c_nationkey - s_nationkey) * 100.0) <= 400 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY distance, s_suppkey) = 1""")
+def nearest_2d(spark, d):
+    c = table(spark, d, "customer").withColumns({"ck": F.col("c_custkey") % 3, "cy": F.col("c_nationkey") * 100.0})
+    s = table(spark, d, "supplier").withColumns({"sk": F.col("s_suppkey") % 3, "sy": F.col("s_nationkey") * 100.0})
+    return spatial.nearest(c, s, "c_custkey", "s_suppkey", [("c_acctbal", "s_acctbal"), ("cy", "sy")], [("ck", "sk")], within=400.0)
+
+
+_BOXES = "SELECT p_partkey AS id, CAST(p_partkey * 7 % 997 AS DOUBLE) AS x0, CAST(p_partkey * 13 % 991 AS DOUBLE) AS y0, CAST(p_partkey * 7 % 997 + p_size AS DOUBLE) AS x1, CAST(p_partkey * 13 % 991 + (p_partkey % 40) AS DOUBLE) AS y1 FROM part"
+
+
+def _boxes(spark, d):
+    k = F.col("p_partkey")
+    x, y = k * 7 % 997, k * 13 % 991
+    return table(spark, d, "part").select(k.alias("id"), *(c.cast("double").alias(n) for n, c in (("x0", x), ("y0", y), ("x1", x + F.col("p_size")), ("y1", y + k % 40))))
+
+
+@query(f"WITH b AS ({_BOXES}) SELECT l.id AS left_id, r.id AS right_id FROM b l JOIN b r ON l.id % 2 = 0 AND r.id % 2 = 1 AND l.x0 <= r.x1 AND r.x0 <= l.x1 AND l.y0 <= r.y1 AND r.y0 <= l.y1")
+def box_pairs(spark, d):
+    b = _boxes(spark, d)
+    return spatial.box_pairs(b.where("id % 2 = 0").withColumnRenamed("id", "left_id"), b.where("id % 2 = 1").withColumnRenamed("id", "right_id"), "left_id", "right_id")
+
+
+@query(f"""WITH b AS ({_BOXES}) SELECT id FROM b s WHERE NOT EXISTS (SELECT 1 FROM b k WHERE k.x0 <= s.x0 AND k.y0 <= s.y0 AND k.x1 >= s.x1 AND k.y1 >= s.y1
+AND ((k.x1 - k.x0) * (k.y1 - k.y0) > (s.x1 - s.x0) * (s.y1 - s.y0) OR ((k.x1 - k.x0) * (k.y1 - k.y0) = (s.x1 - s.x0) * (s.y1 - s.y0) AND k.id < s.id)))""")
+def outer_boxes(spark, d):
+    return spatial.outer_boxes(_boxes(spark, d), "id", slack=0.0, covered=2.0).select("id")

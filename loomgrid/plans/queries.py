@@ -284,7 +284,8 @@ def cluster_1d(spark, d):
 
 @query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) = 1")
 def nearest_in_cluster(spark, d):
-    return spatial.nearest(table(spark, d, "customer"), table(spark, d, "supplier"), "c_custkey", F.col("c_nationkey") == F.col("s_nationkey"), F.abs(F.col("c_acctbal") - F.col("s_acctbal")), ["s_suppkey"]).select("c_custkey", "s_suppkey")
+    found = spatial.nearest(table(spark, d, "customer"), table(spark, d, "supplier"), "c_custkey", "s_suppkey", [("c_acctbal", "s_acctbal")], [("c_nationkey", "s_nationkey")])
+    return found.select("c_custkey", "s_suppkey")
 
 
 @query(f"SELECT time_bucket(INTERVAL '15 minutes', ts) AS window_start, event_type, count(*) AS calls, sum({CENTS.format('value')})::BIGINT AS amount FROM events GROUP BY ALL")
