@@ -21,6 +21,7 @@ def match_form(c: Column) -> Column:
 
 
 def price_form(c: Column) -> Column:
+    """The form in which device models are looked up: upper case, no blanks, hyphens, underscores, slashes or semicolons."""
     return F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)[\\s_/;-]+", ""))
 
 

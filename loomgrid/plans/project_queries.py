@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import circuits, projects
+from ..operators import circuits, pricing, projects
 from ..sources.tables import table
 from .queries import cents, query
 
@@ -116,3 +116,31 @@ def circuit_states(spark, d):
 def phase_invalid(spark, d):
     phase = F.concat(F.lit("L"), (F.col("p_size") % 6).cast("string"), F.when(F.col("p_partkey") % 2 == 0, "/N/PE").otherwise(""))
     return table(spark, d, "part").where(~circuits.valid_phase(phase)).select(F.lit("PHASE_INVALID").alias("rule_code"), F.lit("WARNING").alias("severity"), F.col("p_partkey").alias("target"))
+
+
+_MODELS = """SELECT 'P' || p_partkey AS code, p_brand AS b, p_type AS c, CAST(round(p_retailprice * 100) AS BIGINT) AS price, p_size AS got, p_partkey % 5 = 0 AND p_partkey % 10 <> 0 AS ka10, p_partkey % 3 = 0 AND p_partkey % 10 <> 0 OR p_partkey % 10 = 0 AS curved,
+CASE WHEN p_partkey % 10 = 0 THEN 'MCBC' || p_size || 'A' || (p_partkey % 4 + 1) || 'P' ELSE 'M' || CASE p_partkey % 3 WHEN 0 THEN 'C' || p_size WHEN 1 THEN p_size || 'A' ELSE 'D' || p_size END || (p_partkey % 4 + 1) || 'P' || CASE WHEN p_partkey % 5 = 0 THEN '10KA' ELSE '' END END AS norm FROM part"""
+
+
+@query(f"""WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, 'Brand#' || (l_partkey % 27 + 1) AS b, CAST(l_quantity AS BIGINT) AS q, l_linenumber % 4 + 1 AS p, CASE WHEN l_orderkey % 5 = 0 THEN 10 ELSE 6 END AS ka, l_orderkey % 97 = 0 AS noamp, l_orderkey % 89 = 0 AS nospec FROM lineitem),
+m AS MATERIALIZED ({_MODELS}), x AS (SELECT b, norm, min(code) AS code, arg_min(price, code) AS price FROM m GROUP BY ALL), f AS (SELECT DISTINCT b, q, p, ka FROM d),
+r AS (SELECT f.b, f.q, f.p, f.ka, code, price FROM f JOIN m ON f.b = m.b AND c IN ('ECONOMY', 'STANDARD') AND (norm LIKE '%' || q || 'A%' OR norm LIKE '%C' || q || '%' OR norm LIKE '%D' || q || '%') AND norm LIKE '%' || p || 'P%' AND (f.ka = 6 OR ka10)
+QUALIFY row_number() OVER (PARTITION BY f.b, f.q, f.p, f.ka ORDER BY CASE WHEN got = q THEN 25 WHEN abs(got - q) <= 25 THEN 15 WHEN abs(got - q) > 150 THEN -80 ELSE 0 END + CASE WHEN f.ka = 10 AND ka10 THEN 6 ELSE 0 END + CASE WHEN f.p >= 3 AND ka10 THEN 8 ELSE 0 END + CASE WHEN curved THEN 5 ELSE 0 END DESC, price, code) = 1),
+l AS (SELECT n_nationkey % 4 + 1 AS lp, [10, 16, 20, 25, 32, 40, 50, 63, 80, 100, 125, 160, 200, 250, 400, 630][n_nationkey + 1] AS la, (n_nationkey + 1) * 1001 AS list FROM nation WHERE n_nationkey < 16),
+s AS (SELECT d.*, x.code AS xc, x.price AS xp, r.code AS rc, r.price AS rp, list FROM d LEFT JOIN x ON d.b = x.b AND x.norm = 'MCBC' || q || 'A' || p || 'P' || CASE WHEN d.ka = 10 THEN '10KA' ELSE '' END LEFT JOIN r ON r.b = d.b AND r.q = d.q AND r.p = d.p AND r.ka = d.ka
+LEFT JOIN l ON lp = d.p AND la = (SELECT arg_min(t, (abs(d.q - t), t)) FROM (SELECT unnest([10, 16, 20, 25, 32, 40, 50, 63]) AS t)))
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN nospec THEN 'no_spec' WHEN noamp THEN 'no_amps' WHEN xc IS NOT NULL THEN 'exact' WHEN rc IS NOT NULL THEN 'matched' WHEN list IS NOT NULL THEN 'catalogue' ELSE 'unknown' END AS basis,
+CASE WHEN NOT nospec AND NOT noamp THEN coalesce(xc, rc) END AS price_code, CAST(CASE WHEN nospec OR noamp THEN 0 ELSE coalesce(xp, rp, (list * 8000 + 10000) // 20000, 0) END AS BIGINT) AS cost FROM s""")
+def price_ladder(spark, d):
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    poles, size = F.concat(text(k % 4 + 1), F.lit("P")), text(F.col("p_size"))
+    form = F.when(k % 3 == 0, F.concat(F.lit("C"), size)).when(k % 3 == 1, F.concat(size, F.lit("a"))).otherwise(F.concat(F.lit("D"), size))
+    model = F.when(k % 10 == 0, F.concat(F.lit("MCB-C"), size, F.lit("A/"), poles)).otherwise(F.concat(F.lit("M-"), form, F.lit(" "), poles, F.when(k % 5 == 0, " 10kA").otherwise("")))
+    prices = table(spark, d, "part").select(F.concat(F.lit("P"), text(k)).alias("code"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), model.alias("model"), F.lit("").alias("remark"), F.round(F.col("p_retailprice") * 100).cast("long").alias("price"))
+    o = F.col("l_orderkey")
+    spec = F.when(o % 89 == 0, "-").when(o % 97 == 0, "MCB-1P").otherwise(F.concat(F.lit("MCB-C"), text(F.col("l_quantity").cast("long")), F.lit("A/"), text(F.col("l_linenumber") % 4 + 1), F.lit("P"), F.when(o % 5 == 0, " 10kA").otherwise("")))
+    demand = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", spec.alias("spec"), F.concat(F.lit("Brand#"), text(F.col("l_partkey") % 27 + 1)).alias("brand"))
+    n = F.col("n_nationkey")
+    amps = F.get(F.array(*(F.lit(a) for a in pricing.STANDARD_AMPS)), n.cast("int"))
+    base = table(spark, d, "nation").where("n_nationkey < 16").select(F.concat(F.lit("MCB-"), text(n % 4 + 1), F.lit("P-"), text(amps), F.lit("A")).alias("key"), ((n + 1) * 1001).cast("long").alias("list_price"))
+    return pricing.unit_prices(demand, prices, base, {"MCB": ["ECONOMY", "STANDARD"]}).drop("spec", "brand")
