@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import panels, specs
-from ..operators import graphs, spatial
+from ..operators import drawings, graphs, spatial
 from ..sources.tables import table
 from .queries import query
 
@@ -75,3 +75,65 @@ def box_pairs(spark, d):
 AND ((k.x1 - k.x0) * (k.y1 - k.y0) > (s.x1 - s.x0) * (s.y1 - s.y0) OR ((k.x1 - k.x0) * (k.y1 - k.y0) = (s.x1 - s.x0) * (s.y1 - s.y0) AND k.id < s.id)))""")
 def outer_boxes(spark, d):
     return spatial.outer_boxes(_boxes(spark, d), "id", slack=0.0, covered=2.0).select("id")
+
+
+@query("""WITH t AS (SELECT 'N' || c_nationkey AS block, c_custkey AS id, c_custkey % 100 AS x, CAST(floor(c_acctbal) AS BIGINT) AS y FROM customer UNION ALL SELECT 'R' || n_regionkey, -n_nationkey - 1, n_nationkey, 5 FROM nation),
+i AS (SELECT 'N' || n_nationkey AS block, 'R' || n_regionkey AS owner, n_nationkey % 3 + 1 AS s, n_nationkey % 2 AS turned, n_nationkey * 10 AS e, n_nationkey AS f FROM nation),
+l AS (SELECT block, id, x, y, 0 AS depth FROM t UNION ALL SELECT owner, id, CASE WHEN turned = 1 THEN -s * y ELSE s * x END + e, CASE WHEN turned = 1 THEN s * x ELSE s * y END + f, 1 FROM t JOIN i ON t.block = i.block)
+SELECT l.block, id, CAST(CASE k WHEN 0 THEN x ELSE -x END + k * 1000 AS DOUBLE) AS x, CAST(y + r_regionkey AS DOUBLE) AS y, depth + 1 AS depth FROM l JOIN region ON l.block = 'R' || r_regionkey, (SELECT unnest([0, 1]) AS k)""")
+def block_texts(spark, d):
+    name = lambda p, c: F.concat(F.lit(p), _string(c))
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    texts = c.select(name("N", "c_nationkey").alias("block"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 100).cast("double").alias("x"), F.floor("c_acctbal").cast("double").alias("y"))
+    texts = texts.unionByName(n.select(name("R", "n_regionkey").alias("block"), (-F.col("n_nationkey") - 1).cast("long").alias("id"), F.col("n_nationkey").cast("double").alias("x"), F.lit(5.0).alias("y")))
+    size, turned = (F.col("n_nationkey") % 3 + 1).cast("double"), F.col("n_nationkey") % 2 == 1
+    entry = lambda straight, turn: F.when(turned, turn).otherwise(straight)
+    inner = n.select(name("i", "n_nationkey").alias("insert_id"), name("R", "n_regionkey").alias("owner"), name("N", "n_nationkey").alias("block"), entry(size, F.lit(0.0)).alias("a"), entry(F.lit(0.0), -size).alias("b"), entry(F.lit(0.0), size).alias("c"), entry(size, F.lit(0.0)).alias("d"), (F.col("n_nationkey") * 10.0).alias("e"), F.col("n_nationkey").cast("double").alias("f"))
+    outer = r.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "r_regionkey").select(F.concat(name("m", "r_regionkey"), name("-", "k")).alias("insert_id"), F.lit(None).cast("string").alias("owner"), name("R", "r_regionkey").alias("block"), F.when(F.col("k") == 0, 1.0).otherwise(-1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.lit(1.0).alias("d"), (F.col("k") * 1000.0).alias("e"), F.col("r_regionkey").cast("double").alias("f"))
+    return drawings.explode_blocks(texts, inner.unionByName(outer)).select("block", "id", "x", "y", F.size("path").alias("depth"))
+
+
+_RISER = "SELECT p_brand AS b, 'X' || p_partkey % 11 AS code, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey * 37 % 1009 AS DOUBLE) AS y, p_partkey AS id FROM part"
+
+
+@query(f"""WITH RECURSIVE p AS ({_RISER}), n AS (SELECT s.b, s.x AS seed, p.code, p.x, p.y, row_number() OVER (PARTITION BY s.b, s.x ORDER BY p.y, p.x, p.code) AS k FROM (SELECT DISTINCT b, x FROM p) s JOIN p ON s.b = p.b AND abs(s.x - p.x) <= 8),
+w AS (SELECT b, seed, k, y AS last, CAST(NULL AS DOUBLE) AS step, 1 AS run, true AS kept FROM n WHERE k = 1
+UNION ALL SELECT b, seed, k, CASE WHEN g <= 2 THEN last ELSE y END, CASE WHEN g <= 2 OR follows THEN coalesce(step, CASE WHEN follows THEN g END) END, CASE WHEN g <= 2 OR follows THEN run ELSE run + 1 END, g > 2
+FROM (SELECT w.b, w.seed, n.k, n.y, w.last, w.step, w.run, n.y - w.last AS g, CASE WHEN w.step IS NULL THEN n.y - w.last BETWEEN 8 AND 160 ELSE n.y - w.last <= 320 AND round_even((n.y - w.last) / w.step, 0) BETWEEN 1 AND 2 AND abs((n.y - w.last) / w.step - round_even((n.y - w.last) / w.step, 0)) <= 0.35 END AS follows FROM w JOIN n ON n.b = w.b AND n.seed = w.seed AND n.k = w.k + 1)),
+r AS (SELECT w.b, w.seed, run, max(step) AS step, count(DISTINCT code) FILTER (WHERE kept) AS codes FROM w JOIN n USING (b, seed, k) GROUP BY w.b, w.seed, run)
+SELECT DISTINCT w.b AS p_brand, code, x, y FROM w JOIN n USING (b, seed, k) JOIN r ON r.b = w.b AND r.seed = w.seed AND r.run = w.run WHERE kept AND r.step IS NOT NULL AND codes >= 4""")
+def riser_columns(spark, d):
+    k = F.col("p_partkey")
+    p = table(spark, d, "part").select("p_brand", F.concat(F.lit("X"), _string(k % 11)).alias("code"), F.col("p_size").cast("double").alias("x"), (k * 37 % 1009).cast("double").alias("y"), F.lit(4.0).alias("h"))
+    return drawings.risers(p, ["p_brand"], "code", "x", "y", "h")
+
+
+_SCORED = """g AS (SELECT c_custkey // 40 AS drawing, c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'WL' || c_custkey % 7 END AS number, c_mktsegment AS box, c_nationkey AS f FROM customer),
+s AS (SELECT drawing, 1000000000 - id AS id, number, CASE WHEN id % 11 = 0 THEN 'OTHER' ELSE box END AS box, CASE WHEN id % 6 = 0 THEN f + 1 ELSE f END AS f FROM g WHERE id % 13 <> 0)"""
+
+
+@query(f"""WITH RECURSIVE {_SCORED},
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY drawing ORDER BY gid, tier, sid) AS k FROM (SELECT g.drawing, g.id AS gid, s.id AS sid, CASE WHEN g.number = '' THEN 3 WHEN g.box = s.box THEN 1 ELSE 2 END AS tier FROM g JOIN s ON g.drawing = s.drawing AND g.number = s.number AND (g.number <> '' OR g.box = s.box))),
+w AS (SELECT drawing, 0::BIGINT AS k, []::BIGINT[] AS gs, []::BIGINT[] AS ss FROM (SELECT DISTINCT drawing FROM p)
+UNION ALL SELECT w.drawing, w.k + 1, CASE WHEN free THEN list_append(gs, gid) ELSE gs END, CASE WHEN free THEN list_append(ss, sid) ELSE ss END FROM (SELECT w.*, p.gid, p.sid, NOT list_contains(gs, p.gid) AND NOT list_contains(ss, p.sid) AS free FROM w JOIN p ON p.drawing = w.drawing AND p.k = w.k + 1) w),
+m AS (SELECT drawing, unnest(gs) AS gid, unnest(ss) AS sid FROM (SELECT drawing, arg_max(gs, k) AS gs, arg_max(ss, k) AS ss FROM w GROUP BY drawing)),
+h AS (SELECT m.drawing, count(*) AS taken, count(*) FILTER (WHERE g.box = s.box) AS split, count(*) FILTER (WHERE g.box = s.box AND g.f = s.f) AS content FROM m JOIN g ON g.id = gid JOIN s ON s.id = sid GROUP BY 1),
+n AS (SELECT drawing, max(a) AS gold, max(b) AS said FROM (SELECT drawing, count(*) AS a, 0 AS b FROM g GROUP BY 1 UNION ALL SELECT drawing, 0, count(*) FROM s GROUP BY 1) GROUP BY 1),
+o AS (SELECT drawing, gold, said, coalesce(split, 0) AS split, coalesce(content, 0) AS content, said - coalesce(taken, 0) AS extra FROM n LEFT JOIN h USING (drawing))
+SELECT *, coalesce(split / nullif(gold, 0), 1) AS split_recall, coalesce(split / nullif(split + extra, 0), 1) AS split_precision, coalesce(content / nullif(gold, 0), 1) AS content_recall, coalesce(content / nullif(content + extra, 0), 1) AS content_precision FROM o""")
+def scored_rows(spark, d):
+    k = F.col("c_custkey")
+    gold = table(spark, d, "customer").select((k / 40).cast("long").alias("drawing"), k.alias("id"), F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("wl "), _string(k % 7))).alias("number"), F.col("c_mktsegment").alias("box"), _string("c_nationkey").alias("f"))
+    said = gold.where("id % 13 <> 0").select("drawing", (F.lit(1_000_000_000) - F.col("id")).alias("id"), "number", F.when(F.col("id") % 11 == 0, "other").otherwise(F.lower("box")).alias("box"), F.when(F.col("id") % 6 == 0, _string(F.col("f").cast("int") + 1)).otherwise(F.col("f")).alias("f"))
+    return drawings.score_rows(gold, said, "drawing", "id", "number", "box", ["f"])
+
+
+@query("""WITH RECURSIVE p AS MATERIALIZED (SELECT c_nationkey AS n, c_custkey AS c, s_suppkey AS s, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment <> 'BUILDING', abs(c_acctbal - s_acctbal), c_custkey, s_suppkey) AS k FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= 300),
+w AS (SELECT n, 0::BIGINT AS k, []::BIGINT[] AS cs, []::BIGINT[] AS ss FROM (SELECT DISTINCT n FROM p)
+UNION ALL SELECT n, k + 1, CASE WHEN free THEN list_append(cs, c) ELSE cs END, CASE WHEN free THEN list_append(ss, s) ELSE ss END FROM (SELECT w.*, p.c, p.s, NOT list_contains(cs, p.c) AND NOT list_contains(ss, p.s) AS free FROM w JOIN p ON p.n = w.n AND p.k = w.k + 1))
+SELECT unnest(cs) AS c_custkey, unnest(ss) AS s_suppkey FROM (SELECT n, arg_max(cs, k) AS cs, arg_max(ss, k) AS ss FROM w GROUP BY n)""")
+def claims_once(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    pairs = spatial.near_join(c, s, "c_acctbal", "s_acctbal", 300.0).where("c_nationkey = s_nationkey")
+    pairs = pairs.select("c_custkey", "s_suppkey", (F.col("c_mktsegment") != "BUILDING").cast("int").alias("tier"), F.abs(F.col("c_acctbal") - F.col("s_acctbal")).alias("off"))
+    return graphs.claim_once(pairs, "c_custkey", "s_suppkey", ["tier", "off"]).select("c_custkey", "s_suppkey")
