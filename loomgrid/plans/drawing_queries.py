@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import panels, specs
-from ..operators import drawings, graphs, spatial
+from ..operators import drawings, graphs, spatial, topology
 from ..sources.tables import table
 from .queries import query
 
@@ -137,3 +137,21 @@ def claims_once(spark, d):
     pairs = spatial.near_join(c, s, "c_acctbal", "s_acctbal", 300.0).where("c_nationkey = s_nationkey")
     pairs = pairs.select("c_custkey", "s_suppkey", (F.col("c_mktsegment") != "BUILDING").cast("int").alias("tier"), F.abs(F.col("c_acctbal") - F.col("s_acctbal")).alias("off"))
     return graphs.claim_once(pairs, "c_custkey", "s_suppkey", ["tier", "off"]).select("c_custkey", "s_suppkey")
+
+
+@query("""WITH RECURSIVE k AS (SELECT c_custkey AS k, CASE c_custkey % 100 WHEN 98 THEN c_custkey + 1 WHEN 99 THEN c_custkey - 1 ELSE c_custkey // 7 END AS p FROM customer WHERE c_custkey >= 1),
+known AS (SELECT c_custkey AS code, false AS virtual, c_custkey AS bo FROM customer WHERE c_custkey % 60 <> 59 UNION ALL SELECT p, true, min(k) + 1099511627776 FROM k WHERE p % 60 = 59 GROUP BY p),
+claim AS (SELECT k AS child, p AS parent, k AS feed FROM k UNION ALL SELECT k + 1, p, k FROM k WHERE k % 4 = 0),
+w AS (SELECT child, arg_min(parent, (b.bo, feed)) AS parent, arg_min(feed, (b.bo, feed)) AS feed FROM claim JOIN known c ON child = c.code JOIN known b ON parent = b.code WHERE child <> parent GROUP BY child),
+t AS (SELECT code, virtual, NULL::BIGINT AS parent, NULL::BIGINT AS feed, 0 AS depth FROM known WHERE code NOT IN (SELECT child FROM w) UNION ALL SELECT known.code, known.virtual, w.parent, w.feed, t.depth + 1 FROM w JOIN t ON w.parent = t.code JOIN known ON known.code = w.child WHERE t.depth < 6),
+n AS (SELECT p, count(*) AS n, sum(k % 10)::BIGINT AS kw FROM k GROUP BY p)
+SELECT 'C' || code || 'AL' AS code, CASE WHEN code IN (SELECT parent FROM w) THEN 'cabinet' ELSE 'box' END AS type, CASE WHEN parent IS NULL THEN '' ELSE 'C' || parent || 'AL' END AS parent, CASE WHEN feed IS NULL THEN '' ELSE 'W' || feed END AS feed, coalesce(n, 0) AS circuits, CASE WHEN kw > 0 THEN kw * 10 END AS kw_tenths, depth, virtual FROM t LEFT JOIN n ON p = code""")
+def topology_tree(spark, d):
+    k = F.col("c_custkey")
+    name = lambda c: F.concat(F.lit("C"), _string(c.cast("long")), F.lit("AL"))
+    c = table(spark, d, "customer")
+    boxes = c.where("c_custkey % 60 <> 59").select(F.lit("all").alias("job"), k.cast("long").alias("ord"), name(k).alias("code"), F.lit("箱").alias("name"), F.lit("").alias("note"))
+    parent = F.when(k % 100 == 98, k + 1).when(k % 100 == 99, k - 1).otherwise(F.floor(k / 7))
+    circuits = c.where("c_custkey >= 1").select(F.lit("all").alias("job"), k.cast("long").alias("ord"), name(parent).alias("box"), F.concat(F.lit("W"), _string(k)).alias("circuit_no"), F.concat(F.lit("至"), name(k), F.lit("配电箱")).alias("load_name"), F.when(k % 4 == 0, F.concat(F.lit("供 "), name(k + 1))).alias("note"), F.lit("").alias("secondary_ref"), F.concat(_string(k % 10), F.lit("kW")).alias("power_kw"))
+    tree = topology.distribution_tree(boxes, circuits)
+    return tree.select("code", "type", "parent", "feed", "circuits", (F.col("kw") * 10).cast("long").alias("kw_tenths"), "depth", "virtual")
