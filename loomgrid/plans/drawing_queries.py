@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import panels, specs
-from ..operators import drawings, graphs, spatial, topology
+from ..operators import drawings, graphs, schedules, spatial, topology
 from ..sources.tables import table
 from .queries import query
 
@@ -155,3 +156,21 @@ def topology_tree(spark, d):
     circuits = c.where("c_custkey >= 1").select(F.lit("all").alias("job"), k.cast("long").alias("ord"), name(parent).alias("box"), F.concat(F.lit("W"), _string(k)).alias("circuit_no"), F.concat(F.lit("至"), name(k), F.lit("配电箱")).alias("load_name"), F.when(k % 4 == 0, F.concat(F.lit("供 "), name(k + 1))).alias("note"), F.lit("").alias("secondary_ref"), F.concat(_string(k % 10), F.lit("kW")).alias("power_kw"))
     tree = topology.distribution_tree(boxes, circuits)
     return tree.select("code", "type", "parent", "feed", "circuits", (F.col("kw") * 10).cast("long").alias("kw_tenths"), "depth", "virtual")
+
+
+@query("""WITH s AS (SELECT s_nationkey AS t, s_suppkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS c FROM supplier),
+x AS (SELECT t, c, 0 AS r, CASE WHEN k % 3 <> 1 THEN 'C' || k ELSE '' END AS x, k % 3 <> 1 AS ruled FROM s UNION ALL SELECT t, c, 1, 'MCB-' || k % 5, true FROM s UNION ALL SELECT t, c, 2, CASE WHEN k % 7 = 0 THEN '' ELSE 'W' || k END, true FROM s UNION ALL SELECT t, c, 3, CASE WHEN k % 2 = 0 THEN 'load' || k ELSE '' END, k % 4 <> 3 FROM s
+UNION ALL SELECT DISTINCT t, 0, r, ['柜编号', '断路器', '回路编号', '回路名称'][r + 1], true FROM s, (SELECT unnest([0, 1, 2, 3]) AS r)),
+g AS (SELECT *, sum(CASE WHEN ruled OR c = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY t, r ORDER BY c) AS g FROM x), o AS (SELECT t, r, g, min(nullif(x, '')) AS a, max(nullif(x, '')) AS b FROM g GROUP BY ALL),
+f AS (SELECT t, c, r, CASE WHEN a = b THEN a ELSE x END AS x FROM g JOIN o USING (t, r, g))
+SELECT * FROM (SELECT t AS s_nationkey, c AS col, max(x) FILTER (WHERE r = 0) AS code, max(x) FILTER (WHERE r = 1) AS breaker, max(x) FILTER (WHERE r = 2) AS circuit_no, max(x) FILTER (WHERE r = 3) AS load FROM f WHERE c > 0 GROUP BY ALL) WHERE code NOT IN ('', '柜编号')""")
+def schedule_columns(spark, d):
+    k = F.col("s_suppkey")
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    cell = lambda text, ruled: F.struct(text.alias("text"), ruled.alias("ruled"))
+    held = F.array(cell(F.when(k % 3 != 1, F.concat(F.lit("C"), _string(k))).otherwise(""), k % 3 != 1), cell(F.concat(F.lit("MCB-"), _string(k % 5)), F.lit(True)), cell(F.when(k % 7 == 0, "").otherwise(F.concat(F.lit(" W"), _string(k))), F.lit(True)), cell(F.when(k % 2 == 0, F.concat(F.lit("load "), _string(k))).otherwise(""), k % 4 != 3))
+    names = F.array(*(cell(F.lit(x), F.lit(True)) for x in ("柜编号", "断路器", "回路编号", "回路名称")))
+    s = table(spark, d, "supplier").select("s_nationkey", place.alias("col"), held.alias("cells"))
+    grid = s.unionByName(s.select("s_nationkey").distinct().select("s_nationkey", F.lit(0).alias("col"), names.alias("cells"))).select("s_nationkey", "col", F.posexplode("cells").alias("row", "x"))
+    cells = grid.select("s_nationkey", "row", "col", "x.text", "x.ruled", F.col("row").cast("double").alias("top"), (F.col("row") + 1.0).alias("bottom"))
+    return schedules.schedule_circuits(cells, "s_nationkey").select("s_nationkey", F.col("col").cast("long").alias("col"), "code", "breaker", "circuit_no", "load")
