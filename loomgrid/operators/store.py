@@ -49,4 +49,5 @@ def latest_total(calls: DataFrame, n: int, order: Sequence[Column], amount: Colu
 
 
 def mark_interrupted(jobs: DataFrame, status: str, running: Sequence[str]) -> DataFrame:
+    """jobs with those that a restart found running marked as interrupted."""
     return jobs.withColumn(status, F.when(F.col(status).isin(*running), "interrupted").otherwise(F.col(status)))

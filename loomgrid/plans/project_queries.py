@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import circuits, pricing, projects
+from ..operators import circuits, patches, pricing, projects
 from ..sources.tables import table
 from .queries import cents, query
 
@@ -144,3 +144,26 @@ def price_ladder(spark, d):
     amps = F.get(F.array(*(F.lit(a) for a in pricing.STANDARD_AMPS)), n.cast("int"))
     base = table(spark, d, "nation").where("n_nationkey < 16").select(F.concat(F.lit("MCB-"), text(n % 4 + 1), F.lit("P-"), text(amps), F.lit("A")).alias("key"), ((n + 1) * 1001).cast("long").alias("list_price"))
     return pricing.unit_prices(demand, prices, base, {"MCB": ["ECONOMY", "STANDARD"]}).drop("spec", "brand")
+
+
+@query("""WITH c AS (SELECT c_nationkey AS job, c_custkey::VARCHAR AS ord, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'W' || c_custkey % 97 END AS no, 'L' || c_custkey % 211 AS name, c_mktsegment AS phase FROM customer),
+no AS (SELECT job, no AS target, count(*) AS c, min(ord) AS key, arg_min(phase, ord) AS phase FROM c WHERE no <> '' GROUP BY ALL), nm AS (SELECT job, name AS target, count(*) AS c, min(ord) AS key, arg_min(phase, ord) AS phase FROM c GROUP BY ALL),
+p AS (SELECT o_orderkey AS n, o_custkey % 25 AS job, o_orderkey % 7 = 0 AS box, CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'N' || o_custkey % 25 ELSE 'N99' END ELSE CASE o_orderkey % 4 WHEN 0 THEN 'W' || o_orderkey % 97 WHEN 1 THEN 'L' || o_orderkey % 211 WHEN 2 THEN '' ELSE 'W' || o_orderkey % 97 END END AS target,
+CASE WHEN o_orderkey % 7 = 0 THEN ['quantity', 'code', 'name'][o_orderkey % 3 + 1] ELSE ['phase', 'breaker', 'box'][o_orderkey % 3 + 1] END AS field, CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 14 = 0 AND o_orderkey % 5 = 0 THEN '4.0' ELSE 'BUILDING' END AS value FROM orders),
+j AS (SELECT p.*, no.c AS a, nm.c AS b, coalesce(no.key, nm.key) AS key, coalesce(no.phase, nm.phase) AS phase FROM p LEFT JOIN no ON no.job = p.job AND no.target = p.target LEFT JOIN nm ON nm.job = p.job AND nm.target = p.target),
+r AS (SELECT *, CASE WHEN box THEN CASE WHEN target = 'N99' THEN 'unknown_box' WHEN field = 'code' THEN 'code_is_fixed' WHEN value = '' THEN 'empty' WHEN field = 'quantity' AND value <> '4.0' THEN 'not_a_number' END
+WHEN target = '' THEN 'no_target' WHEN a > 1 THEN 'ambiguous_number' WHEN a IS NULL AND b > 1 THEN 'ambiguous_name' WHEN a IS NULL AND b IS NULL THEN 'unknown_circuit' WHEN field = 'box' THEN 'field' WHEN value = '' THEN 'empty' WHEN field = 'phase' AND phase = value THEN 'unchanged' END AS reason FROM j)
+SELECT n, reason, CASE WHEN reason IS NULL THEN CASE WHEN box THEN target ELSE key END END AS key, CASE WHEN reason IS NULL THEN CASE WHEN field = 'quantity' THEN '4' ELSE value END END AS new FROM r""")
+def patch_reasons(spark, d):
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    k, o, none = F.col("c_custkey"), F.col("o_orderkey"), F.lit("")
+    job = F.col("o_custkey") % 25
+    circuits = table(spark, d, "customer").select(F.col("c_nationkey").alias("job"), k.alias("ord"), F.when(k % 3 == 0, "").otherwise(text("W", k % 97)).alias("circuit_no"), F.col("c_mktsegment").alias("phase"), none.alias("breaker"), none.alias("cable"), none.alias("power_kw"), text("L", k % 211).alias("load_name"))
+    boxes = table(spark, d, "nation").select(F.col("n_nationkey").alias("job"), text("N", F.col("n_nationkey")).alias("code"), *(none.alias(f) for f in patches.BOX_FIELDS))
+    devices = boxes.where("false").select("job", *(none.alias(f) for f in patches.DEVICE_FIELDS))
+    is_box = o % 7 == 0
+    pick = lambda *names: F.get(F.array(*map(F.lit, names)), (o % 3).cast("int"))
+    target = F.when(is_box, F.when(o % 2 == 0, text("N", job)).otherwise("N99")).when(o % 4 == 1, text("L", o % 211)).when(o % 4 == 2, " ").otherwise(text("W", o % 97))
+    value = F.when(o % 11 == 0, " ").when((o % 14 == 0) & (o % 5 == 0), "4.0").otherwise(" BUILDING")
+    patch = table(spark, d, "orders").select(job.alias("job"), o.alias("n"), F.when(is_box, "box").otherwise("").alias("kind"), none.alias("action"), target.alias("target"), F.when(is_box, pick("quantity", "code", "name")).otherwise(pick("phase", "breaker", "box")).alias("field"), value.alias("value"))
+    return patches.judge(patch, circuits, boxes, devices).select("n", "reason", "key", "new")

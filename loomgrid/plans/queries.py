@@ -10,6 +10,7 @@ from ..functions import columns as C
 from ..functions import panels, specs
 from ..operators import bom, hierarchy, pricing, rules, spatial, store
 from ..sources.tables import table
+from ..streaming import ledger
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -290,15 +291,31 @@ def nearest_in_cluster(spark, d):
 
 @query(f"SELECT time_bucket(INTERVAL '15 minutes', ts) AS window_start, event_type, count(*) AS calls, sum({CENTS.format('value')})::BIGINT AS amount FROM events GROUP BY ALL")
 def tumbling_ledger(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.window("ts", "15 minutes"), "event_type").agg(F.count("*").alias("calls"), F.sum(cents("value")).alias("amount")).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "calls", "amount")
+    out = ledger.tumbling(_event_stream(spark, d), "ts", "15 minutes", ["event_type"], cents("value"))
+    return ledger.drain(out, ["window_start", "event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("""WITH b AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL '30 minutes' THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM b)
 SELECT user_id, min(ts) AS session_start, count(*) AS calls FROM s GROUP BY user_id, s""")
 def session_ledger(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("calls")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"), "calls")
+    out = ledger.sessions(_event_stream(spark, d), "ts", "30 minutes", ["user_id"], cents("value"))
+    return ledger.drain(out, ["user_id", "session_start"], "complete").select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "calls")
+
+
+_STEPS = {"": ("signup",), "signup": ("view", "error"), "view": ("click", "error"), "click": ("purchase", "error"), "purchase": ("signup",), "error": ("signup",)}
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT DISTINCT user_id, 0::BIGINT AS k, '' AS status, 0::BIGINT AS taken, 0::BIGINT AS refused FROM events
+UNION ALL SELECT user_id, k, CASE WHEN ok THEN t ELSE status END, taken + CASE WHEN ok THEN 1 ELSE 0 END, refused + CASE WHEN ok THEN 0 ELSE 1 END FROM (SELECT w.user_id, e.k, e.t, status, taken, refused,
+(status IN ('', 'purchase', 'error') AND t = 'signup') OR (status = 'signup' AND t IN ('view', 'error')) OR (status = 'view' AND t IN ('click', 'error')) OR (status = 'click' AND t IN ('purchase', 'error')) AS ok FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1))
+SELECT user_id, status, taken, refused FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""")
+def job_states(spark, d):
+    return ledger.drain(ledger.job_states(_event_stream(spark, d), "user_id", "ts", "event_id", "event_type", _STEPS), ["user_id"])
+
+
+def _event_stream(spark, d):
+    return ledger.read_events(spark, f"{d}/events.parquet*", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
 
 
 @query("SELECT c_nationkey, c_mktsegment, grouping_id(c_nationkey, c_mktsegment) AS level, count(*) AS boxes FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import columns as C
 from loomgrid.functions import panels, specs
-from loomgrid.operators import bom, hierarchy, rules, spatial
+from loomgrid.operators import bom, hierarchy, rules, spatial, store
 from loomgrid.sources import dxf
 from loomgrid.streaming import ledger
 
@@ -123,3 +123,30 @@ def test_stream_matches_batch(spark, tmp_path):
     got = values(spark.read.parquet(str(tmp_path / "out")))
     want = values(df.groupBy(F.window("ts", "1 hour"), "kind").agg(F.count("*").alias("calls"), F.sum("v").alias("amount")).select("window.start", "kind", "calls", "amount"))
     assert got and set(got) <= set(want)
+
+
+def test_drained_streams_in_many_batches(spark, tmp_path):
+    src = str(tmp_path / "in")
+    df = spark.sql("SELECT id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id*7) AS ts, concat('t', id % 3) AS kind, id AS v FROM range(300)")
+    for i in range(4):
+        df.where(f"id div 75 = {i}").coalesce(1).write.parquet(f"{src}/{i}.parquet")
+    stream = lambda: spark.readStream.schema("id long, ts timestamp, kind string, v long").option("maxFilesPerTrigger", 1).parquet(f"{src}/*.parquet")
+    got = ledger.drain(ledger.tumbling(stream(), "ts", "10 minutes", ["kind"], F.col("v")), ["window_start", "kind"])
+    want = df.groupBy(F.window("ts", "10 minutes"), "kind").agg(F.count("*").alias("calls"), F.sum("v").alias("amount")).select("window.start", "kind", "calls", "amount")
+    assert values(got) == values(want)
+    whole = ledger.drain(ledger.sessions(stream(), "ts", "30 minutes", ["kind"], F.col("v")), ["kind"], "complete")
+    assert values(whole.select("kind", "calls", "amount")) == values(df.groupBy("kind").agg(F.count("*"), F.sum("v")))
+    assert ledger.drain(stream().where("id < 0").select("id"), ["id"]).count() == 0
+
+
+def test_job_states_and_recovery(spark, tmp_path):
+    steps = ["queued", "rendering", "converting", "rendering", "extracting", "building_excel", "done", "failed", "queued", "failed"]
+    rows = [(i, 1, s) for i, s in enumerate(steps)] + [(50, 2, "done"), (51, 2, "queued"), (52, 2, "converting")]
+    df = spark.createDataFrame(rows, "id long, job long, status string").withColumn("ts", F.timestamp_seconds("id"))
+    for i, cond in enumerate(("id < 4", "id >= 4 AND id < 9", "id >= 9")):
+        df.where(cond).coalesce(1).write.parquet(f"{tmp_path}/in/{i}.parquet")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*.parquet")
+    got = ledger.drain(ledger.job_states(stream, "job", "ts", "id", "status"), ["job"])
+    assert values(got) == [(1, "failed", 8, 2), (2, "converting", 2, 1)]
+    again = store.mark_interrupted(got, "status", ledger.IN_FLIGHT)
+    assert values(again.select("job", "status")) == [(1, "failed"), (2, "interrupted")]
