@@ -15,17 +15,17 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def rollup_bom(df: DataFrame, keys: Sequence[str], quantity: Column, texts: Mapping[str, str], order: Column, sep: str = "、") -> DataFrame:
-    """Per key the sum of quantity and, for each text column, its distinct non-empty values in the order of first sight, joined by sep."""
-    total = df.groupBy(*keys).agg(F.sum(quantity).alias("quantity"))
-    for name, col in texts.items():
-        seen = df.where(F.coalesce(F.col(col), F.lit("")) != "").groupBy(*keys, F.col(col).cast("string").alias("__v")).agg(F.min(order).alias("__o"))
-        lines = seen.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__o", "__v"))), lambda x: x["__v"]), sep).alias(name))
-        same = F.lit(True)
-        for k in keys:
-            same = same & total[k].eqNullSafe(lines[f"__{k}"])
-        total = total.join(lines, same, "left").drop(*(f"__{k}" for k in keys)).withColumn(name, F.coalesce(name, F.lit("")))
-    return total
+def rollup_bom(df: DataFrame, keys: Sequence[str], quantity: Column, texts: Mapping[str, str], order: Column, seps: Mapping[str, str] | None = None, sep: str = "、") -> DataFrame:
+    """Per key the sum of quantity and, for each text column, its distinct non-empty values in the order of first sight, joined by sep (or its own one in seps).
+
+    One pass: rows are first added up for each combination of a key and its texts, so what a key gathers are its different
+    texts, each with its first place, and no side is read or joined again. A null key is a key.
+    """
+    cols = {name: f"__t{i}" for i, name in enumerate(texts)}
+    small = df.groupBy(*keys, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(cols[n]) for n, c in texts.items())).agg(F.sum(quantity).alias("__q"), F.min(order).alias("__o"))
+    seen = lambda n: F.collect_list(F.when(F.col(cols[n]) != "", F.struct("__o", F.col(cols[n]).alias("v"))))
+    joined = {n: F.array_join(F.array_distinct(F.transform(F.array_sort(seen(n)), lambda x: x["v"])), (seps or {}).get(n, sep)).alias(n) for n in texts}
+    return small.groupBy(*keys).agg(F.sum("__q").alias("quantity"), *joined.values())
 
 
 def spread(df: DataFrame, keys: Sequence[str], part: str, quantity: Column) -> DataFrame:
@@ -48,12 +48,6 @@ def survivors(df: DataFrame, keys: Sequence[str], order: Column, longest: Sequen
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *out)
 
 
-def circuit_rank(number: Column, load: Column, incoming: str = "进线") -> Column:
-    """0 for an incoming circuit, 2 for one without a number, 1 for the rest."""
-    filled = F.coalesce(number, F.lit("")) != ""
-    return F.when((number == incoming) | F.coalesce(load, F.lit("")).startswith(incoming), 0).when(filled, 1).otherwise(2)
-
-
 def merge_sightings(df: DataFrame, keys: Sequence[str], low: str, high: str, order: Column) -> DataFrame:
     """Rows of a key that overlap an earlier kept row by half of the smaller height are the same sighting; the first stays.
 

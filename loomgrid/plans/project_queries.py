@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import circuits, patches, pricing, projects
+from ..operators import assembly, circuits, patches, pricing, projects
 from ..sources.tables import table
 from .queries import cents, query
 
@@ -167,3 +167,42 @@ def patch_reasons(spark, d):
     value = F.when(o % 11 == 0, " ").when((o % 14 == 0) & (o % 5 == 0), "4.0").otherwise(" BUILDING")
     patch = table(spark, d, "orders").select(job.alias("job"), o.alias("n"), F.when(is_box, "box").otherwise("").alias("kind"), none.alias("action"), target.alias("target"), F.when(is_box, pick("quantity", "code", "name")).otherwise(pick("phase", "breaker", "box")).alias("field"), value.alias("value"))
     return patches.judge(patch, circuits, boxes, devices).select("n", "reason", "key", "new")
+
+
+_ASSEMBLED = """x AS (SELECT c_nationkey AS job, 'B' || c_custkey // 75 AS code, c_custkey AS ord, c_custkey % 4 AS q, c_custkey % 5 <> 0 AS c FROM customer),
+n AS (SELECT *, lag(c) OVER w AS before, row_number() OVER w AS k, count(*) OVER (PARTITION BY job, code) AS n FROM x WINDOW w AS (PARTITION BY job, code ORDER BY ord)),
+b AS (SELECT job, code, CASE WHEN arg_max(c, ord) THEN arg_max(greatest(q, 1), ord) FILTER (WHERE k = 1 OR (c AND NOT before)) ELSE 1 END AS times, arg_max(c, ord) AS confirmed, count(*) AS n FROM n GROUP BY job, code)"""
+
+
+@query(f"""WITH {_ASSEMBLED},
+c AS (SELECT c_nationkey AS job, 'B' || CASE WHEN o_orderkey % 40 = 0 THEN 999999 ELSE o_custkey // 75 END AS box, o_orderkey AS o FROM orders JOIN customer ON o_custkey = c_custkey),
+p AS (SELECT c.*, times, o % 7 = 0 AS spare FROM c JOIN b ON c.job = b.job AND c.box = b.code),
+l AS (SELECT job, '配电箱体' AS name, code AS spec, '台' AS unit, times AS q FROM b
+UNION ALL SELECT job, '微型断路器', 'MCB-63/C16A/1P', '只', 2 * times FROM p WHERE o % 5 = 0
+UNION ALL SELECT job, '双电源自动转换开关', 'ATSE-63A/4P', '只', times FROM p WHERE o % 5 = 0
+UNION ALL SELECT job, '微型断路器', 'MCB 1P+N', '只', times FROM p WHERE o % 5 = 1
+UNION ALL SELECT job, '剩余电流动作断路器', 'DZ47LE-63/2P', '只', times FROM p WHERE o % 5 = 2
+UNION ALL SELECT job, '交流接触器', '145A', '只', 3 * times FROM p WHERE o % 6 = 0
+UNION ALL SELECT s_nationkey, '电能表', 'M' || s_suppkey % 3, '块', coalesce(times, 1) FROM supplier LEFT JOIN b ON s_nationkey = b.job AND 'B' || s_suppkey % 20 = b.code)
+SELECT job, name, spec, unit, sum(q)::DOUBLE AS quantity FROM l GROUP BY ALL""")
+def assembled_components(spark, d):
+    return _assembled(spark, d)[0].select("job", "name", "spec", "unit", "quantity")
+
+
+@query(f"""WITH {_ASSEMBLED} SELECT job, bool_and(confirmed) AS released, coalesce(string_agg(code, ',' ORDER BY first) FILTER (WHERE NOT confirmed), '') AS blocked, count(*) AS boxes, count(*) FILTER (WHERE NOT confirmed) AS reasons FROM b JOIN (SELECT job, code, min(ord) AS first FROM x GROUP BY ALL) USING (job, code) GROUP BY job""")
+def release_verdict(spark, d):
+    return _assembled(spark, d)[2].select("job", "released", F.array_join("blocked", ",").alias("blocked"), "boxes", F.size("reasons").cast("long").alias("reasons"))
+
+
+def _assembled(spark, d):
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    k, o, none = F.col("c_custkey"), F.col("o_orderkey"), F.lit("")
+    customer = table(spark, d, "customer")
+    boxes = customer.select(F.col("c_nationkey").alias("job"), k.alias("ord"), text("B", F.floor(k / 75)).alias("code"), F.lit("箱").alias("name"), none.alias("size"), none.alias("install"), none.alias("ip_rating"), none.alias("location"), (k % 4).alias("quantity"), (k % 5 != 0).alias("quantity_confirmed"))
+    breaker = F.when(o % 5 == 0, "MCB-63/C16A/1P×2+ATSE-63A/4P").when(o % 5 == 1, "MCB 1P+N").when(o % 5 == 2, "DZ47LE-63/2P").otherwise("")
+    rows = table(spark, d, "orders").join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == k)
+    box = F.when(o % 40 == 0, "B999999").otherwise(text("B", F.floor(F.col("o_custkey") / 75)))
+    rows = rows.select(F.col("c_nationkey").alias("job"), o.alias("ord"), box.alias("box"), text("W", o).alias("circuit_no"), none.alias("phase"), breaker.alias("breaker"), F.when(o % 6 == 0, "3×145A").otherwise("").alias("contactor"), none.alias("ct"), none.alias("thermal"), F.when(o % 7 == 0, "备用").otherwise("灯").alias("load_name"), none.alias("note"), none.alias("cable"), none.alias("power_kw"))
+    s = F.col("s_suppkey")
+    devices = table(spark, d, "supplier").select(F.col("s_nationkey").alias("job"), s.alias("ord"), F.lit("电能表").alias("name"), text("M", s % 3).alias("spec"), F.lit("块").alias("unit"), F.lit(1.0).alias("quantity"), F.concat(text("B", s % 20), F.lit(" 进线侧 "), s.cast("string")).alias("used_in"), none.alias("note"))
+    return assembly.assemble(boxes, rows, devices)

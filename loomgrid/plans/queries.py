@@ -217,10 +217,11 @@ def revert_guard(spark, d):
 
 
 @query("""SELECT coalesce(o.o_orderkey, n.k) AS o_orderkey, CASE WHEN n.k IS NOT NULL AND NOT (o.o_orderkey IS NOT NULL AND n.s = '') THEN n.s ELSE o.o_orderstatus END AS o_orderstatus
-FROM orders o FULL JOIN (SELECT o_orderkey + 14000 AS k, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'U' END AS s FROM orders) n ON o.o_orderkey = n.k""")
+FROM orders o FULL JOIN (SELECT o_orderkey + (SELECT max(o_orderkey) * 9 // 10 FROM orders) AS k, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'U' END AS s FROM orders) n ON o.o_orderkey = n.k""")
 def upsert_keeps_filled(spark, d):
     old = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    new = old.select((F.col("o_orderkey") + 14000).alias("o_orderkey"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("U").alias("o_orderstatus"))
+    shift = old.agg(F.max("o_orderkey")).first()[0] * 9 // 10
+    new = old.select((F.col("o_orderkey") + shift).alias("o_orderkey"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("U").alias("o_orderstatus"))
     return store.upsert(old, new, "o_orderkey", {"o_orderstatus": F.col("n_o_orderstatus") == ""})
 
 
