@@ -66,3 +66,8 @@ def thin_text(geometry: Column, texts: Column, least: int = 80, ratio: int = 40)
 
 def conversion_accepted(exit_code: Column, filled: Column) -> Column:
     return F.coalesce((exit_code == 0) & filled, F.lit(False))
+
+
+def circuit_rank(number: Column, load: Column) -> Column:
+    """The order of circuits: 0 for an incoming one, 2 for one without a number, 1 for the rest."""
+    return F.when(is_incoming(number, load), 0).when(F.trim(_text(number)) != "", 1).otherwise(2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assembly, circuits, patches, pricing, projects
+from ..operators import assembly, checks, circuits, patches, pricing, projects
 from ..sources.tables import table
 from .queries import cents, query
 
@@ -206,3 +206,22 @@ def _assembled(spark, d):
     s = F.col("s_suppkey")
     devices = table(spark, d, "supplier").select(F.col("s_nationkey").alias("job"), s.alias("ord"), F.lit("电能表").alias("name"), text("M", s % 3).alias("spec"), F.lit("块").alias("unit"), F.lit(1.0).alias("quantity"), F.concat(text("B", s % 20), F.lit(" 进线侧 "), s.cast("string")).alias("used_in"), none.alias("note"))
     return assembly.assemble(boxes, rows, devices)
+
+
+@query("""WITH b AS (SELECT s_nationkey AS job, s_suppkey AS k, s_suppkey % 5 - 1 AS q FROM supplier), c AS (SELECT c_nationkey AS job, c_custkey AS k, 'B' || c_custkey % 400 AS box, ['L1', 'L2', 'L3', 'XX', ''][c_custkey % 5 + 1] AS phase, 10 * (c_custkey % 9 + 1) AS amps, c_custkey % 6 = 0 AS incoming FROM customer),
+p AS (SELECT p_partkey % 25 AS job, p_partkey AS k, p_size - 2 AS q, ['只', '台', '箱'][p_partkey % 3 + 1] AS unit FROM part), i AS (SELECT job, box, min(amps) AS least FROM c WHERE incoming GROUP BY ALL)
+SELECT job, 'BOX_QTY_INVALID' AS rule_code, 'ERROR' AS severity, '箱体 B' || k AS target, '箱体 B' || k || ' 数量为 ' || q || '，请核对' AS detail FROM b WHERE q <= 0
+UNION ALL SELECT job, 'BOX_NOT_FOUND', 'ERROR', '第 ' || k + 1 || ' 条回路', '第 ' || k + 1 || ' 条回路引用箱体 ' || box || '，箱体清单中未找到，请核对' FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.job = c.job AND 'B' || b.k = c.box)
+UNION ALL SELECT job, 'PHASE_INVALID', 'WARNING', '第 ' || k + 1 || ' 条回路', '第 ' || k + 1 || ' 条回路相序“XX”不在常见值中，请对照图纸核对' FROM c WHERE phase = 'XX'
+UNION ALL SELECT job, 'COMPONENT_QTY_INVALID', 'ERROR', '第 ' || k + 1 || ' 项元器件', '第 ' || k + 1 || ' 项元器件 电能表 数量无效，请核对' FROM p WHERE q <= 0
+UNION ALL SELECT job, 'COMPONENT_UNIT_SUSPECT', 'WARNING', '第 ' || k + 1 || ' 项元器件', '第 ' || k + 1 || ' 项元器件单位“箱”需对照图纸核对' FROM p WHERE unit = '箱'
+UNION ALL SELECT job, 'BREAKER_COUNT_MISMATCH', 'WARNING', '断路器 C' || amps || 'A', '断路器 C' || amps || 'A：回路逐条计数 ' || sum(b.q) || ' 只，元器件汇总未找到同规格项，请核对' FROM c JOIN b USING (job) WHERE 'B' || b.k = c.box AND b.q > 0 GROUP BY job, amps
+UNION ALL SELECT job, 'CASCADE_OVERCURRENT', 'WARNING', box || ' 出线回路 W' || k, '开关级配核验（' || box || '）：出线 W' || k || ' 额定电流 ' || amps || 'A（C' || amps || 'A）大于进线主开关 ' || least || 'A，存在越级跳闸风险，请核对图纸' FROM c JOIN i USING (job, box) WHERE NOT incoming AND amps > least""")
+def named_findings(spark, d):
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    s, k, p = F.col("s_suppkey"), F.col("c_custkey"), F.col("p_partkey")
+    at = lambda c, *names: F.get(F.array(*map(F.lit, names)), c.cast("int"))
+    boxes = table(spark, d, "supplier").select(F.col("s_nationkey").alias("job"), text("B", s).alias("code"), (s % 5 - 1).alias("quantity"))
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("job"), k.alias("ord"), text("B", k % 400).alias("box"), text("W", k).alias("circuit_no"), at(k % 5, "L1", "L2", "L3", "XX", "").alias("phase"), F.concat(F.lit("C"), (10 * (k % 9 + 1)).cast("string"), F.lit("A")).alias("breaker"), F.lit("").alias("power_kw"), F.when(k % 6 == 0, "进线柜").otherwise("灯").alias("load_name"))
+    parts = table(spark, d, "part").select((p % 25).alias("job"), p.alias("ord"), F.lit("电能表").alias("name"), F.lit("M1").alias("spec"), at(p % 3, "只", "台", "箱").alias("unit"), (F.col("p_size") - 2).cast("double").alias("quantity"))
+    return checks.all_findings(boxes, rows, parts)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import columns as C
 from ..functions import panels, specs
-from ..operators import bom, hierarchy, pricing, rules, spatial, store
+from ..operators import bom, circuits, hierarchy, pricing, rules, spatial, store
 from ..sources.tables import table
 from ..streaming import ledger
 
@@ -59,7 +59,7 @@ def project_bom_distribution(spark, d):
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, l_linenumber, l_partkey, l_suppkey, l_extendedprice)::BIGINT AS place FROM lineitem""")
 def stable_circuit_order(spark, d):
-    rank = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    rank = circuits.circuit_rank(F.when(F.col("l_returnflag") == "A", circuits.INCOMING).when(F.col("l_returnflag") == "N", "N1").otherwise(" "), F.lit("灯"))
     w = Window.partitionBy("l_orderkey").orderBy(rank, "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(w).cast("long").alias("place"))
 
