@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomgrid.operators import drawings
+from loomgrid.sources import dxf
 
 TEXTS, INSERTS = "block string, id int, x double, y double", "insert_id string, owner string, block string, x double, y double, sx double, sy double, deg double, bx double, by double"
 
@@ -63,3 +64,16 @@ def test_a_row_taken_early_is_gone(spark):
     gold = spark.createDataFrame([("a", 1, "W1", "X", ""), ("a", 2, "W1", "Y", "")], ROWS)
     said = spark.createDataFrame([("a", 7, "W1", "Y", "")], ROWS)
     assert [tuple(r) for r in drawings.match_rows(gold, said, "d", "i", "number", "box").collect()] == [("a", 1, 7, 2)]
+
+
+def test_texts_of_a_drawing_with_nested_blocks(spark, tmp_path):
+    text = lambda x, y, t: [(0, "TEXT"), (5, f"T{t}"), (8, "L"), (10, x), (20, y), (40, 3), (1, t)]
+    insert = lambda name, handle, x, y, sx=1, deg=0: [(0, "INSERT"), (5, handle), (2, name), (10, x), (20, y), (41, sx), (42, sx), (50, deg)]
+    block = lambda name, bx, by, *inner: [(0, "BLOCK"), (2, name), (10, bx), (20, by), *(p for i in inner for p in i), (0, "ENDBLK")]
+    pairs = [(0, "SECTION"), (2, "BLOCKS"), *block("IN", 1, 1, text(2, 1, "%%065L1")), *block("OUT", 0, 0, text(0, 0, "o"), insert("IN", "a", 10, 0, 2, 90)), (0, "ENDSEC"), (0, "SECTION"), (2, "ENTITIES"), *text(5, 5, "%%c20 a%%176"), *insert("OUT", "b", 100, 0), *insert("OUT", "c", 0, 50, 2), *insert("LOST", "d", 0, 0), (0, "ENDSEC"), (0, "EOF")]
+    (tmp_path / "a.dxf").write_text("\n".join(f"{c}\n{v}" for c, v in pairs))
+    got = sorted((r["text"], "/".join(r["insert_path"]), round(r["x"], 6), round(r["y"], 6)) for r in dxf.drawing_texts(spark, str(tmp_path)).collect())
+    assert got == [("AL1", "OUT@b/IN@a", 110.0, 2.0), ("AL1", "OUT@c/IN@a", 20.0, 54.0), ("o", "OUT@b", 100.0, 0.0), ("o", "OUT@c", 0.0, 50.0), ("Ø20 a°", "", 5.0, 5.0)]
+    assert [r["text"] for r in dxf.text_entities(spark, str(tmp_path)).collect()] == ["Ø20 a°"]
+    files = dxf.drawing_files(spark, str(tmp_path)).collect()
+    assert len(files) == 1 and files[0]["sound"] and len(files[0]["sha256"]) == 64
