@@ -25,11 +25,6 @@ def price_form(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)[\\s_/;-]+", ""))
 
 
-def first_text(*cols: Column) -> Column:
-    """The first that isn't null or empty, else an empty string."""
-    return F.coalesce(*(F.nullif(c, F.lit("")) for c in cols), F.lit(""))
-
-
 def case_of(rules: Sequence[tuple[Column, object]], default) -> Column:
     """The value of the first rule that holds."""
     out = F.lit(default)
@@ -64,7 +59,3 @@ def safe_cell(c: Column) -> Column:
     """A value that a spreadsheet won't run as a formula, without control characters."""
     bare = F.regexp_replace(c.cast("string"), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
     return F.when(bare.rlike("^[=+@\\t\\r-]"), F.concat(F.lit("'"), bare)).otherwise(bare)
-
-
-def overlap(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
-    return F.greatest(F.least(high_a, high_b) - F.greatest(low_a, low_b), F.lit(0))

@@ -46,9 +46,10 @@ def quotation(lines: DataFrame, keys: Sequence[str], amount: Column, steps: Mapp
     return out
 
 
-def weighted_saving(df: DataFrame, quantity: Column, saving: Column) -> DataFrame:
-    """Saving weighted by quantity over all quantities, those without a saving included."""
-    return df.agg(F.sum(quantity).alias("quantity"), F.sum(F.when(saving.isNotNull(), saving * quantity).otherwise(0)).alias("saved"))
+def weighted_saving(df: DataFrame, keys: Sequence[str], quantity: Column, saving: Column) -> DataFrame:
+    """(keys..., quantity, priced, saved): savings weighted by quantity; quantity counts the rows without a saving too, so they lower the rate."""
+    known = F.when(saving.isNotNull(), quantity)
+    return df.groupBy(*keys).agg(F.sum(quantity).alias("quantity"), F.coalesce(F.sum(known), F.lit(0)).alias("priced"), F.coalesce(F.sum(known * saving), F.lit(0)).alias("saved"))
 
 
 # Device kinds by the words a specification holds, in this order; poles and breaking capacity where it states none; discounts in hundredths by brand (breakers up to 125 A, larger ones, transfer switches, multiplier).

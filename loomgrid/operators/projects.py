@@ -104,3 +104,23 @@ def in_peak(ts: Column, windows: Sequence[tuple[int, int]]) -> Column:
     for start, end in windows:
         inside = inside | ((minute >= start) & (minute < end))
     return (F.weekday(ts) < 5) & inside
+
+
+def model_cost(model: Column, prompt: Column, hit: Column, completion: Column, at: Column, card: Mapping[str, Mapping], aliases: Mapping[str, str], zone: str = "Asia/Shanghai") -> Column:
+    """struct(model, status, peak, cost): the cost of a call in billionths by a price card, at a UTC time.
+
+    A card has for each model off_peak and peak rates (see call_cost) and windows (minutes of a working day in zone). A model goes by its
+    alias, in any case; one without a card is unavailable and costs 0, as nothing is known of it.
+    """
+    asked = F.lower(F.trim(F.coalesce(model, F.lit(""))))
+    named = asked
+    for alias, name in aliases.items():
+        named = F.when(asked == alias, name).otherwise(named)
+    local = F.from_utc_timestamp(at, zone)
+    peak, cost = F.lit(False), F.lit(0).cast("long")
+    for name, rates in card.items():
+        high = in_peak(local, rates["windows"])
+        price = F.when(high, call_cost(prompt, hit, completion, rates["peak"])).otherwise(call_cost(prompt, hit, completion, rates["off_peak"]))
+        peak, cost = F.when(named == name, high).otherwise(peak), F.when(named == name, price).otherwise(cost)
+    known = named.isin(*card)
+    return F.struct(named.alias("model"), F.when(known, "priced").otherwise("unavailable").alias("status"), F.coalesce(peak, F.lit(False)).alias("peak"), cost.alias("cost"))

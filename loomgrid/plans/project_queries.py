@@ -225,3 +225,19 @@ def named_findings(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("job"), k.alias("ord"), text("B", k % 400).alias("box"), text("W", k).alias("circuit_no"), at(k % 5, "L1", "L2", "L3", "XX", "").alias("phase"), F.concat(F.lit("C"), (10 * (k % 9 + 1)).cast("string"), F.lit("A")).alias("breaker"), F.lit("").alias("power_kw"), F.when(k % 6 == 0, "进线柜").otherwise("灯").alias("load_name"))
     parts = table(spark, d, "part").select((p % 25).alias("job"), p.alias("ord"), F.lit("电能表").alias("name"), F.lit("M1").alias("spec"), at(p % 3, "只", "台", "箱").alias("unit"), (F.col("p_size") - 2).cast("double").alias("quantity"))
     return checks.all_findings(boxes, rows, parts)
+
+
+@query("""WITH e AS (SELECT event_type AS t, event_id AS i, ts + INTERVAL 8 HOUR AS l FROM events), c AS (SELECT CASE WHEN t IN ('signup', 'view', 'click') THEN 'deepseek-flash' ELSE t END AS model, t NOT IN ('purchase', 'error') AS known, i % 4000 AS p, least(i % 5000, i % 4000) AS h, i % 700 AS d, isodow(l) <= 5 AND (hour(l) BETWEEN 9 AND 11 OR hour(l) BETWEEN 14 AND 17) AS pk FROM e)
+SELECT model, CASE WHEN known THEN 'priced' ELSE 'unavailable' END AS status, known AND pk AS peak, count(*) AS calls, sum(CASE WHEN NOT known THEN 0 WHEN pk THEN h * 40 + (p - h) * 2000 + d * 8000 ELSE h * 20 + (p - h) * 1000 + d * 4000 END)::BIGINT AS cost FROM c GROUP BY ALL""")
+def cost_by_model(spark, d):
+    i, kind = F.col("event_id"), F.col("event_type")
+    model = F.when(kind == "signup", "deepseek-flash").when(kind == "view", " DeepSeek-V4-flash ").when(kind == "click", "deepseek-v4-flash-vision-exp").otherwise(kind)
+    card = {"deepseek-flash": {"off_peak": RATES, "peak": PEAK_RATES, "windows": PEAK}}
+    cost = projects.model_cost(model, i % 4000, i % 5000, i % 700, F.col("ts").cast("timestamp"), card, {"deepseek-v4-flash": "deepseek-flash", "deepseek-v4-flash-vision-exp": "deepseek-flash"})
+    return table(spark, d, "events").select(cost.alias("c")).groupBy("c.model", "c.status", "c.peak").agg(F.count("*").alias("calls"), F.sum("c.cost").alias("cost"))
+
+
+@query("""SELECT p_brand, sum(CAST(l_quantity AS BIGINT))::BIGINT AS quantity, coalesce(sum(CASE WHEN p_size > 10 THEN CAST(l_quantity AS BIGINT) END), 0)::BIGINT AS priced, coalesce(sum(CASE WHEN p_size > 10 THEN CAST(l_quantity AS BIGINT) * (p_size - 20) END), 0)::BIGINT AS saved FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""")
+def replacement_saving(spark, d):
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    return pricing.weighted_saving(lines, ["p_brand"], F.col("l_quantity").cast("long"), F.when(F.col("p_size") > 10, (F.col("p_size") - 20).cast("long")))

@@ -7,14 +7,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def truth_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A hand-made list in CSV, its first row the header."""
-    return spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-
-
-def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
-    """One Parquet table per sheet of a bundle."""
-    for name, df in sheets.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -22,3 +22,12 @@ def test_codes_fields_and_costs(spark):
     assert [r[0] for r in times.select(projects.in_peak(F.col("t").cast("timestamp"), ((540, 720), (840, 1080)))).collect()] == [True, False, False]
     rows = spark.createDataFrame([(1, 2, "late", ""), (1, 1, "", None)], "k int, o int, a string, b string")
     assert projects.first_filled(rows, "k", ["a", "b"], ["o"]).first() == (1, "late", None)
+
+
+def test_model_costs(spark):
+    card = {"deepseek-flash": {"off_peak": (20, 1000, 4000), "peak": (40, 2000, 8000), "windows": ((540, 720), (840, 1080))}}
+    rows = [("deepseek-flash", "2026-09-07 00:00:00"), ("DeepSeek-V4-Flash", "2026-09-07 01:00:00"), ("deepseek-flash", "2026-09-06 01:00:00"), ("mystery", "2026-09-07 00:00:00"), (None, None)]
+    df = spark.createDataFrame(rows, "m string, t string")
+    cost = projects.model_cost(F.col("m"), F.lit(1_000_000), F.lit(0), F.lit(1_000_000), F.col("t").cast("timestamp"), card, {"deepseek-v4-flash": "deepseek-flash"})
+    got = [(r["status"], r["peak"], r["cost"] / 1e9) for (r,) in df.coalesce(1).select(cost.alias("c")).collect()]
+    assert got == [("priced", False, 5.0), ("priced", True, 10.0), ("priced", False, 5.0), ("unavailable", False, 0.0), ("unavailable", False, 0.0)]
