@@ -52,7 +52,8 @@ def union(ids, links):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, folder, name):
     d = duckdb.connect()
-    d.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        d.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     rel = d.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, folder).select(*rel.columns)
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, rel.fetchall()))
