@@ -42,52 +42,46 @@ def panel_shape(token: Column) -> Column:
     return _part(core_part, token) | named
 
 
-def device_rating(token: Column) -> Column:
-    """A part states a current (63A)."""
-    return _part(lambda p: p.rlike(r"^[0-9]+A$"), token)
-
-
-def circuit_number(token: Column) -> Column:
+def _circuit() -> str:
     """WL3, 2-N1, 1AL-WP2A, N1-2, fans' PY-1-2, control lines (D01-C1, K1-1)."""
-    marks = words(CIRCUIT_MARKS)
-    plain = token.rlike(rf"^(?:B?[0-9]{{1,2}}-?)?{marks}[0-9]+(?:[A-Z]|-[0-9]+)?$")
-    behind = token.rlike(rf"-{words(LINE_MARKS)}[0-9]+[A-Z]?$")
-    return plain | behind | token.rlike(rf"^{words(FEEDER_MARKS)}-") | token.rlike("^(?:D[0-9]{2}(?:-C[0-9]+)?|K[0-9]+-[0-9]+)$")
-
-
-def phase_mark(token: Column) -> Column:
-    return token.rlike("^L[1-3][L1-3NPE/-]*$")
-
-
-def reasons(token: Column) -> list[tuple[str, Column]]:
-    """Named reasons, in order, why a token in upper case is no panel code."""
-    starts = words(NO_PANELS)
-    return [
-        ("no letter", ~token.rlike("[A-Z]")),
-        ("long number", token.rlike("[0-9]{4}")),
-        ("standard", token.rlike("^[0-9]{2}[A-Z]{1,2}[0-9]{3}(?:-[0-9]+)?$")),
-        ("rating", device_rating(token) | _part(lambda p: p.rlike("^(?:[1-4]P|[CDB][0-9]{1,3}A|[0-9]{1,3}P[0-9]{1,3}|RS[0-9]{3})$"), token)),
-        ("quantity", _part(lambda p: p.rlike(rf"^(?:[AD]C)?[0-9]+{words(UNITS)}$"), token)),
-        ("phase", phase_mark(token)),
-        ("circuit", circuit_number(token)),
-        ("product", token.rlike("[0-9]X[0-9]")),
-        ("conduit", token.rlike(f"{words(CONDUITS)}[0-9]")),
-        ("not a panel", token.rlike(f"^{starts}|^IP[0-9]") | _part(lambda p: p.rlike(f"^{starts}|^IP[0-9]"), token)),
-        ("device", token.rlike(f"^{words(DEVICES)}|^{words(NUMBERED_DEVICES)}[0-9]")),
-        ("frame", token.rlike("^[A-Z]{1,4}[0-9]{0,2}-[A-Z][0-9]{2,3}[A-Z]{0,3}$")),
-        ("sample", token.rlike("^[A-Z]{3,}[0-9]+[A-Z]+[0-9]+[A-Z]+(?:[/-]|$)")),
-        ("shape", ~panel_shape(token)),
-    ]
+    plain = f"(?:B?[0-9]{{1,2}}-?)?{words(CIRCUIT_MARKS)}[0-9]+(?:[A-Z]|-[0-9]+)?$"
+    return f"^{plain}|-{words(LINE_MARKS)}[0-9]+[A-Z]?$|^{words(FEEDER_MARKS)}-|^D[0-9]{{2}}(?:-C[0-9]+)?$|^K[0-9]+-[0-9]+$"
+
+
+#: Why a token in upper case is no panel code, in order: a name, a pattern of the token, a pattern of one of its parts. A last
+#: reason is the shape of the token, see panel_shape.
+RULES: tuple[tuple[str, str | None, str | None], ...] = (
+    ("no letter", "^[^A-Z]*$", None),
+    ("long number", "[0-9]{4}", None),
+    ("standard", "^[0-9]{2}[A-Z]{1,2}[0-9]{3}(?:-[0-9]+)?$", None),
+    ("rating", None, "^(?:[0-9]+A|[1-4]P|[CDB][0-9]{1,3}A|[0-9]{1,3}P[0-9]{1,3}|RS[0-9]{3})$"),
+    ("quantity", None, f"^(?:[AD]C)?[0-9]+{words(UNITS)}$"),
+    ("phase", "^L[1-3][L1-3NPE/-]*$", None),
+    ("circuit", _circuit(), None),
+    ("product", "[0-9]X[0-9]", None),
+    ("conduit", f"{words(CONDUITS)}[0-9]", None),
+    ("not a panel", None, f"^{words(NO_PANELS)}|^IP[0-9]"),
+    ("device", f"^{words(DEVICES)}|^{words(NUMBERED_DEVICES)}[0-9]", None),
+    ("frame", "^[A-Z]{1,4}[0-9]{0,2}-[A-Z][0-9]{2,3}[A-Z]{0,3}$", None),
+    ("sample", "^[A-Z]{3,}[0-9]+[A-Z]+[0-9]+[A-Z]+(?:[/-]|$)", None),
+)
+SHAPE = "shape"
 
 
 def token_fault(token: Column) -> Column:
     """The first reason that holds, null for a panel code."""
-    out = F.lit(None).cast("string")
-    for name, holds in reversed(reasons(token)):
-        out = F.when(holds, F.lit(name)).otherwise(out)
+    out = F.when(~panel_shape(token), SHAPE)
+    for name, whole, part in reversed(RULES):
+        out = F.when(token.rlike(whole) if whole else _part(lambda p: p.rlike(part), token), name).otherwise(out)  # noqa: B023
     return out
 
 
+def is_token_code(token: Column) -> Column:
+    """No reason holds: as token_fault, with the rules of each kind as one pattern."""
+    whole, part = ("|".join(r[i] for r in RULES if r[i]) for i in (1, 2))
+    return ~token.rlike(whole) & ~_part(lambda p: p.rlike(part), token) & panel_shape(token)
+
+
 def tokens(text: Column) -> Column:
     """The tokens of a text in upper case: letters and digits, joined by single hyphens and slashes; what follows a hyphen alone is none."""
     pieces = F.split(F.upper(text), "[^A-Z0-9/-]+|//+")
@@ -97,7 +91,7 @@ def tokens(text: Column) -> Column:
 def panel_codes(text: Column) -> Column:
     """array of the panel codes of a text, each once, in order. Only what stands before a colon counts; a null text has none."""
     head = F.regexp_replace(F.trim(F.split(F.coalesce(text, F.lit("")), "[:：]")[0]), "^消防", "")
-    return F.array_distinct(F.filter(tokens(head), lambda t: token_fault(t).isNull()))
+    return F.array_distinct(F.filter(tokens(head), is_token_code))
 
 
 def first_panel_code(text: Column) -> Column:
@@ -106,7 +100,7 @@ def first_panel_code(text: Column) -> Column:
 
 def is_panel_code(code: Column) -> Column:
     """The whole of code, in upper case, is one panel code and no pipe or cable size."""
-    return (F.get(tokens(code), F.lit(0)) == code) & ~code.rlike(f"^[0-9]*{words(PIPES)}[0-9]*$") & token_fault(code).isNull()
+    return (F.get(tokens(code), F.lit(0)) == code) & ~code.rlike(f"^[0-9]*{words(PIPES)}[0-9]*$") & is_token_code(code)
 
 
 def feed_code(text: Column) -> Column:
@@ -140,5 +134,6 @@ def panel_range(text: Column, longest: int = LONGEST_RANGE) -> Column:
         sides = lambda c: F.when(F.forall(F.split(c, "/"), is_panel_code), F.split(c, "/")).otherwise(F.array(c))
         return F.filter(F.coalesce(suffixed, prefixed, F.flatten(F.transform(tokens(t), sides))), is_panel_code)
 
-    ranges = F.transform(pieces, lambda t: F.struct((t.rlike(by_end) | t.rlike(by_start)).alias("r"), one(t).alias("codes")))
-    return F.array_distinct(F.flatten(F.concat(F.transform(F.filter(ranges, lambda x: x["r"]), lambda x: x["codes"]), F.transform(F.filter(ranges, lambda x: ~x["r"]), lambda x: x["codes"]))))
+    # ranges first, then the rest, each in the order of the text
+    ranked = F.array_sort(F.transform(pieces, lambda t, i: F.struct((~t.rlike(f"{by_end}|{by_start}")).alias("rest"), i.alias("at"), one(t).alias("codes"))))
+    return F.array_distinct(F.flatten(F.transform(ranked, lambda x: x["codes"])))

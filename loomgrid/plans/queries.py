@@ -126,11 +126,11 @@ def range_expand(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.explode(panels.panel_range(text)).alias("code"))
 
 
-@query("""WITH d AS (SELECT p_partkey AS item, (p_partkey // 500) || 'JX' || unnest(generate_series(p_partkey % 500 + 1, p_partkey % 500 + 4)) AS c FROM part), h AS (SELECT DISTINCT (l_partkey // 500) || 'JX' || (l_partkey % 500) AS c FROM lineitem WHERE l_returnflag = 'A'),
+@query("""WITH d AS (SELECT p_partkey AS item, (p_partkey // 500) || 'JXA' || unnest(generate_series(p_partkey % 500 + 1, p_partkey % 500 + 4)) AS c FROM part), h AS (SELECT DISTINCT (l_partkey // 500) || 'JXA' || (l_partkey % 500) AS c FROM lineitem WHERE l_returnflag = 'A'),
 x AS (SELECT item, count(*) AS n_declared, count(h.c) AS n_matched, coalesce(string_agg(CASE WHEN h.c IS NULL THEN d.c END, ',' ORDER BY d.c), '') AS missing FROM d LEFT JOIN h ON d.c = h.c GROUP BY item)
 SELECT *, CASE WHEN n_declared = n_matched THEN 'COVERED' WHEN n_matched > 0 THEN 'PARTIAL' ELSE 'MISSING' END AS status FROM x""")
 def reconcile_coverage(spark, d):
-    code = lambda key, more: F.concat((F.col(key) / 500).cast("int").cast("string"), F.lit("JX"), (F.col(key) % 500 + more).cast("string"))
+    code = lambda key, more: F.concat((F.col(key) / 500).cast("int").cast("string"), F.lit("JXA"), (F.col(key) % 500 + more).cast("string"))
     declared = table(spark, d, "part").select(F.col("p_partkey").alias("item"), panels.panel_range(F.concat(code("p_partkey", 1), F.lit("~"), (F.col("p_partkey") % 500 + 4).cast("string"))).alias("codes"))
     found = table(spark, d, "lineitem").where("l_returnflag = 'A'").select(code("l_partkey", 0).alias("code"))
     return rules.coverage(declared, found, "item", "codes", "code")

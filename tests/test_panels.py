@@ -42,7 +42,8 @@ def test_codes(spark):
 def test_each_reason_has_a_token(spark):
     tokens = {"123": "no letter", "AL12345": "long number", "09D101": "standard", "AC220V": "quantity", "L123": "phase", "WL1": "circuit", "C16A": "rating", "4X6B": "product", "XPC20Z": "conduit", "BVAL1": "not a panel", "GLAL1": "device", "AB1-D09C": "frame", "HND07E3Y": "sample", "A116": "shape", "1AL1": None}
     assert dict(zip(tokens, parsed(spark, panels.token_fault, tokens), strict=True)) == tokens
-    assert {name for name, _ in panels.reasons(F.lit(""))} == set(tokens.values()) - {None}
+    assert {name for name, _, _ in panels.RULES} | {panels.SHAPE} == set(tokens.values()) - {None}
+    assert dict(zip(tokens, parsed(spark, panels.is_token_code, tokens), strict=True)) == {t: fault is None for t, fault in tokens.items()}
 
 
 @pytest.mark.parametrize("parser, texts", [
