@@ -49,11 +49,11 @@ def _circuit() -> str:
 
 
 #: Why a token in upper case is no panel code, in order: a name, a pattern of the token, a pattern of one of its parts. A last
-#: reason is the shape of the token, see panel_shape.
+#: reason is the shape of the token, see panel_shape. The patterns of standards' numbers, device frames and sample numbers.
 RULES: tuple[tuple[str, str | None, str | None], ...] = (
     ("no letter", "^[^A-Z]*$", None),
     ("long number", "[0-9]{4}", None),
-    ("standard", "^[0-9]{2}[A-Z]{1,2}[0-9]{3}(?:-[0-9]+)?$", None),
+    ("standard", r"^\d{2}[A-Z]{1,2}\d{3}(?:-\d+)?$", None),
     ("rating", None, "^(?:[0-9]+A|[1-4]P|[CDB][0-9]{1,3}A|[0-9]{1,3}P[0-9]{1,3}|RS[0-9]{3})$"),
     ("quantity", None, f"^(?:[AD]C)?[0-9]+{words(UNITS)}$"),
     ("phase", "^L[1-3][L1-3NPE/-]*$", None),
@@ -62,8 +62,8 @@ RULES: tuple[tuple[str, str | None, str | None], ...] = (
     ("conduit", f"{words(CONDUITS)}[0-9]", None),
     ("not a panel", None, f"^{words(NO_PANELS)}|^IP[0-9]"),
     ("device", f"^{words(DEVICES)}|^{words(NUMBERED_DEVICES)}[0-9]", None),
-    ("frame", "^[A-Z]{1,4}[0-9]{0,2}-[A-Z][0-9]{2,3}[A-Z]{0,3}$", None),
-    ("sample", "^[A-Z]{3,}[0-9]+[A-Z]+[0-9]+[A-Z]+(?:[/-]|$)", None),
+    ("frame", r"^[A-Z]{1,4}\d{0,2}-[A-Z]\d{2,3}[A-Z]{0,3}$", None),
+    ("sample", r"^[A-Z]{3,}\d+[A-Z]+\d+[A-Z]+(?:[/-]|$)", None),
 )
 SHAPE = "shape"
 
