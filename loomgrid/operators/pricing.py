@@ -133,6 +133,20 @@ def ranked_prices(demand: DataFrame, prices: DataFrame, synonyms: Mapping[str, S
     return best.select(*keys, F.col("m.row").alias("price"), (-F.col("m.s")).alias("score"))
 
 
+def from_library(asked: DataFrame, prices: DataFrame, synonyms: Mapping[str, Sequence[str]]) -> DataFrame:
+    """asked (__spec, __brand, __f the features or null) with __exact and __matched, struct(code, price) or null.
+
+    __exact is the price row whose normalised model is the specification's, __matched the best one by features, asked only where there is no exact one.
+    """
+    d = asked.withColumn("__model", price_form(F.col("__spec")))
+    exact = prices.where(F.col("price") > 0).groupBy(F.col("brand").alias("__eb"), price_form(F.col("model")).alias("__em")).agg(F.min_by(F.struct("code", "price"), F.struct("code")).alias("__exact"))
+    d = d.join(exact, (F.col("__brand") == F.col("__eb")) & (F.col("__model") == F.col("__em")) & F.col("__f.amps").isNotNull(), "left")
+    names = ["kind", "poles", "amps", "breaking_ka", "curve", "release", "electronic"]
+    open_rows = d.where("__exact IS NULL AND __f IS NOT NULL").select(F.col("__brand").alias("brand"), "__f.*")
+    best = ranked_prices(open_rows, prices, synonyms).select(F.col("brand").alias("__mb"), F.struct(*names).alias("__mf"), F.struct("price.code", "price.price").alias("__matched"))
+    return d.join(best, (F.col("__brand") == F.col("__mb")) & (F.col("__f") == F.col("__mf")), "left").drop("__eb", "__em", "__mb", "__mf", "__model")
+
+
 def unit_prices(demand: DataFrame, prices: DataFrame, base: DataFrame, synonyms: Mapping[str, Sequence[str]], spec: str = "spec", brand: str = "brand") -> DataFrame:
     """demand with basis (no_spec, no_amps, exact, matched, catalogue, unknown), price_code and cost (whole cents): the price ladder, which never makes up a price.
 
@@ -144,13 +158,8 @@ def unit_prices(demand: DataFrame, prices: DataFrame, base: DataFrame, synonyms:
     missing = F.trim(F.coalesce(F.col("__spec"), F.lit(""))).isin("", "-", "待确认", "待定")
     f = features(F.col("__spec"))
     asked = demand.select(F.col(spec).alias("__spec"), F.col(brand).alias("__brand")).distinct()
-    d = staged(asked.withColumns({"__f": F.when(~missing, f), "__model": price_form(F.col("__spec"))}))
-    exact = prices.where(F.col("price") > 0).groupBy(F.col("brand").alias("__eb"), price_form(F.col("model")).alias("__em")).agg(F.min_by(F.struct("code", "price"), F.struct("code")).alias("__exact"))
-    d = d.join(exact, (F.col("__brand") == F.col("__eb")) & (F.col("__model") == F.col("__em")) & F.col("__f.amps").isNotNull(), "left")
-    names = ["kind", "poles", "amps", "breaking_ka", "curve", "release", "electronic"]
-    open_rows = d.where("__exact IS NULL AND __f IS NOT NULL").select(F.col("__brand").alias("brand"), "__f.*")
-    best = ranked_prices(open_rows, prices, synonyms).select(F.col("brand").alias("__mb"), F.struct(*names).alias("__mf"), F.struct("price.code", "price.price").alias("__matched"))
-    d = d.join(best, (F.col("__brand") == F.col("__mb")) & (F.col("__f") == F.col("__mf")), "left")
+    d = staged(asked.withColumn("__f", F.when(~missing, f)))
+    d = from_library(d, prices, synonyms)
     near = nearest_tier(F.col("__f.amps"), STANDARD_AMPS)
     d = d.withColumn("__key", F.concat_ws("-", "__f.kind", "__f.poles", F.concat(near.cast("string"), F.lit("A")))).join(base.select(F.col("key").alias("__key"), "list_price"), "__key", "left")
     default = next(iter(TIERS.values()))
