@@ -331,4 +331,4 @@ def normal_forms(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", C.match_form(raw).alias("form"), C.safe_cell(cell).alias("cell"))
 
 
-from . import drawing_queries, project_queries  # noqa: E402, F401  (they add their queries)
+from . import drawing_queries, project_queries, quote_queries  # noqa: E402, F401  (they add their queries)
