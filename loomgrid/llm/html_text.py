@@ -19,20 +19,21 @@ from .common import materialize, scoped
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math".split())
 FOREIGN = frozenset("svg math".split())
-SKIPPED = frozenset("script style noscript template textarea title iframe svg math head nav header footer aside form button select dialog menu".split())
+SKIPPED = frozenset("script style noscript template textarea title iframe object svg math head nav header footer aside form button select dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body div main section td".split())
 #: An open element that ends when one of these begins.
 ENDED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Words that mark what isn't the article: as a whole class or id, or as the first or last part of one.
-NOISE = frozenset("ad ads adv advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies reply share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
+#: Words that mark what isn't the article: as a whole class or id, or as the first or last part of one; those of comments as any part.
+NOISE = frozenset("ad ads adv advert advertisement alert alerts banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies reply responses share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
+COMMENTS = frozenset("comment commentlist comments disqus".split())
 #: Elements that hold the page or the article, whatever they are called, and roles of what isn't the article.
-NEVER_NOISE = frozenset("html body main article".split())
+NEVER_NOISE, HOMES = frozenset("html body main article".split()), frozenset("article main".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 #: A container is a page's best if it is the innermost with this share of its text; it may be read by a path of its host that has this other share.
 BEST_SHARE, LEAST_SHARE = 0.9, 0.75
-#: What must be left outside an element that looks like noise, as a share of the element's own text; text in links doesn't count.
-LEFT_SHARE = 0.1
+#: An article that holds this share of the text of the main element around it is read in its place.
+ARTICLE_SHARE = 0.5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -44,39 +45,44 @@ def page_host(url):
 
 
 @lru_cache(maxsize=1 << 14)
-def _marks(attributes: str) -> tuple[str, bool, int]:
-    """(generalised classes, hidden?, noise: 1 if a whole name says so, -1 if only a part of one does, else 0) of an element's attributes, read one by one with their quoted values."""
-    classes, hidden, noise = [], False, 0
+def _marks(attributes: str) -> tuple[str, bool, int, bool]:
+    """(generalised classes, hidden?, noise: 1 if a whole name says so, -1 if only a part of one does, else 0, is a header's name all that says so?) of an element's attributes, read one by one with their quoted values."""
+    classes, hidden, noise, header = [], False, 0, True
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
             for token in value.split():
                 parts = re.split(r"[^a-z0-9]+", token)
-                noise = 1 if noise == 1 or token in NOISE else -1 if parts[0] in NOISE or parts[-1] in NOISE else noise
+                hits = {token} & NOISE or {parts[0], parts[-1]} & NOISE or COMMENTS.intersection(parts)
+                header = header and hits <= {"header"}
+                noise = 1 if noise == 1 or token in NOISE else -1 if hits else noise
             if name == "class":
                 classes += [re.sub(r"\d+", "#", w) for w in value.split()]
-        elif name == "role":
-            noise = 1 if value in NOISE_ROLES else noise
+        elif name == "role" and value in NOISE_ROLES:
+            noise, header = 1, header and value == "banner"
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             hidden = True
-    return "".join(f".{c}" for c in sorted(set(classes))), hidden, noise
+    return "".join(f".{c}" for c in sorted(set(classes))), hidden, noise, header
 
 
 class Block(NamedTuple):
-    """A text block: the generalised tag-class paths of the containers around it, outermost first, its text, how many of its characters are in links, the numbers of the noise-like elements around it (negative if only a part of a name says so)."""
+    """A text block: the generalised tag-class paths of the containers around it, outermost first, its text, how many of its characters are in links, the numbers of the noise-like elements around it (negative if only a part of a name says so), whether it is a headline (h1)."""
 
     paths: tuple[str, ...]
     text: str
     linked: int
     noise: tuple[int, ...]
+    headline: bool = False
 
 
 def blocks_of(html: str) -> Iterator[Block]:
     """Every text block outside elements that are never text of the article.
 
-    Unclosed and misnested tags end as browsers end them for the elements that matter here.
+    Unclosed and misnested tags end as browsers end them for the elements that matter here. A header in an article or main
+    element counts as noise by a whole name, but its headline (h1) belongs to the article.
     """
     stack: list[tuple[str, str, int, bool]] = []  # name, path if it is a container, number if noise-like else 0, skipped
+    headers: set[int] = set()  # numbers of headers in articles
     parts: list[str] = []
     linked = serial = links = skips = 0
     at, end = 0, len(html)
@@ -88,7 +94,8 @@ def blocks_of(html: str) -> Iterator[Block]:
             parts.clear()
             n, linked = linked, 0
             if text:
-                return Block(tuple(s[1] for s in stack if s[1]), text, n, tuple(s[2] for s in stack if s[2]))
+                headline = any(s[0] == "h1" for s in stack)
+                return Block(tuple(s[1] for s in stack if s[1]), text, n, tuple(s[2] for s in stack if s[2] and not (headline and s[2] in headers)), headline)
         return None
 
     def close(k: int):
@@ -126,10 +133,18 @@ def blocks_of(html: str) -> Iterator[Block]:
             at = after.end() if after else end
             continue
         serial += 1
-        classes, hidden, noise = ("", False, 0) if not m[3] else _marks(m[3]) if len(m[3]) < 512 else _marks.__wrapped__(m[3])
-        skip = name not in NEVER_NOISE and (hidden or name in SKIPPED)
+        classes, hidden, noise, header = ("", False, 0, True) if not m[3] else _marks(m[3]) if len(m[3]) < 512 else _marks.__wrapped__(m[3])
+        inside = any(s[0] in HOMES for s in stack)
+        if name in NEVER_NOISE and not (name == "article" and any(s[0] == "article" for s in stack)):
+            noise, skip = 0, False
+        else:
+            skip = hidden or name in SKIPPED
+            if name == "header" and inside and not hidden:
+                noise, skip = noise or 1, False
+            if noise and inside and header:
+                headers.add(serial * noise)
         above = next((s[1] for s in reversed(stack) if s[1]), "")
-        stack.append((name, f"{above}>{name}{classes}" if name in CONTAINERS else "", 0 if name in NEVER_NOISE else serial * noise, skip))
+        stack.append((name, f"{above}>{name}{classes}" if name in CONTAINERS else "", serial * noise, skip))
         skips += skip
         links += name == "a"
     if not skips and at < end:
@@ -138,17 +153,28 @@ def blocks_of(html: str) -> Iterator[Block]:
         yield b
 
 
+def in_home(path: str) -> bool:
+    """Is the path that of an article or main element?"""
+    return re.split(r"[.]", path.rpartition(">")[2], maxsplit=1)[0] in HOMES
+
+
 def article_blocks(html: str) -> list[Block]:
     """blocks_of(html) without elements that look like noise by their class, id or role.
 
-    Such an element stays if hardly any text would be left without it: it then is a wrapper of the article with an odd name.
-    Those that are noise by a whole name are looked at first, and smaller ones before larger.
+    Where an article or main element keeps text of its own, all of them go, however long they are. Else each goes as long
+    as any text is left, but for a wrapper of the article with an odd name: one that holds a headline and more than the rest
+    does. Those that are noise by a whole name are looked at before those by a part of one, smaller ones before larger. Text
+    in links doesn't count as text.
     """
     blocks = list(blocks_of(html))
     size = lambda some: sum(len(b.text) - min(b.linked, len(b.text)) for b in some)
+    plain = [b for b in blocks if not b.noise]
+    if any(in_home(p) for b in plain for p in b.paths):
+        return plain
     for n in sorted({n for b in blocks for n in b.noise}, key=lambda n: (n < 0, size(b for b in blocks if n in b.noise), n)):
         rest = [b for b in blocks if n not in b.noise]
-        if (left := size(rest)) and left >= LEFT_SHARE * (size(blocks) - left):
+        left = size(rest)
+        if left and not (any(b.headline and n in b.noise for b in blocks) and size(blocks) > 2 * left):
             blocks = rest
     return blocks
 
@@ -162,20 +188,30 @@ def container_shares(blocks: list[Block]) -> dict[str, float]:
         total += weight
         for p in set(b.paths):
             held[p] = held.get(p, 0.0) + weight
-    return {p: w / total for p, w in held.items()} if total else {}
+    return {p: w / total if total else 0.0 for p, w in held.items()}
 
 
 def best_path(shares: dict[str, float]) -> str | None:
-    """The innermost path that holds nearly all of the text; of an article or main element the element itself, so that no part of it is lost."""
+    """The path of the article or main element with most of the text, whatever its share; without one the innermost path that holds nearly all of the text.
+
+    Of an article and the main element around it the article is taken if it holds ARTICLE_SHARE of the other's text, of nested articles the outer one.
+    """
+    homes = [p for p in shares if in_home(p)]
+    if homes:
+        articles = [p for p in homes if p.rpartition(">")[2].startswith("article")]
+        most = lambda some: min(some, key=lambda p: (-shares[p], p.count(">"), p))
+        mains = [p for p in homes if p not in articles]
+        if not articles or not mains:
+            return most(homes)
+        article, main = most(articles), most(mains)
+        return article if shares[article] >= ARTICLE_SHARE * shares[main] else main
     fit = [p for p, x in shares.items() if x >= BEST_SHARE]
-    if not fit:
-        return None
-    best = min(fit, key=lambda p: (-p.count(">"), p))
-    for name in ("article", "main"):
-        above = [p for p in fit if (best + ">").startswith(p + ">") and re.match(rf"{name}(\.|$)", p.rpartition(">")[2])]
-        if above:
-            return min(above, key=len)
-    return best
+    return min(fit, key=lambda p: (-p.count(">"), p)) if fit else None
+
+
+def fitting_paths(shares: dict[str, float], best: str | None) -> list[str]:
+    """The paths that a page may be read by in place of its best one: those with LEAST_SHARE; if the best is an article or main element, only such ones."""
+    return [p for p, x in shares.items() if x >= LEAST_SHARE and (best is None or not in_home(best) or in_home(p))]
 
 
 def path_number(path: str) -> int:
@@ -184,12 +220,27 @@ def path_number(path: str) -> int:
 
 
 def main_text(blocks: list[Block], number: int | None) -> str:
-    """The blocks inside the path with that number, else inside the page's best one, joined by line feeds."""
+    """The blocks inside the path with that number, else inside the page's best one, joined by line feeds.
+
+    Around a container that is neither an article nor a main element, text that stands directly in one of the containers
+    around it (the body left out) belongs to the article too, and so does a headline where the container has none of its own;
+    texts that are mostly links don't.
+    """
     path = None
     if number is not None:
         path = next((p for b in blocks for p in b.paths if path_number(p) == number), None)
     path = path or best_path(container_shares(blocks))
-    return "\n".join(b.text for b in blocks if path is None or path in b.paths)
+    if path is None:
+        return "\n".join(b.text for b in blocks)
+    if in_home(path):
+        return "\n".join(b.text for b in blocks if path in b.paths)
+    own = any(b.headline for b in blocks if path in b.paths)
+
+    def around(b: Block) -> bool:
+        near = bool(b.paths) and path.startswith(b.paths[-1] + ">") and not re.match(r"body(?:[.]|$)", b.paths[-1].rpartition(">")[2])
+        return 2 * b.linked <= len(b.text) and (near or b.headline and not own)
+
+    return "\n".join(b.text for b in blocks if path in b.paths or around(b))
 
 
 def ballots(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -201,7 +252,7 @@ def ballots(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
         for h in html:
             shares = container_shares(article_blocks(h or ""))
             best = best_path(shares)
-            rows.append((None if best is None else path_number(best), [path_number(p) for p, x in shares.items() if x >= LEAST_SHARE]))
+            rows.append((None if best is None else path_number(best), [path_number(p) for p in fitting_paths(shares, best)]))
         return pd.DataFrame({"best": pd.array([r[0] for r in rows], dtype="Int64"), "fit": [r[1] for r in rows]})
 
     return pages.select(*_keys(html_col), page_host(F.col(url_col)).alias("host"), score(F.col(html_col)).alias("s")).select("k1", "k2", "host", "s.best", "s.fit")
@@ -229,7 +280,8 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     """pages with text (string), the main text of each page; other columns pass through.
 
     Each page votes for the path of its best container; a page is then read by the path of its host with most votes among
-    those that hold at least LEAST_SHARE of its text, by its own best one if none has more. A null or empty html gives an
+    those that hold at least LEAST_SHARE of its text, by its own best one if none has more; a page with an article or main
+    element only by the path of such a one. A null or empty html gives an
     empty text. Pages without a host (null or odd URL) vote together. Each row is read by itself, repeated ids too; a very
     long page is parsed in one pass and held as blocks. A column of pages named text is replaced. An empty table gives an
     empty one. Only pages that leave their own best path are looked up, by the hash of their html.

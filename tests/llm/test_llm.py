@@ -352,6 +352,14 @@ LONG = "A sentence of the article that is long enough to count."
     ("<body><article><p>{0}<div class='comments'><p>{0}<p>{0}<p>{0}</div></article></body>", "{0}"),
     ("<body><main><p style='overflow: hidden' title='a hidden gem'>{0}<svg/><p hidden>no<p>{0}</main><footer>{0}</footer></body>", "{0}\n{0}"),
     ("<p>&eacute;&#x41;&nbsp; b\n c", "\u00e9A b c"), ("", ""), ("<div class='ad'>only this</div>", "only this"),
+    ("<main><p>One sentence.<div class='user-comments'>" + "<p>{0}" * 20 + "</div></main>", "One sentence."), ("<main><p>One sentence.<div class='post__comments-area'>" + "<p>{0}" * 3 + "</div></main>", "One sentence."),
+    ("<article><h1>Title</h1><p>Short.</article><div class='related-posts'><p>{0}<p>{0}<p>{0}</div>", "Title\nShort."), ("<article><p>Short.</article><div class='teasers'><p>{0}<p>{0}<p>{0}</div>", "Short."),
+    ("<body><div class=x><h1>Headline</h1><div class=body>" + "<p>{0}" * 6 + "</div></div>", "Headline" + "\n{0}" * 6), ("<body><div class=top><h1>Headline</h1></div><div class=body>" + "<p>{0}" * 6 + "</div>", "Headline" + "\n{0}" * 6),
+    ("<body><div class=top><h1><a href='/'>Site</a></h1></div><div class=body>" + "<p>{0}" * 6 + "</div>", "\n".join(["{0}"] * 6)), ("<body><div class=x><p>Lead.<div class=body>" + "<p>{0}" * 6 + "</div></div>", "Lead." + "\n{0}" * 6),
+    ("<article><p>{0}<div id='responses'><p>{0}</div><ol class='commentlist'><li>{0}</ol><div class='alert'>Notice</div></article>", "{0}"), ("<p>{0}<object data=x>no player</object> end", "{0} end"),
+    ("<article><header><h1>Title</h1><p>By A. Writer</header><p>{0}</article>", "Title\n{0}"), ("<article><div class='entry-header'><h1>Title</h1></div><p>{0}<article class='comment'><p>{0}</article></article>", "Title\n{0}"),
+    ("<main><article><h1>T</h1><p>{0}<p>{0}</article><section><p>{0}</section></main>", "T\n{0}\n{0}"), ("<main><p>{0}<p>{0}<p>{0}<article><p>Aside.</article></main>", "{0}\n{0}\n{0}\nAside."), ("<article><a href='/'>Only a link</a></article><div><p>{0}</div>", "Only a link"),
+    ("<div class='widget'><h1>T</h1><p>{0}<p>{0}</div><div>Imprint and so on</div>", "T\n{0}\n{0}"),
 ])
 def test_main_text_of_one_page(html, want):
     assert html_text.main_text(html_text.article_blocks(html.format(LONG)), None) == want.format(LONG)
