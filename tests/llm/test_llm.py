@@ -448,6 +448,26 @@ def test_one_person_one_surrogate(spark):
     assert surrogates.replace_entities(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
 
 
+def test_names_as_they_are_written(spark):
+    """Apostrophes, initials, capitals, one person after several titles, words that are names, given names alone; numbers and keys in common forms."""
+    rows = [
+        (1, "Mr. O'Brien met Mr. John A. Smith and Mr. J. Miller."), (2, "MR. JOHN SMITH MET PROF. ADA LOVELACE."), (3, "Dr. John Smith met Mr. John Smith; John and Smith's dog stayed."),
+        (4, "Mr. Will said he will. Will it rain? Mrs. May came in May."), (5, "Dr. Ada Novak"), (6, "Frau Ada Berg"), (None, "Prof. Ada Berg"),
+        (7, "0044 20 7946 0958, 020 7946 0958, 123 45 6789, 123-45-6789"), (8, "sk-" + "a1" * 12 + " AIza" + "b2_-c" * 7 + " xoxb-123456789012-abc eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"), (9, "no 12 34 56 nor 007 agents"),
+    ]
+    out = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    one = re.fullmatch(r"Mr\. (\S+) met Mr\. (\S+) [A-Z]\. (\S+) and Mr\. [A-Z]\. (\S+)\.", out[1])
+    assert one and not {"O'Brien", "John", "Smith", "Miller"} & set(one.groups())
+    two = re.fullmatch(r"MR\. ([A-Z-]+) ([A-Z]+) MET PROF\. ([A-Z-]+) ([A-Z]+)\.", out[2])
+    assert (two[1], two[2]) == (one[2].upper(), one[3].upper())
+    assert out[3] == f"Dr. {one[2]} {one[3]} met Mr. {one[2]} {one[3]}; {one[2]} and {one[3]}'s dog stayed."
+    assert re.fullmatch(r"Mr\. (?!Will)\S+ said he will\. Will it rain\? Mrs\. (?!May)\S+ came in May\.", out[4])
+    assert out[5].split()[1] == out[6].split()[1] and out[6].split()[1].split("-")[0] in surrogates.GIVEN["f", "latin"] and "Ada" not in out[None]
+    seven = out[7].split(", ")
+    assert seven[0].startswith("0044 ") and seven[1].startswith("0") and not set(seven) & set(rows[7][1].split(", ")) and seven[2].replace(" ", "") == seven[3].replace("-", "")
+    assert not set(out[8].split()) & set(rows[8][1].split()) and out[9] == rows[9][1]
+
+
 def test_surrogate_query(spark, folder, texts):
     """Against the patterns read by another engine: texts without an entity stay, the others lose all of theirs."""
     import regex
