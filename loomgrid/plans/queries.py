@@ -130,9 +130,12 @@ def range_expand(spark, d):
 x AS (SELECT item, count(*) AS n_declared, count(h.c) AS n_matched, coalesce(string_agg(CASE WHEN h.c IS NULL THEN d.c END, ',' ORDER BY d.c), '') AS missing FROM d LEFT JOIN h ON d.c = h.c GROUP BY item)
 SELECT *, CASE WHEN n_declared = n_matched THEN 'COVERED' WHEN n_matched > 0 THEN 'PARTIAL' ELSE 'MISSING' END AS status FROM x""")
 def reconcile_coverage(spark, d):
-    code = lambda key, more: F.concat((F.col(key) / 500).cast("int").cast("string"), F.lit("JXA"), (F.col(key) % 500 + more).cast("string"))
-    declared = table(spark, d, "part").select(F.col("p_partkey").alias("item"), panels.panel_range(F.concat(code("p_partkey", 1), F.lit("~"), (F.col("p_partkey") % 500 + 4).cast("string"))).alias("codes"))
-    found = table(spark, d, "lineitem").where("l_returnflag = 'A'").select(code("l_partkey", 0).alias("code"))
+    # the block number stands before what is read as a code: a block of four digits would make it a long number to the lexer
+    block = lambda key: F.expr(f"string({key} div 500)")
+    place = lambda more: (F.col("p_partkey") % 500 + more).cast("string")
+    codes = panels.panel_range(F.concat(F.lit("JXA"), place(1), F.lit("~"), place(4)))
+    declared = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.transform(codes, lambda c: F.concat(block("p_partkey"), c)).alias("codes"))
+    found = table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.concat(block("l_partkey"), F.lit("JXA"), (F.col("l_partkey") % 500).cast("string")).alias("code"))
     return rules.coverage(declared, found, "item", "codes", "code")
 
 
