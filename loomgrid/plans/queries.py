@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import columns as C
 from ..functions import panels, specs
 from ..operators import bom, circuits, hierarchy, pricing, rules, spatial, store
+from ..sources.staged import parsed_once
 from ..sources.tables import table
 from ..streaming import ledger
 
@@ -73,7 +74,7 @@ def dangling_reference_anti(spark, d):
 @query("SELECT l_orderkey, l_linenumber, l_partkey, 'MCB-63' AS series, 'C' AS curve, CAST(l_quantity AS DOUBLE) AS amps, l_linenumber % 4 + 1 AS poles FROM lineitem")
 def parse_breaker_roundtrip(spark, d):
     text = F.concat(F.lit("MCB-63/C"), qty().cast("string"), F.lit("A/"), (F.col("l_linenumber") % 4 + 1).cast("string"), F.lit("P"))
-    b = table(spark, d, "lineitem").withColumn("b", specs.breaker(text))
+    b = parsed_once(table(spark, d, "lineitem"), text, specs.breaker, "b")
     return b.select("l_orderkey", "l_linenumber", "l_partkey", "b.series", "b.curve", "b.amps", "b.poles")
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 _own: dict[str, str] = {}
@@ -33,6 +35,13 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parsed_once(df: DataFrame, text: Column, parse: Callable[[Column], Column], name: str) -> DataFrame:
+    """df with parse(text) as column name, worked out once for each different text, a null one too."""
+    said = df.withColumn("__text", text)
+    each = staged(said.select("__text").distinct().select(F.col("__text").alias("__said"), parse(F.col("__text")).alias(name)))
+    return said.join(each, F.col("__text").eqNullSafe(F.col("__said"))).drop("__text", "__said")
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files of a staged table that no later plan reads."""
     names = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}

@@ -150,3 +150,21 @@ def test_job_states_and_recovery(spark, tmp_path):
     assert values(got) == [(1, "failed", 8, 2), (2, "converting", 2, 1)]
     again = store.mark_interrupted(got, "status", ledger.IN_FLIGHT)
     assert values(again.select("job", "status")) == [(1, "failed"), (2, "interrupted")]
+
+
+def test_equal_texts_are_parsed_once(spark):
+    from loomgrid.functions import specs
+    from loomgrid.sources.staged import parsed_once
+
+    df = spark.createDataFrame([(i, ["MCB-63/C16A/2P", "MCB-63/D20A/3P", None][i % 3]) for i in range(30)], "i int, t string")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        calls.add(1)
+        return (t or "").lower()
+
+    assert sorted(tuple(r) for r in parsed_once(df, F.col("t"), counted, "low").select("i", "low").collect()) == [(i, ["mcb-63/c16a/2p", "mcb-63/d20a/3p", ""][i % 3]) for i in range(30)]
+    assert calls.value == 3
+    got = parsed_once(df, F.col("t"), specs.breaker, "b").select("i", "b.amps", "b.poles")
+    assert sorted(tuple(r) for r in got.collect()) == [(i, [16.0, 20.0, None][i % 3], [2, 3, None][i % 3]) for i in range(30)]
