@@ -77,3 +77,10 @@ def test_texts_of_a_drawing_with_nested_blocks(spark, tmp_path):
     assert [r["text"] for r in dxf.text_entities(spark, str(tmp_path)).collect()] == ["Ø20 a°"]
     files = dxf.drawing_files(spark, str(tmp_path)).collect()
     assert len(files) == 1 and files[0]["sound"] and len(files[0]["sha256"]) == 64
+
+
+def test_equal_devices_are_counted_before_they_are_read(spark):
+    from loomgrid.plans.queries import QUERIES
+
+    plan = QUERIES["brands_and_breakers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
