@@ -1,8 +1,9 @@
-"""Near copies by real shingle similarity: slices of the shingle sets propose pairs, SimHash screens them, the sets themselves decide."""
+"""Near copies by real shingle similarity: SimHash, through its table of distances to reference fingerprints, and slices of the shingle sets propose pairs, the table and the fingerprints screen them, the sets themselves decide."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scoped
 from .components import connected_components
-from .simhash import _distance, majority_bits, shingle_hashes
+from .simhash import _distance, link_fingerprints, majority_bits, reference_distances, shingle_hashes
 
 #: Slices that a text names at each of its two levels: a pair at the least similarity misses all of them about once in 10^8.
 SLICES = 40
@@ -88,10 +89,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _screened(met: DataFrame, least: float, distance: int) -> DataFrame:
-    """(a, a1, b, b1) of the pairs of met, with structs x and y, that may be similar by their sizes, by how much of them other texts have too (s), and by their fingerprints."""
+    """(a, a1, b, b1) of the pairs of met, with structs x and y, that may be similar by their sizes, by how much of them other texts have too (s), by their rows of the table of distances and by their fingerprints."""
     x, y = F.col("x"), F.col("y")
     sizes: Column = F.least(x["n"], y["n"], x["s"], y["s"]) * (1 + least) >= least * (x["n"] + y["n"]) - 1e-9
-    near = met.where((x["u"] != y["u"]) & sizes & (_distance(x["fp"], y["fp"]) <= distance))
+    rows = reduce(Column.__and__, (F.abs(p - q) <= distance for p, q in zip(reference_distances(x["fp"]), reference_distances(y["fp"]), strict=True)))
+    near = met.where((x["u"] != y["u"]) & sizes & rows & (_distance(x["fp"], y["fp"]) <= distance))
     first, last = F.when(x["u"] < y["u"], x).otherwise(y), F.when(x["u"] < y["u"], y).otherwise(x)
     out = near.select(first.alias("p"), last.alias("q"))
     return out.select(F.col("p.u").alias("a"), F.col("p.first").alias("a1"), F.col("q.u").alias("b"), F.col("q.first").alias("b1")).distinct()
@@ -104,12 +106,22 @@ def _shared_sizes(sets: DataFrame) -> DataFrame:
     return once.groupBy("u").agg(F.count("*").alias("own"))
 
 
+def _proposed(units: DataFrame) -> DataFrame:
+    """(u, w): pairs of sets whose fingerprints are equal or, through the table of distances to the references, found within two bits; of equal ones each with the least."""
+    fps = materialize(units.groupBy("fp").agg(F.min("u").alias("w")))
+    equal = units.join(fps, "fp").where("u <> w").select("u", "w")
+    ends = link_fingerprints(fps.select("fp"))
+    for old, new in (("a", "u"), ("b", "w")):
+        ends = ends.join(fps.select(F.col("fp").alias(old), F.col("w").alias(new)), old).drop(old)
+    return equal.unionByName(ends.select("u", "w"))
+
+
 @scoped
 def near_copy_components(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = DISTANCE, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id long, component_id long): one row per row of docs; rows link whose sets of width-word shingles have Jaccard similarity least or more.
 
     component_id is the smallest id reachable, itself included. Equal sets (copies, empty texts) are taken together first.
-    Sets with an equal slice meet in a bucket. Shingles that no other set in a bucket has can't be common to two sets: with
+    Sets whose fingerprints SimHash finds within two bits of one another are compared first. Sets with an equal slice meet in a bucket. Shingles that no other set in a bucket has can't be common to two sets: with
     too many of them a set links with nothing and goes, exactly, which thins out crowds of loosely alike texts. In a bucket
     each set is held against the bucket's two ends in some order, rounds times at most while that finds many more links. Then all pairs of a bucket that aren't connected yet are compared, so a large group of near copies costs a few
     comparisons a member. Rows that repeat an id belong together; a row with a null id links with nothing and has a null
@@ -121,7 +133,8 @@ def near_copy_components(docs: DataFrame, width: int = 5, least: float = 0.8, di
     units = materialize(named.groupBy("u").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp")))
     keyed = named.select("u", F.explode("keys").alias("key")).distinct()
     meet = materialize(_crowded(keyed))
-    wanted = meet.select("u").distinct().join(units.select("u", F.col("first").alias("id")), "u")
+    close = materialize(_proposed(units))
+    wanted = meet.select("u").unionByName(close.select("u")).unionByName(close.select(F.col("w").alias("u"))).distinct().join(units.select("u", F.col("first").alias("id")), "u")
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -132,10 +145,12 @@ def near_copy_components(docs: DataFrame, width: int = 5, least: float = 0.8, di
 
     sets = materialize(read.join(wanted, "id").select("u", "text").mapInPandas(hashes, "u long, set array<long>").dropDuplicates(["u"]))
     able = units.join(_shared_sizes(sets), "u", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("s") >= least * F.col("n") - 1e-9)
-    buckets = materialize(_crowded(meet.join(able.select("u", F.struct("u", "first", "n", "s", "fp").alias("x")), "u")).select("key", "x"))
+    able = materialize(able.select("u", F.struct("u", "first", "n", "s", "fp").alias("x")))
+    buckets = materialize(_crowded(meet.join(able, "u")).select("key", "x"))
     ids = units.select("u", "first")
     twice = named.groupBy("id").agg(F.min("u").alias("v"), F.max("u").alias("w")).where("v <> w").select("id").join(named, "id").join(ids, "u").select(F.col("id").alias("src"), F.col("first").alias("dst"))
-    links = materialize(twice)
+    simhash = _verified(materialize(_screened(close.join(able, "u").join(able.select(F.col("u").alias("w"), F.col("x").alias("y")), "w").select("x", "y"), least, distance)), sets, least)
+    links = materialize(twice.unionByName(simhash).distinct())
     found, before, comp = links.count(), -1, None
     for turn in range(rounds + 1):
         comp = materialize(connected_components(links)) if found else docs.sparkSession.createDataFrame([], "node long, component long")

@@ -81,6 +81,11 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def reference_distances(fp: Column, n: int = 24) -> list[Column]:
+    """A fingerprint's row of the distance table: rows of fingerprints k bits apart differ by k at most in every place."""
+    return [_distance(fp, F.lit(_signed(p))) for p in references(n)]
+
+
 def candidate_keys(fp: DataFrame, n_references: int = 24) -> DataFrame:
     """(fp, d, key): d is the fingerprint's row of the distance table, one byte per reference; six keys.
 

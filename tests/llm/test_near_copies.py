@@ -74,3 +74,32 @@ def test_repeated_ids_belong_together(spark):
     rows = [(1, "a b c d e f"), (1, "k l m n o p"), (2, "k l m n o p"), (3, "A  b c d e f"), (4, "q r s t u v")]
     got = near_copies.near_copy_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_simhash_proposes_pairs_by_itself(spark, monkeypatch):
+    import numpy as np
+
+    from loomgrid.llm.simhash import majority_bits
+
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    rows = [(1, " ".join(base)), *((10 + i, " ".join([*base, f"odd{i}"])) for i in range(6)), (50, " ".join(f"w{rng.randrange(10**6)}" for _ in range(4000))), (60, None), (61, "")]
+    bits = lambda t: majority_bits([h := near_copies.shingle_set(t.encode(), 5)], len(h))
+    close = [i for i, t in rows[1:7] if ((bits(t) ^ bits(rows[0][1])) & near_copies.MASK).bit_count() <= 2]
+    assert close
+    monkeypatch.setattr(near_copies, "slice_keys", lambda hashes, least: np.zeros(0, np.int64))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in near_copies.near_copy_components(docs).collect()}
+    assert all(got[i] == 1 for i in close) and got[50] == 50 and got[61] == 60
+
+
+def test_table_of_distances_bounds_the_distance(spark):
+    from pyspark.sql import functions as F
+
+    from loomgrid.llm.simhash import reference_distances
+
+    rng = random.Random(13)
+    pairs = [(rng.getrandbits(63), rng.getrandbits(6)) for _ in range(50)]
+    df = spark.createDataFrame([(a, a ^ b, b.bit_count()) for a, b in pairs], "a long, b long, n int")
+    off = F.greatest(*(F.abs(p - q) for p, q in zip(reference_distances(F.col("a")), reference_distances(F.col("b")), strict=True)))
+    assert df.where(off > F.col("n")).count() == 0 and df.where((off > 0) & (F.col("n") > 0)).count() > 0
