@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.staged import drop, staged
 
@@ -70,6 +71,55 @@ def claim_once(pairs: DataFrame, left: str, right: str, order: Sequence[str]) ->
     return now if taken is None else taken
 
 
+def claim_alike(pairs: DataFrame, left: DataFrame, right: DataFrame, left_group: str, right_group: str, left_id: str, right_id: str, order: Sequence[str]) -> DataFrame:
+    """(left_id, right_id): what claim_once takes of the pairs of members, given the pairs of their groups; order is the groups', then come the two ids.
+
+    A round takes groups that come first for one another. If one of them is first alone, no other pair can come between those of
+    their members, so these are taken in the order of both ids, many at once. Where several groups are equally near on both
+    sides, they wait, and if all do, the least pair of all is taken. A group that has no member left goes, with all its pairs.
+    """
+    k = F.struct(*order)
+    now = staged(pairs.select(F.col(left_group).alias("l"), F.col(right_group).alias("r"), k.alias("k")).where("l IS NOT NULL AND r IS NOT NULL").distinct())
+    member = lambda df, g, i, n: staged(df.where(F.col(i).isNotNull()).select(F.col(g).alias(n), F.col(i).alias("id")))
+    free = {"l": member(left, left_group, left_id, "l"), "r": member(right, right_group, right_id, "r")}
+    taken = None
+    for _ in range(ROUNDS):
+        for n in "lr":
+            now = now.join(free[n].select(n).distinct(), n, "left_semi")
+        now = staged(now.select("l", "r", "k"))
+        if now.isEmpty():
+            break
+        first = now
+        for n in "lr":
+            first = first.join(now.groupBy(n).agg(F.min("k").alias(f"k{n}")), n)
+        # edges that come first for a side; a group is closed if all of its first edges come first for both sides
+        first = staged(first.where("k = kl OR k = kr").withColumn("both", F.expr("k = kl AND k = kr")))
+        for n in "lr":
+            own = first.where(f"k = k{n}").groupBy(n).agg(F.bool_and("both").alias(f"c{n}"), F.count("*").alias(f"n{n}"))
+            first = first.join(own, n)
+        edges = first.where("both AND cl AND cr")
+        # a star: one group whose edges lead to groups that have no other one
+        star = lambda hub, leaf: edges.join(edges.groupBy(hub).agg(F.max(f"n{leaf}").alias("most")).where("most = 1").select(hub), hub, "left_semi").select("l", "r", F.struct(hub).cast("struct<h:" + now.schema[hub].dataType.simpleString() + ">").alias("s"))
+        met = []
+        for hub, leaf in (("l", "r"), ("r", "l")):
+            stars = star(hub, leaf) if hub == "l" else star(hub, leaf).join(star("l", "r").select("l", "r"), ["l", "r"], "left_anti")
+            place = lambda n, stars=stars: stars.select(n, "s").distinct().join(free[n], n).select("s", F.col("id").alias(f"i{n}"), F.row_number().over(Window.partitionBy("s").orderBy("id")).alias("at"))
+            met.append(place("l").join(place("r"), ["s", "at"]).select("il", "ir"))
+        won = met[0].unionByName(met[1])
+        won = staged(won)
+        if won.isEmpty():  # no star: the least pair of all is taken
+            least = first.where("both")
+            for n in "lr":
+                least = least.join(free[n].groupBy(n).agg(F.min("id").alias(f"i{n}")), n)
+            won = staged(least.orderBy("k", "il", "ir").limit(1).select("il", "ir"))
+        taken = won if taken is None else taken.unionByName(won)
+        free = {n: staged(free[n].join(won.select(F.col(f"i{n}").alias("id")), "id", "left_anti").select(n, "id")) for n in "lr"}
+    else:
+        raise RuntimeError(f"claims did not settle in {ROUNDS} rounds")
+    out = now.where("false").select(F.lit(None).cast(left.schema[left_id].dataType).alias("il"), F.lit(None).cast(right.schema[right_id].dataType).alias("ir")) if taken is None else taken
+    return out.select(F.col("il").alias(left_id), F.col("ir").alias(right_id))
+
+
 def first_wins(items: DataFrame, key: str, conflicts: DataFrame, earlier: str, later: str) -> DataFrame:
     """The items that stay when a walk in order keeps each one that conflicts with none kept before it.
 

@@ -137,9 +137,13 @@ UNION ALL SELECT n, k + 1, CASE WHEN free THEN list_append(cs, c) ELSE cs END, C
 SELECT unnest(cs) AS c_custkey, unnest(ss) AS s_suppkey FROM (SELECT n, arg_max(cs, k) AS cs, arg_max(ss, k) AS ss FROM w GROUP BY n)""")
 def claims_once(spark, d):
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    pairs = spatial.near_join(c, s, "c_acctbal", "s_acctbal", 300.0).where("c_nationkey = s_nationkey")
-    pairs = pairs.select("c_custkey", "s_suppkey", (F.col("c_mktsegment") != "BUILDING").cast("int").alias("tier"), F.abs(F.col("c_acctbal") - F.col("s_acctbal")).alias("off"))
-    return graphs.claim_once(pairs, "c_custkey", "s_suppkey", ["tier", "off"]).select("c_custkey", "s_suppkey")
+    # customers, and suppliers, that are alike but for their keys meet as one
+    c = c.select("c_custkey", "c_nationkey", "c_acctbal", (F.col("c_mktsegment") != "BUILDING").cast("int").alias("tier")).withColumn("cg", F.struct("c_nationkey", "c_acctbal", "tier"))
+    s = s.select("s_suppkey", "s_nationkey", "s_acctbal").withColumn("sg", F.struct("s_nationkey", "s_acctbal"))
+    one = lambda df, g: df.select(g).distinct().select(g, f"{g}.*")
+    pairs = spatial.near_join(one(c, "cg"), one(s, "sg"), "c_acctbal", "s_acctbal", 300.0, [("c_nationkey", "s_nationkey")])
+    pairs = pairs.select("cg", "sg", "tier", F.abs(F.col("c_acctbal") - F.col("s_acctbal")).alias("off"))
+    return graphs.claim_alike(pairs, c, s, "cg", "sg", "c_custkey", "s_suppkey", ["tier", "off"])
 
 
 @query("""WITH RECURSIVE k AS (SELECT c_custkey AS k, CASE c_custkey % 100 WHEN 98 THEN c_custkey + 1 WHEN 99 THEN c_custkey - 1 ELSE c_custkey // 7 END AS p FROM customer WHERE c_custkey >= 1),

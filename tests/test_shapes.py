@@ -159,3 +159,19 @@ def test_nearest_works_each_place_out_once(spark, monkeypatch):
     got = {r["l"]: (r["r"], r["distance"]) for r in spatial.nearest(left, right, "l", "r", [("x", "u"), ("y", "v")]).collect()}
     assert max(a for a, _ in met) == 6
     assert got == {i: min((max(abs(i % 3 - u), abs(i % 2 - v)), r) for r, u, v in ((7, 0.0, 0.0), (8, 2.0, 1.5)))[::-1] for i in range(600)}
+
+
+def test_claims_of_alike_members_are_those_of_a_walk(spark):
+    rng = random.Random(6)
+    left = [(i, rng.randrange(2), rng.randrange(12)) for i in range(60)] + [(100 + i, 0, 50) for i in range(250)]
+    right = [(1000 + i, rng.randrange(12)) for i in range(40)] + [(1100 + i, 50 + rng.choice((-1, 1))) for i in range(260)]
+    taken, want = set(), []
+    for _, _, a, b in sorted((t, abs(x - y), a, b) for a, t, x in left for b, y in right if abs(x - y) <= 3):
+        if a not in taken and b not in taken:
+            taken |= {a, b}
+            want.append((a, b))
+    c = spark.createDataFrame(left, "c int, tier int, x int").withColumn("cg", F.struct("tier", "x"))
+    s = spark.createDataFrame(right, "s int, y int").withColumn("sg", F.struct("y"))
+    pairs = c.select("cg", "tier", "x").distinct().join(s.select("sg", "y").distinct(), F.abs(F.col("x") - F.col("y")) <= 3).select("cg", "sg", "tier", F.abs(F.col("x") - F.col("y")).alias("off"))
+    assert values(graphs.claim_alike(pairs, c, s, "cg", "sg", "c", "s", ["tier", "off"])) == sorted(want)
+    assert values(graphs.claim_alike(pairs.where("false"), c, s, "cg", "sg", "c", "s", ["tier", "off"])) == []
