@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ BLANK_CLASS = "[\\x20\\x09-\\x0D]"
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows of whole texts that go to Python at once: a batch takes its room on both sides.
+TEXT_ROWS, BATCH_ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Folders written and not yet removed; the folder set by us, by application, where none was configured.
 _written: list[tuple[SparkSession, str]] = []
 _own: dict[str, str] = {}
@@ -49,6 +53,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within this hands texts to Python TEXT_ROWS at a time, or fewer where the session says so."""
+    old = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(int(old), TEXT_ROWS) if int(old) > 0 else TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, old)
+
+
 def drop_written(df: DataFrame) -> None:
     """Remove the files of a table that materialize() wrote and that no later plan reads."""
     names = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scoped
+from .common import materialize, scoped, text_batches
 from .components import connected_components
 from .simhash import _distance, link_fingerprints, majority_bits, reference_distances, shingle_hashes
 
@@ -128,7 +128,8 @@ def near_copy_components(docs: DataFrame, width: int = 5, least: float = 0.8, di
     component. A very long text is a longer set. Other columns of docs are not read. An empty table gives an empty one.
     """
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    each = materialize(_sets(read, width, least))
+    with text_batches(docs.sparkSession):
+        each = materialize(_sets(read, width, least))
     named = each.where("id IS NOT NULL")
     units = materialize(named.groupBy("u").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp")))
     keyed = named.select("u", F.explode("keys").alias("key")).distinct()
@@ -143,7 +144,8 @@ def near_copy_components(docs: DataFrame, width: int = 5, least: float = 0.8, di
             found = [(u, shingle_set((t or "").encode("utf-8", "surrogatepass"), width)) for u, t in zip(x["u"], x["text"], strict=True)]
             yield pd.DataFrame([(u, h.view(np.int64)) for u, h in found if set_id(h) == u], columns=["u", "set"]).astype({"u": "int64"})
 
-    sets = materialize(read.join(wanted, "id").select("u", "text").mapInPandas(hashes, "u long, set array<long>").dropDuplicates(["u"]))
+    with text_batches(docs.sparkSession):
+        sets = materialize(read.join(wanted, "id").select("u", "text").mapInPandas(hashes, "u long, set array<long>").dropDuplicates(["u"]))
     able = units.join(_shared_sizes(sets), "u", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("s") >= least * F.col("n") - 1e-9)
     able = materialize(able.select("u", F.struct("u", "first", "n", "s", "fp").alias("x")))
     buckets = materialize(_crowded(meet.join(able, "u")).select("key", "x"))

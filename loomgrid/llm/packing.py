@@ -15,16 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, text_batches
 from .token_counts import load_tokenizer
 
 VOCABULARY, END_ID, LIMIT = "word_bpe_49k.json", 2, 4096
 #: Words and ids in the table after which it starts anew.
 CACHED_WORDS, CACHED_IDS = 1_000_000, 1 << 24
 #: Bytes of text whose words are looked up together, and words merged in one call.
-SPAN_BYTES, CALL_WORDS = 1 << 22, 4096
+SPAN_BYTES, CALL_WORDS = 1 << 21, 4096
 #: The name in the table that stands for the end of a text; no word, as words hold no blanks.
 ENDING = " "
+#: Pieces that the table's words may lie in before they are put together.
+CHUNKS = 64
 #: Lines that are words of ASCII and Latin-1 letters with punctuation after them: two pre-tokens, whatever the library's Unicode version.
 PLAIN = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%*&)\]]*)$", re.M)
 
@@ -33,8 +35,10 @@ class WordIds:
     """Ids of words, in one array of numbers that grows. The vocabulary drops white space and no pre-token reaches over a blank or line feed, so a text's ids are those of its words in turn.
 
     A word has a code, and a code a run of the array. Words of many texts are split, told apart and looked up together, so
-    that the Python side sees each different word once. Memory is bounded: when the table has too many words or ids, it
-    starts anew with the words of the texts at hand, so frequent words stay.
+    that the Python side sees each new word once. The table's words lie in Arrow arrays, in the order of their codes, and
+    are held against the different words of the texts at hand, so that a word takes some dozens of bytes and no Python object.
+    Memory is bounded: when the table has too many words or ids, it starts anew with the words of the texts at hand, so
+    frequent words stay.
     """
 
     def __init__(self, path: str):
@@ -52,7 +56,7 @@ class WordIds:
             self.last[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
 
     def reset(self) -> None:
-        self.codes: dict[str, int] = {"": 0}
+        self.words, self.endings = [pa.array([""])], {}
         self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
         self.start, self.size, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
 
@@ -70,9 +74,16 @@ class WordIds:
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         self.start[self.n : self.n + len(words)] = start
         self.size[self.n : self.n + len(words)] = size
-        self.codes.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.words.append(pa.array(words, pa.string()))
         self.n += len(words)
 
+    def find(self, words: pa.Array, chunk: int = 0) -> np.ndarray:
+        """The codes of different words, -1 for those that the table hasn't from this chunk on."""
+        codes, before = np.full(len(words), -1, np.int64), sum(map(len, self.words[:chunk]))
+        at = pc.index_in(pa.chunked_array(self.words[chunk:], pa.string()), value_set=words)
+        codes[at.drop_null().to_numpy()] = before + np.flatnonzero(at.is_valid().to_numpy())
+        return codes
+
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the codes in turn, how many each code has)."""
         start, size = self.start[codes], self.size[codes]
@@ -98,38 +109,49 @@ class WordIds:
             found = [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
             self.add(some, np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)))
 
-    def learn(self, words: list[str]) -> None:
-        """Put new words into the table. A plain word is lower-cased and cut from its punctuation, as the library does, so that its forms are merged once."""
-        codes = self.codes
-        plain = PLAIN.findall("\n".join(words))
-        stems, tails = [s.lower() for s, _ in plain], [p for _, p in plain]
-        self.merge([w for w in dict.fromkeys(chain(stems, tails)) if w not in codes])
-        forms = [s + p for s, p in plain]
-        at = [k for k, w in enumerate(forms) if w not in codes]
-        ends = np.array([[codes[stems[k]], codes[tails[k]]] for k in at], np.int64).reshape(-1, 2)
-        bare = ends[:, 1] == 0
-        first = ends[bare, 0]
-        self.put([forms[k] for k, b in zip(at, bare, strict=True) if b], self.start[first], self.size[first])
-        ids, sizes = self.gather(ends[~bare].ravel())
-        self.add([forms[k] for k, b in zip(at, bare, strict=True) if not b], ids, sizes.reshape(-1, 2).sum(axis=1))
-        self.whole([w for w in words if w not in codes])
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Put new words into the table; their codes. A plain word is lower-cased and cut from its punctuation, as the library does, so that its forms are merged once."""
+        chunk = len(self.words)
+        plain = PLAIN.findall(pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py())
+        stems = [s.lower() for s, _ in plain]
+        parts = list(dict.fromkeys(chain(stems, (p for _, p in plain))))
+        codes = self.find(pa.array(parts, pa.string()))
+        new = codes < 0
+        codes[new] = self.n + np.arange(new.sum())
+        self.merge([parts[k] for k in np.flatnonzero(new)])
+        code = dict(zip(parts, codes.tolist(), strict=True))
+        forms = [(s + p, code[low], code[p]) for low, (s, p) in zip(stems, plain, strict=True) if p or s != low]
+        bare = [x for x in forms if not x[2]]
+        first = np.array([x[1] for x in bare], np.int64)
+        self.put([x[0] for x in bare], self.start[first], self.size[first])
+        cut = [x for x in forms if x[2]]
+        ids, sizes = self.gather(np.array([x[1:] for x in cut], np.int64).ravel())
+        self.add([x[0] for x in cut], ids, sizes.reshape(-1, 2).sum(axis=1))
+        codes = self.find(words, chunk)
+        if len(rest := np.flatnonzero(codes < 0)):
+            codes[rest] = self.n + np.arange(len(rest))
+            self.whole(words.take(pa.array(rest)).to_pylist())
+        return codes
 
     def some(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the texts in turn, each followed by end_id if there is one; their numbers). At least one text."""
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = lists.flatten().dictionary_encode()
-        each = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), "\n")[0].as_py().split("\n")
+        each = words.dictionary.cast(pa.string())
         if self.n + len(each) > CACHED_WORDS or self.used > CACHED_IDS:
             self.reset()
-        if new := [w for w in each if w not in self.codes]:
-            self.learn(new)
-        number = np.fromiter(map(self.codes.__getitem__, each), np.int64, len(each))
+        if len(self.words) > CHUNKS:
+            self.words = [pa.concat_arrays(self.words)]
+        number = self.find(each)
+        if len(new := np.flatnonzero(number < 0)):
+            number[new] = self.learn(each.take(pa.array(new)))
         index = number[words.indices.to_numpy()]
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         if end_id is not None:
-            if ENDING not in self.codes:
+            if end_id not in self.endings:
+                self.endings[end_id] = self.n
                 self.add([ENDING], np.array([end_id], "<u4"), np.array([1]))
-            index = np.insert(index, bounds[1:], self.codes[ENDING])
+            index = np.insert(index, bounds[1:], self.endings[end_id])
             bounds = bounds + np.arange(len(bounds))
         ids, size = self.gather(index)
         upto = np.r_[0, np.cumsum(size)]
@@ -279,7 +301,8 @@ def pack(pieces: DataFrame, limit: int = LIMIT, length_col: str = "length", orde
 
 def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
     """(pieces with their ids, written; places of the pieces by (id, start) with a checksum of the ids) of docs."""
-    pieces = materialize(token_pieces(docs, path, limit, end_id))
+    with text_batches(docs.sparkSession):
+        pieces = materialize(token_pieces(docs, path, limit, end_id))
     return pieces, pack(pieces.select("id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), limit)
 
 
