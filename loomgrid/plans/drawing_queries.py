@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import panels, specs
-from ..operators import drawings, graphs, schedules, spatial, topology
+from ..operators import claims, drawings, schedules, spatial, topology
 from ..sources.tables import table
 from .queries import query
 
@@ -136,14 +136,8 @@ w AS (SELECT n, 0::BIGINT AS k, []::BIGINT[] AS cs, []::BIGINT[] AS ss FROM (SEL
 UNION ALL SELECT n, k + 1, CASE WHEN free THEN list_append(cs, c) ELSE cs END, CASE WHEN free THEN list_append(ss, s) ELSE ss END FROM (SELECT w.*, p.c, p.s, NOT list_contains(cs, p.c) AND NOT list_contains(ss, p.s) AS free FROM w JOIN p ON p.n = w.n AND p.k = w.k + 1))
 SELECT unnest(cs) AS c_custkey, unnest(ss) AS s_suppkey FROM (SELECT n, arg_max(cs, k) AS cs, arg_max(ss, k) AS ss FROM w GROUP BY n)""")
 def claims_once(spark, d):
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    # customers, and suppliers, that are alike but for their keys meet as one
-    c = c.select("c_custkey", "c_nationkey", "c_acctbal", (F.col("c_mktsegment") != "BUILDING").cast("int").alias("tier")).withColumn("cg", F.struct("c_nationkey", "c_acctbal", "tier"))
-    s = s.select("s_suppkey", "s_nationkey", "s_acctbal").withColumn("sg", F.struct("s_nationkey", "s_acctbal"))
-    one = lambda df, g: df.select(g).distinct().select(g, f"{g}.*")
-    pairs = spatial.near_join(one(c, "cg"), one(s, "sg"), "c_acctbal", "s_acctbal", 300.0, [("c_nationkey", "s_nationkey")])
-    pairs = pairs.select("cg", "sg", "tier", F.abs(F.col("c_acctbal") - F.col("s_acctbal")).alias("off"))
-    return graphs.claim_alike(pairs, c, s, "cg", "sg", "c_custkey", "s_suppkey", ["tier", "off"])
+    c = table(spark, d, "customer").withColumn("tier", (F.col("c_mktsegment") != "BUILDING").cast("int"))
+    return claims.claim_near(c, table(spark, d, "supplier"), "c_custkey", "s_suppkey", "c_acctbal", "s_acctbal", 300.0, [("c_nationkey", "s_nationkey")], "tier")
 
 
 @query("""WITH RECURSIVE k AS (SELECT c_custkey AS k, CASE c_custkey % 100 WHEN 98 THEN c_custkey + 1 WHEN 99 THEN c_custkey - 1 ELSE c_custkey // 7 END AS p FROM customer WHERE c_custkey >= 1),
